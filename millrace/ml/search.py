@@ -63,7 +63,7 @@ def auto_classify(
     )
     prepared = cut_lineage(Pipeline(stages=stages).fit(labelled).transform(labelled).select(FEATURES, LABEL, FOLD))
     trials = _trials(seed)[:budget]
-    model = Pipeline()
+    model = Pipeline(stages=[])
     search = CrossValidator(
         estimator=model,
         estimatorParamMaps=[{model.stages: [learner]} for _, _, learner in trials],

@@ -19,6 +19,6 @@ def write_topic(
     try:
         messages.write.format("kafka").option(BROKERS, brokers).option("topic", target).save()
     except Exception as error:
-        if "kafka" in str(error).lower() and "Failed to find" in str(error):
+        if "Failed to find data source: kafka" in str(error):
             raise connector_error(error) from error
         raise

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -51,8 +50,8 @@ def read_avro(spark: SparkSession, path: str, schema: Schema = None) -> DataFram
     """Avro files, through Spark's own external module."""
     try:
         return _load(spark, "avro", path, schema)
-    except AnalysisException as error:
-        if "avro" in str(error).lower() and "PATH_NOT_FOUND" not in str(error):
+    except Exception as error:
+        if "Failed to find data source: avro" in str(error):
             raise MissingConnector("add org.apache.spark:spark-avro to read Avro files") from error
         raise
 

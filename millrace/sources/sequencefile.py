@@ -22,7 +22,8 @@ def read_sequencefile(
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
     values = spark.sparkContext.sequenceFile(path).map(lambda pair: (pair[1],))
-    return typed_fields(spark.createDataFrame(values, "value string"), schema, sep)
+    lines = spark.createDataFrame(values, "value string", verifySchema=False)
+    return typed_fields(lines, schema, sep)
 
 
 def write_sequencefile(df: DataFrame, path: str, sep: str = FIELD_SEPARATOR) -> None:

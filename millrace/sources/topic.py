@@ -33,7 +33,7 @@ def read_topic(
         try:
             return reader.load().selectExpr("CAST(key AS STRING) AS key", "CAST(value AS STRING) AS value")
         except Exception as error:
-            if "kafka" in str(error).lower() and "Failed to find" in str(error):
+            if "Failed to find data source: kafka" in str(error):
                 raise connector_error(error) from error
             raise
     stream = spark.readStream.schema(MESSAGE_SCHEMA)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.errors.exceptions.base import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.sources.files import MissingConnector
@@ -15,7 +13,7 @@ def read_warehouse(spark: SparkSession, table: str, connector: str = "parquet")
         return spark.read.parquet(table)
     try:
         return spark.read.format(connector).option("table", table).load()
-    except (AnalysisException, PySparkException) as error:
-        if "DATA_SOURCE_NOT_FOUND" in str(error) or "Failed to find" in str(error):
+    except Exception as error:
+        if "DATA_SOURCE_NOT_FOUND" in str(error):
             raise MissingConnector(f"no '{connector}' connector on the classpath") from error
         raise

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType
 
@@ -29,11 +31,12 @@ def tokenize_col(df: DataFrame, column: str, name: str = "tokens") -> DataFrame:
 def matches(text: Column, term: str) -> Column:
     """Whether the analysed text holds the term as a whole.
 
-    The substring test is necessary for a match and far cheaper, so only texts
-    that pass it are tokenised.
+    Equal to looking the term up among the tokens, but stops at the first hit and
+    builds no token list: a token is a run of term characters with none beside it.
     """
-    term = term.lower()
-    return F.contains(F.lower(text), F.lit(term)) & F.array_contains(terms(text), term)
+    if not re.fullmatch("[a-z0-9]+", term.lower()):
+        raise ValueError(f"not a single search term: {term!r}")
+    return F.rlike(F.lower(text), F.lit(f"(?<![a-z0-9]){term.lower()}(?![a-z0-9])"))
 
 
 def search_count(df: DataFrame, columns: list[str], term: str, name: str = "num_found") -> DataFrame:

@@ -291,6 +291,12 @@ def test_words_and_search(spark):
         "name string, genre array<string>",
     )
     assert rows(search_count(films, ["name", "genre"], "Comedy")) == [(2,)]
+    with pytest.raises(ValueError, match="single search term"):
+        search_count(films, ["name"], "two words")
+    every = tokenize_col(catch_all(films, ["name", "genre"]), "_text_")
+    for term in ("comedy", "film", "a", "war", "omedy", "tragicomedy"):
+        listed = every.where(F.array_contains("tokens", term)).count()
+        assert rows(search_count(films, ["name", "genre"], term)) == [(listed,)]
     tokens = tokenize_col(catch_all(films, ["name", "genre"]), "_text_").select("tokens")
     assert rows(tokens)[1] == (["a", "film", "romantic", "comedy", "war"],)
 

@@ -1,4 +1,4 @@
-"""Time the registered queries and three fixed-size works; print one JSON line.
+"""Time the registered queries and the fixed-size works; print one JSON line.
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py [query ...]
 """
@@ -10,7 +10,7 @@ import os
 import sys
 import time
 
-from millrace.operators import matrix
+from millrace.operators import chunks, matrix
 from millrace.operators.joins import inner_join, join_count
 from millrace.plans import all_queries
 from millrace.session import build_session, release_scratch
@@ -38,10 +38,23 @@ def array_ten_thousand(spark, _folder):
     return matrix.transpose_add_row_mean(cells, 2, SIDE // 2, SIDE // 2)
 
 
+def chunked_ten_thousand(spark, _folder):
+    """The same from 1000 x 1000 chunks."""
+    blocks = chunks.random_chunks(spark, SIDE, SIDE, 1000)
+    return chunks.transpose_add_row_mean(blocks, 1000, SIDE, 2, SIDE // 2, SIDE // 2)
+
+
+def chunked_sum_ten_thousand(spark, _folder):
+    """The whole array ``x + x.T``, every cell of it."""
+    return chunks.add_transpose(chunks.random_chunks(spark, SIDE, SIDE, 1000), 1000)
+
+
 FIXED = {
     "scale_join_10m": join_ten_million,
     "scale_join_count_10m": join_count_ten_million,
     "scale_array_1e8": array_ten_thousand,
+    "scale_chunked_1e8": chunked_ten_thousand,
+    "scale_chunked_sum_1e8": chunked_sum_ten_thousand,
 }
 
 

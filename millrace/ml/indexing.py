@@ -43,6 +43,7 @@ def index_round_trip(df: DataFrame, column: str, name: str = "index", max_labels
         back = IndexToString(inputCol=name, outputCol=restored, labels=indexer.labels)
         return back.transform(indexer.transform(df))
     words = label_dictionary(df, column)
-    forward = words.select(F.col("label").alias(column), F.col("index").cast("double").alias(name))
-    backward = words.select(F.col("index").cast("double").alias(name), F.col("label").alias(restored))
-    return df.join(forward, column).join(backward, name).select(*df.columns, name, restored)
+    forward = words.select(F.col("label").alias(column), F.col("index").alias(name))
+    backward = words.select(F.col("index").alias(name), F.col("label").alias(restored))
+    both = df.join(forward, column).join(backward, name)
+    return both.select(*df.columns, F.col(name).cast("double").alias(name), restored)

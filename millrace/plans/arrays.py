@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.operators import matrix
+from millrace.operators import chunks, matrix
 from millrace.operators.joins import inner_join
 from millrace.sources.catalog import table
 
@@ -43,6 +43,15 @@ def matrix_row_mean(spark: SparkSession, folder: str) -> DataFrame:
     return means.select("i", F.round("mean", 6).alias("mean"))
 
 
+def chunked_row_mean(spark: SparkSession, folder: str) -> DataFrame:
+    """The same square array in 64 x 64 chunks, added to its transpose chunk by chunk."""
+    vectors = table(spark, folder, "embeddings")
+    side = vectors.agg(F.max("vec_id")).first()[0] + 1
+    blocks = chunks.chunks_of(matrix.from_vectors(vectors, "vec_id", "embedding"), 64)
+    means = chunks.row_mean(chunks.add_transpose(blocks, 64), 64, side, side - 32, 2, 32)
+    return means.select("i", F.round("mean", 6).alias("mean"))
+
+
 def random_matrix(spark: SparkSession, folder: str) -> DataFrame:
     """A random array with a row per customer, rechunked: its shape and the bounds of its values."""
     rows = table(spark, folder, "customer").count()
@@ -59,6 +68,7 @@ QUERIES = {
     "matrix_add_transpose": add_transpose,
     "matrix_slice_mean": slice_mean,
     "matrix_row_mean": matrix_row_mean,
+    "matrix_chunked_mean": chunked_row_mean,
     "random_matrix_shape": random_matrix,
 }
 
@@ -69,17 +79,20 @@ _TRADE = """
     y AS (SELECT coalesce(a.i, b.j) AS i, coalesce(a.j, b.i) AS j, coalesce(a.v, 0) + coalesce(b.v, 0) AS v
           FROM x a FULL JOIN x b ON a.i = b.j AND a.j = b.i)"""
 
-ORACLES = {
-    "matrix_add_transpose": f"WITH {_TRADE} SELECT i, j, round(v, 2) AS v FROM y",
-    "matrix_slice_mean": f"""
-        WITH {_TRADE} SELECT i, round(sum(v) / 13, 2) AS mean FROM y WHERE i % 2 = 0 AND j >= 12 GROUP BY i""",
-    "matrix_row_mean": """
+_ROW_MEAN = """
         WITH x AS (SELECT vec_id AS i, CAST(p - 1 AS BIGINT) AS j, CAST(embedding[p] AS DOUBLE) AS v
                    FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS p FROM embeddings)),
         y AS (SELECT coalesce(a.i, b.j) AS i, coalesce(a.j, b.i) AS j, coalesce(a.v, 0) + coalesce(b.v, 0) AS v
               FROM x a FULL JOIN x b ON a.i = b.j AND a.j = b.i)
         SELECT i, round(sum(v) / ((SELECT max(vec_id) + 1 FROM embeddings) - 32), 6) AS mean
-        FROM y WHERE i % 2 = 0 AND j >= 32 GROUP BY i""",
+        FROM y WHERE i % 2 = 0 AND j >= 32 GROUP BY i"""
+
+ORACLES = {
+    "matrix_add_transpose": f"WITH {_TRADE} SELECT i, j, round(v, 2) AS v FROM y",
+    "matrix_slice_mean": f"""
+        WITH {_TRADE} SELECT i, round(sum(v) / 13, 2) AS mean FROM y WHERE i % 2 = 0 AND j >= 12 GROUP BY i""",
+    "matrix_row_mean": _ROW_MEAN,
+    "matrix_chunked_mean": _ROW_MEAN,
     "random_matrix_shape": """
         SELECT count(*) AS row_count, CAST(64 AS BIGINT) AS col_count, 64 * count(*) AS cells, true AS in_bounds
         FROM customer""",

@@ -41,7 +41,7 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_event_logs(spark: SparkSession, path: str, app_pattern: str = APPLICATION) -> DataFrame:
-    """Log lines with the application taken from the file path; unreadable lines come out as NULLs.
+    """Raw log lines ``(app, value)``, the application taken from the file path.
 
     Plain and gzip logs go through the text reader. Logs in Spark's own zstd
     framing are unpacked one file per task; Spark rolls those files by size.
@@ -59,17 +59,19 @@ def read_event_logs(spark: SparkSession, path: str, app_pattern: str = APPLICATI
         .select("path", "content")
         .mapInPandas(_unpack, "path string, value string")
     )
-    parsed = plain.unionByName(packed).select(
-        F.regexp_extract("path", app_pattern, 1).alias("app"),
-        F.from_json("value", LOG_SCHEMA).alias("line"),
-    )
-    return parsed.select("app", "line.*")
+    return plain.unionByName(packed).select(F.regexp_extract("path", app_pattern, 1).alias("app"), "value")
+
+
+def events_of(logs: DataFrame, kind: str) -> DataFrame:
+    """Parsed lines of one listener event. Only lines that name it are parsed, broken ones drop out."""
+    named = logs.where(F.col("value").contains(kind))
+    parsed = named.select("app", F.from_json("value", LOG_SCHEMA).alias("line")).select("app", "line.*")
+    return parsed.where(F.col("Event") == kind)
 
 
 def jobs_per_day(logs: DataFrame) -> DataFrame:
     """Jobs started per day and description, ``(day, job_type, jobs)``."""
-    started = logs.where(F.col("Event") == JOB_START)
-    return started.groupBy(
+    return events_of(logs, JOB_START).groupBy(
         F.timestamp_millis("`Submission Time`").cast("date").alias("day"),
         F.col("Properties.`spark.job.description`").alias("job_type"),
     ).agg(F.count(F.lit(1)).alias("jobs"))
@@ -82,7 +84,7 @@ def stage_statistics(logs: DataFrame, accuracy: int = 10_000) -> DataFrame:
     ``tasks / accuracy``, and exact while a stage has few tasks.
     """
     info = F.col("Task Info")
-    tasks = logs.where(F.col("Event") == TASK_END).select(
+    tasks = events_of(logs, TASK_END).select(
         "app", F.col("Stage ID").alias("stage"), (info["Finish Time"] - info["Launch Time"]).alias("ms")
     )
     return tasks.groupBy("app", "stage").agg(

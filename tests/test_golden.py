@@ -7,7 +7,7 @@ from helpers import row_set, rows
 from pyspark.sql import functions as F
 
 from millrace.operators import aggregates as agg
-from millrace.operators import matrix, projection, sketches
+from millrace.operators import chunks, matrix, projection, sketches
 from millrace.operators.joins import inner_join, join_count
 from millrace.operators.ordering import head, peek, top_groups
 from millrace.operators.search import catch_all, search_count, tokenize_col
@@ -257,6 +257,22 @@ def test_array_slice_means(spark):
     assert again == cells
 
 
+def test_chunks_agree_with_cells(spark):
+    side, chunk = 23, 5
+    m = matrix.random_matrix(spark, side, side, seed=3)
+    expected = dict(rows(matrix.transpose_add_row_mean(m, 2, 11, side - 11)))
+    blocks = chunks.chunks_of(m, chunk)
+    assert blocks.count() == 25
+    both = chunks.add_transpose(blocks, chunk)
+    assert dict(rows(chunks.row_mean(both, chunk, side, side - 11, 2, 11))) == pytest.approx(expected)
+    fused = chunks.transpose_add_row_mean(blocks, chunk, side, 2, 11, side - 11)
+    assert dict(rows(fused)) == pytest.approx(expected)
+    made = chunks.random_chunks(spark, 7, 12, 5)
+    means = dict(rows(chunks.row_mean(made, 5, 7, 12)))
+    assert sorted(means) == list(range(7)) and all(0.1 < v < 0.9 for v in means.values())
+    assert row_set(made) == row_set(chunks.random_chunks(spark, 7, 12, 5))
+
+
 def test_pi(spark):
     assert rows(agg.monte_carlo_pi(spark, 100_000))[0][2] == pytest.approx(3.14159, abs=0.02)
     for maps, samples in ((16, 1000), (4, 1000)):

@@ -66,7 +66,11 @@ def test_summaries_of_a_compressed_log(spark):
     assert stage.app.startswith("local-") and stage.tasks == 5 and 0 <= stage.median_ms <= stage.max_ms
 
 
-def test_tasks_without_a_finish_time_do_not_break_the_summary(spark):
-    lines = [("a", "SparkListenerTaskEnd", 1, (5, None)), ("a", "SparkListenerTaskEnd", 1, (5, 6))]
-    schema = "app string, Event string, `Stage ID` long, `Task Info` struct<`Launch Time`: long, `Finish Time`: long>"
-    assert row_set(stage_statistics(spark.createDataFrame(lines, schema))) == [("a", 1, 2, 1, 1, 1)]
+def test_lines_that_only_mention_an_event_do_not_count(spark):
+    lines = [
+        task(1, 5, 6),
+        {"Event": "SparkListenerTaskEnd", "Stage ID": 1, "Task Info": {"Launch Time": 5}},
+        {"Event": "SparkListenerJobStart", "Properties": {"spark.job.description": "SparkListenerTaskEnd"}},
+    ]
+    logs = spark.createDataFrame([("a", json.dumps(line)) for line in lines], "app string, value string")
+    assert row_set(stage_statistics(logs)) == [("a", 1, 2, 1, 1, 1)]

@@ -11,14 +11,19 @@ import sys
 import time
 
 from millrace.operators import chunks, matrix
+from millrace.operators.aggregates import row_count
 from millrace.operators.joins import inner_join, join_count
 from millrace.plans import all_queries
-from millrace.session import build_session, release_scratch
-from millrace.sources.generated import range_df
+from millrace.session import build_session, release_scratch, scratch_dir
+from millrace.sinks.files import export_parts
+from millrace.sources.files import read_lines
+from millrace.sources.generated import generate_rows, range_df
 
-# Sizes of the works the baseline lists: 10 M x 10 M join in six partitions, 10000 x 10000 array.
+# Sizes of the works the baseline lists: a 10 M x 10 M join in six partitions, a 10000 x 10000
+# array, an import of 300,024 rows.
 JOIN_ROWS = 10_000_000
 SIDE = 10_000
+IMPORT_ROWS = 300_024
 
 
 def join_ten_million(spark, _folder):
@@ -49,7 +54,20 @@ def chunked_sum_ten_thousand(spark, _folder):
     return chunks.add_transpose(chunks.random_chunks(spark, SIDE, SIDE, 1000), 1000)
 
 
+def metadata_listing(spark, _folder):
+    return spark.sql("SHOW DATABASES")
+
+
+def import_rows(spark, _folder):
+    """An import of 300,024 records into delimited part files, then a count of the lines."""
+    path = scratch_dir(spark, "import")
+    export_parts(generate_rows(spark, IMPORT_ROWS), path)
+    return row_count(read_lines(spark, path))
+
+
 FIXED = {
+    "metadata_listing": metadata_listing,
+    "scale_import_300k": import_rows,
     "scale_join_10m": join_ten_million,
     "scale_join_count_10m": join_count_ten_million,
     "scale_array_1e8": array_ten_thousand,

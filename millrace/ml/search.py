@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from millrace.ml.boosted import FEATURES
@@ -15,29 +15,60 @@ from millrace.session import cut_lineage, ensure_checkpoint_dir
 
 LABEL = "_label"
 FOLD = "_fold"
+MAX_LEVELS = 1000
 
 
-def _trials(seed: int) -> list[tuple[str, str, Estimator]]:
+def _trials(seed: int, bins: int) -> list[tuple[str, str, Estimator]]:
     """Model families with the settings tried: one of each family first, then the variations."""
     columns = {"featuresCol": FEATURES, "labelCol": LABEL}
+    trees = {"seed": seed, "maxBins": bins}
     settings = [
-        ("logistic_regression", LogisticRegression, {"regParam": 0.0}),
-        ("random_forest", RandomForestClassifier, {"maxDepth": 4, "seed": seed}),
-        ("boosted_trees", GBTClassifier, {"maxIter": 10, "seed": seed}),
-        ("logistic_regression", LogisticRegression, {"regParam": 0.1}),
-        ("random_forest", RandomForestClassifier, {"maxDepth": 8, "seed": seed}),
-        ("boosted_trees", GBTClassifier, {"maxIter": 20, "seed": seed}),
+        ("logistic_regression", LogisticRegression, {"regParam": 0.0}, {}),
+        ("random_forest", RandomForestClassifier, {"maxDepth": 4}, trees),
+        ("boosted_trees", GBTClassifier, {"maxIter": 10}, trees),
+        ("logistic_regression", LogisticRegression, {"regParam": 0.1}, {}),
+        ("random_forest", RandomForestClassifier, {"maxDepth": 8}, trees),
+        ("boosted_trees", GBTClassifier, {"maxIter": 20}, trees),
     ]
     return [
-        (name, ", ".join(f"{k}={v}" for k, v in values.items() if k != "seed"), family(**columns, **values))
-        for name, family, values in settings
+        (name, ", ".join(f"{k}={v}" for k, v in varied.items()), family(**columns, **varied, **fixed))
+        for name, family, varied, fixed in settings
     ]
 
 
-def _columns(df: DataFrame, label: str) -> tuple[list[str], list[str]]:
-    kinds = {f.name: f.dataType for f in df.schema.fields if f.name != label}
-    texts = [name for name, kind in kinds.items() if isinstance(kind, StringType)]
-    return [name for name in kinds if name not in texts], texts
+def _prepare(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """Feature vectors of all other columns, and the bins trees need for the categories.
+
+    Missing numbers become the column mean, missing text a level of its own. Text
+    with more than ``MAX_LEVELS`` values is not listed in the model but spread over
+    as many hash buckets.
+    """
+    texts = [f.name for f in df.schema.fields if f.name != label and isinstance(f.dataType, StringType)]
+    numbers = [name for name in df.columns if name not in (label, *texts)]
+    listed, hashed = [], []
+    if texts:
+        levels = df.agg(*[F.approx_count_distinct(f"`{name}`").alias(name) for name in texts]).first()
+        listed = [name for name in texts if levels[name] <= MAX_LEVELS]
+        hashed = [name for name in texts if name not in listed]
+    buckets = [F.pmod(F.xxhash64(f"`{name}`"), F.lit(MAX_LEVELS)).cast("double").alias(name) for name in hashed]
+    rows = df.select(
+        *[F.col(f"`{name}`").cast("double").alias(name) for name in numbers], *[f"`{name}`" for name in listed],
+        *buckets, F.col(f"`{label}`").cast("double").alias(LABEL), _fold_key(df).alias(FOLD),
+    ).where(F.col(LABEL).isNotNull())
+    bins, stages = 32, []
+    if numbers:
+        stages.append(Imputer(inputCols=numbers, outputCols=numbers))
+    indexed = [f"_{name}_index" for name in listed]
+    if listed:
+        indexer = StringIndexer(inputCols=listed, outputCols=indexed, handleInvalid="keep").fit(rows)
+        bins = max(bins, *[len(labels) + 1 for labels in indexer.labelsArray])
+        stages.append(indexer)
+    stages.append(VectorAssembler(inputCols=numbers + hashed + indexed, outputCol=FEATURES))
+    return Pipeline(stages=stages).fit(rows).transform(rows).select(FEATURES, LABEL, FOLD), bins
+
+
+def _fold_key(df: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{name}`") for name in df.columns])
 
 
 def auto_classify(
@@ -45,24 +76,16 @@ def auto_classify(
 ) -> DataFrame:
     """Leaderboard ``(rank, model, settings, auc)`` of at most ``budget`` cross-validated trials.
 
-    Text columns become indexed categories. Folds come from a hash of the row, so
+    Text columns become categories. Folds come from a hash of the row, so
     the same data gives the same folds on any cluster; the budget counts trials
     rather than seconds for the same reason.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    numbers, texts = _columns(df, label)
-    indexed = [f"_{name}_index" for name in texts]
-    stages: list = []
-    if texts:
-        stages.append(StringIndexer(inputCols=texts, outputCols=indexed, handleInvalid="keep"))
-    stages.append(VectorAssembler(inputCols=numbers + indexed, outputCol=FEATURES, handleInvalid="skip"))
-    row = F.xxhash64(F.lit(seed), *[F.col(f"`{name}`") for name in df.columns])
-    labelled = df.withColumn(LABEL, F.col(f"`{label}`").cast("double")).withColumn(
-        FOLD, F.pmod(row, F.lit(folds)).cast("int")
-    )
-    prepared = cut_lineage(Pipeline(stages=stages).fit(labelled).transform(labelled).select(FEATURES, LABEL, FOLD))
-    trials = _trials(seed)[:budget]
+    features, bins = _prepare(df, label)
+    fold = F.pmod(F.xxhash64(F.lit(seed), F.col(FOLD)), F.lit(folds)).cast("int")
+    prepared = cut_lineage(features.withColumn(FOLD, fold))
+    trials = _trials(seed, bins)[:budget]
     model = Pipeline(stages=[])
     search = CrossValidator(
         estimator=model,

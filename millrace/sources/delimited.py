@@ -29,10 +29,13 @@ def typed_fields(lines: DataFrame, schema: StructType, sep: str, column: str = "
 
 
 def read_delimited(spark: SparkSession, path: str, schema: StructType | str, sep: str = ":") -> DataFrame:
-    """Text table with declared columns and a one-character separator, typed on read."""
+    """Text table with declared columns and a one-character separator, typed on read.
+
+    Rows end at a line feed only; a carriage return is part of the value.
+    """
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    return typed_fields(spark.read.text(path), schema, sep)
+    return typed_fields(spark.read.option("lineSep", "\n").text(path), schema, sep)
 
 
 def read_csv_infer(spark: SparkSession, path: str) -> DataFrame:

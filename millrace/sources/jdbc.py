@@ -36,22 +36,27 @@ def import_jdbc(
     columns: list[str] | None = None,
     num_partitions: int = 1,
     split_col: str | None = None,
+    predicates: list[str] | None = None,
     sep: str = ",",
     properties: dict[str, str] | None = None,
 ) -> DataFrame:
     """Copy a table into delimited part files and return the files as lines.
 
     More than one partition needs a numeric ``split_col``, ideally the primary
-    key: each task then reads one range of it.
+    key: each task then reads one equal range of it. Where values crowd into few
+    ranges, give ``predicates`` instead, one disjoint condition per task, for
+    instance on a remainder of the key.
     """
     from millrace.sinks.files import ctas_delimited
 
-    if num_partitions > 1 and split_col is None:
-        raise ValueError("a parallel import needs split_col")
+    if num_partitions > 1 and split_col is None and predicates is None:
+        raise ValueError("a parallel import needs split_col or predicates")
     bounds = None
-    if num_partitions > 1:
+    if num_partitions > 1 and predicates is None:
         bounds = split_bounds(spark, url, table, split_col, properties)
-    if bounds is None:
+    if predicates:
+        df = spark.read.jdbc(url, table, predicates=predicates, properties=properties or {})
+    elif bounds is None:
         df = read_jdbc(spark, url, table, properties=properties)
     else:
         df = spark.read.jdbc(

@@ -23,11 +23,12 @@ def metric_rollup(
     """Count, mean and maximum per fixed interval and label combination.
 
     ``lateness`` bounds the state of an unending stream; leave it out for complete
-    results over everything read.
+    results over everything read. Watermarks need an instant, so a timestamp without
+    zone is then read in the session's zone.
     """
-    samples = df.select(F.col(ts).cast("timestamp").alias("ts"), *labels, F.col(value).alias("v"))
+    samples = df.select(F.col(ts).alias("ts"), *labels, F.col(value).alias("v"))
     if lateness:
-        samples = samples.withWatermark("ts", lateness)
+        samples = samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     return (
         samples.groupBy(F.window("ts", interval), *labels)
         .agg(F.count("v").alias("samples"), F.avg("v").alias("mean"), F.max("v").alias("peak"))

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -16,9 +17,11 @@ def spark():
         "millrace-tests",
         "local[8]",
         spark__sql__shuffle__partitions="4",
+        spark__default__parallelism="4",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="8g",
+        spark__sql__warehouse__dir=tempfile.mkdtemp(prefix="run-"),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -63,6 +63,13 @@ def test_separators_that_are_pattern_characters(spark):
         assert got == [(1, "x", ""), (2, "", "z")]
 
 
+def test_a_carriage_return_is_part_of_the_value(spark):
+    path = scratch_dir(spark, "returns")
+    data = [(1, "a\rb"), (2, "c\r")]
+    ctas_delimited(spark.createDataFrame(data, "n int, s string"), path, "\t")
+    assert row_set(read_delimited(spark, path, "n INT, s STRING", "\t")) == data
+
+
 def test_transactions_on_one_day(spark):
     path = scratch_dir(spark, "transactions")
     spark.createDataFrame(
@@ -232,10 +239,11 @@ def test_registry_rejects_what_it_does_not_know(spark):
 
 def test_tables_and_part_files(spark):
     path = scratch_dir(spark, "table")
-    save_table(range_df(spark, 10), "ten_rows", "parquet", path)
-    assert spark.table("ten_rows").count() == 10
-    drop_table(spark, "ten_rows")
-    assert not spark.catalog.tableExists("ten_rows")
+    for place in (path, None):
+        assert save_table(range_df(spark, 10), "ten_rows", "parquet", place).count() == 10
+        drop_table(spark, "ten_rows")
+        assert not spark.catalog.tableExists("ten_rows")
+    assert files.read_parquet(spark, path).count() == 10
     out = scratch_dir(spark, "parts")
     export_parts(range_df(spark, 1000, 5), out, 3)
     lines = files.read_lines(spark, out)

@@ -60,6 +60,12 @@ def test_single_import_needs_no_split(spark, employees):
         import_jdbc(employees, "jdbc:x", "employees", "/nowhere", num_partitions=2)
 
 
+def test_conditions_instead_of_ranges(spark, employees):
+    halves = ["MOD(emp_no, 2) = 0", "MOD(emp_no, 2) = 1"]
+    import_jdbc(employees, "jdbc:x", "employees", scratch_dir(spark, "halves"), num_partitions=2, predicates=halves)
+    assert [call[2].get("predicates") for call in employees.jdbc_reader.calls] == [halves]
+
+
 def test_empty_table(spark):
     empty = Session(spark, spark.createDataFrame([], "emp_no long"))
     out = scratch_dir(spark, "empty")

@@ -5,6 +5,7 @@ import pytest
 from helpers import row_set, rows
 from pyspark.sql import functions as F
 
+from millrace.ml import search
 from millrace.ml.boosted import area_under_roc, evaluate_binary, fit_boosted
 from millrace.ml.indexing import index_round_trip, label_dictionary
 from millrace.ml.network import fit_mlp, predict_mlp
@@ -50,7 +51,19 @@ def test_leaderboard_is_ranked_and_repeatable(spark):
     assert rows(auto_classify(df.repartition(3), "CAPSULE", budget=2, folds=2)) == first
 
 
-LABELS = [(i, label) for i, label in enumerate(["a"] * 5 + ["b"] * 7 + ["c"] * 5 + ["d"])]
+def test_leaderboard_takes_many_levels_and_missing_values(spark, monkeypatch):
+    monkeypatch.setattr("millrace.ml.search.MAX_LEVELS", 50)
+    points = [
+        (None if i % 9 == 0 else float(i % 11), None if i % 13 == 0 else f"k{i % 40}", f"u{i}", int(i % 11 > 5))
+        for i in range(120)
+    ]
+    df = spark.createDataFrame(points, "x double, kind string, name string, y int")
+    assert auto_classify(df, "y", budget=2, folds=2).count() == 2
+    prepared, bins = search._prepare(df, "y")
+    assert prepared.count() == 120 and bins == 41
+
+
+LABELS = [(i, label) for i, label in enumerate(["a"] * 5 + ["b"] * 7 + ["c"] * 5 + ["d"] + [None] * 9)]
 
 
 @pytest.mark.parametrize("limit", [100, 0])
@@ -58,7 +71,9 @@ def test_index_round_trip_by_falling_frequency(spark, limit):
     df = spark.createDataFrame(LABELS, "id int, label string")
     got = index_round_trip(df, "label", max_labels=limit)
     assert sorted(rows(got.select("id", "label_restored"))) == LABELS
-    assert set(rows(got.select("label", "index").distinct())) == {("b", 0.0), ("a", 1.0), ("c", 2.0), ("d", 3.0)}
+    assert set(rows(got.select("label", "index").distinct())) == {
+        ("b", 0.0), ("a", 1.0), ("c", 2.0), ("d", 3.0), (None, None),
+    }
 
 
 def test_dictionary_numbers_are_dense_over_many_partitions(spark):

@@ -40,7 +40,7 @@ def matrix_row_mean(spark: SparkSession, folder: str) -> DataFrame:
     side = vectors.agg(F.max("vec_id")).first()[0] + 1
     cells = matrix.from_vectors(vectors, "vec_id", "embedding")
     means = matrix.transpose_add_row_mean(cells, 2, 32, side - 32)
-    return means.select("i", F.round("mean", 6).alias("mean"))
+    return means.select("i", F.round("mean", 9).alias("mean"))
 
 
 def chunked_row_mean(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,7 +49,7 @@ def chunked_row_mean(spark: SparkSession, folder: str) -> DataFrame:
     side = vectors.agg(F.max("vec_id")).first()[0] + 1
     blocks = chunks.chunks_of(matrix.from_vectors(vectors, "vec_id", "embedding"), 64)
     means = chunks.row_mean(chunks.add_transpose(blocks, 64), 64, side, side - 32, 2, 32)
-    return means.select("i", F.round("mean", 6).alias("mean"))
+    return means.select("i", F.round("mean", 9).alias("mean"))
 
 
 def random_matrix(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,7 +84,7 @@ _ROW_MEAN = """
                    FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS p FROM embeddings)),
         y AS (SELECT coalesce(a.i, b.j) AS i, coalesce(a.j, b.i) AS j, coalesce(a.v, 0) + coalesce(b.v, 0) AS v
               FROM x a FULL JOIN x b ON a.i = b.j AND a.j = b.i)
-        SELECT i, round(sum(v) / ((SELECT max(vec_id) + 1 FROM embeddings) - 32), 6) AS mean
+        SELECT i, round(sum(v) / ((SELECT max(vec_id) + 1 FROM embeddings) - 32), 9) AS mean
         FROM y WHERE i % 2 = 0 AND j >= 32 GROUP BY i"""
 
 ORACLES = {

@@ -68,7 +68,7 @@ def _rollup_columns(rolled: DataFrame) -> DataFrame:
         F.date_format(F.col("window_start").cast("timestamp_ntz"), WINDOW_TEXT).alias("window_start"),
         "event_type",
         "samples",
-        F.round("mean", 6).alias("mean"),
+        F.round("mean", 9).alias("mean"),
         "peak",
     )
 
@@ -137,7 +137,7 @@ QUERIES = {
 def _rollup_sql(interval: str) -> str:
     return f"""
         SELECT strftime(time_bucket(INTERVAL {interval}, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type,
-               count(value) AS samples, round(avg(value), 6) AS mean, max(value) AS peak
+               count(value) AS samples, round(avg(value), 9) AS mean, max(value) AS peak
         FROM events GROUP BY 1, 2"""
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from millrace.operators import aggregates as agg
 from millrace.operators.ordering import head, peek, top_groups
 from millrace.operators.projection import split_features
-from millrace.session import scratch_dir
+from millrace.session import cut_lineage, scratch_dir
 from millrace.sinks.files import ctas_delimited, drop_table, export_parts, save_table
 from millrace.sinks.rows import append_rows
 from millrace.sinks.widecolumn import as_rows, import_columns, put_cells
@@ -115,7 +115,7 @@ def widecolumn_merge(spark: SparkSession, folder: str) -> DataFrame:
         F.col("props").alias("value"),
         F.col("event_id").alias("seq"),
     )
-    as_rows(put_cells(puts)).write.parquet(path)
+    as_rows(cut_lineage(put_cells(puts))).write.parquet(path)
     return widecolumn.cells_of(widecolumn.read_widecolumn(spark, path))
 
 
@@ -124,7 +124,7 @@ def widecolumn_rows(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_dir(spark, "orders-cells")
     orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
     puts = import_columns(orders, "o_custkey", ["o_orderstatus", "o_orderpriority"], "o_orderkey")
-    as_rows(put_cells(puts)).write.parquet(path)
+    as_rows(cut_lineage(put_cells(puts))).write.parquet(path)
     stored = widecolumn.read_widecolumn(spark, path)
     rows = stored.groupBy("rowkey").agg(F.sum(F.size("cf")).alias("cells"))
     return rows.agg(F.count("rowkey").alias("n"), F.sum("cells").alias("cells"))

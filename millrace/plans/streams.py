@@ -81,7 +81,8 @@ def rollup_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Hourly roll-up of the events read as a stream."""
     base = scratch_dir(spark, "rollup")
     events = table(spark, folder, "events")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    # A glob is accepted for a table kept in one file as well as for a folder of part files.
+    stream = spark.readStream.schema(events.schema).parquet(f"{folder}/event[s].parquet")
     rolled = metric_rollup(stream, "1 hour", ["event_type"])
     return _rollup_columns(drain_totals(rolled, f"{base}/rolled", f"{base}/state"))
 

@@ -22,7 +22,8 @@ def as_rows(cells: DataFrame, cells_per_part: int = 10_000) -> DataFrame:
 
     A row wider than ``cells_per_part`` is cut into parts by a hash of the
     qualifier, so no group grows with the width of the widest row. The join only
-    carries the keys of wide rows.
+    carries the keys of wide rows. ``cells`` is read twice: pass stored cells, not
+    the merge that makes them.
     """
     wide = (
         cells.groupBy("rowkey")

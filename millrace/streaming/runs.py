@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.sources.topic import read_topic
 
 
-def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Process everything available, append it to Parquet exactly once, stop."""
+def stored(stream: DataFrame, out: str) -> DataFrame:
+    """What runs have written so far; no rows before the first record arrived."""
+    spark = stream.sparkSession
+    try:
+        return spark.read.schema(stream.schema).parquet(out)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], stream.schema)
+
+
+def drain(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Process everything available, append it to Parquet exactly once, stop.
+
+    The returned DataFrame holds what is committed by now; later runs do not change it.
+    """
     query = (
         stream.writeStream.format("parquet")
         .option("path", out)
@@ -18,6 +33,7 @@ def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
         .start()
     )
     query.awaitTermination()
+    return stored(stream, out)
 
 
 def drain_totals(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
@@ -38,13 +54,12 @@ def drain_totals(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.parquet(out)
+    return stored(stream, out)
 
 
 def replay(spark: SparkSession, source: str, out: str, checkpoint: str, brokers: str | None = None) -> DataFrame:
     """Copy a topic from its first record. A known checkpoint continues, a new one starts over."""
-    drain(read_topic(spark, source, brokers), out, checkpoint)
-    return spark.read.parquet(out)
+    return drain(read_topic(spark, source, brokers), out, checkpoint)
 
 
 def incremental_ingest(
@@ -56,13 +71,8 @@ def incremental_ingest(
     fmt: str = "json",
     max_files: int | None = None,
 ) -> DataFrame:
-    """Move files that arrived since the last run into a Parquet dataset.
-
-    The returned DataFrame holds the files committed by now; later runs do not
-    change it.
-    """
+    """Move files that arrived since the last run into a Parquet dataset."""
     stream = spark.readStream.schema(schema).format(fmt)
     if max_files:
         stream = stream.option("maxFilesPerTrigger", max_files)
-    drain(stream.load(source), out, checkpoint)
-    return spark.read.parquet(out)
+    return drain(stream.load(source), out, checkpoint)

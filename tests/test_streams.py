@@ -38,6 +38,16 @@ def test_a_restarted_consumer_reads_only_what_is_new(spark):
     assert first.count() == 2
 
 
+def test_an_empty_topic_gives_no_rows(spark):
+    base = scratch_dir(spark, "quiet")
+    publish(spark, f"{base}/topic", ["a"])
+    quiet = read_topic(spark, f"{base}/topic").where("value = 'b'")
+    assert drain(quiet, f"{base}/out", f"{base}/s1").count() == 0
+    nothing = spark.readStream.schema("key STRING, value STRING").option("pathGlobFilter", "none").parquet(f"{base}/topic")
+    assert drain(nothing, f"{base}/out2", f"{base}/s2").columns == ["key", "value"]
+    assert drain_totals(stream_word_count(nothing), f"{base}/out3", f"{base}/s3").count() == 0
+
+
 def test_ingest_in_bounded_batches(spark):
     base = scratch_dir(spark, "bounded")
     spark.range(0, 60, 1, 6).write.json(f"{base}/in")

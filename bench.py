@@ -76,6 +76,11 @@ FIXED = {
 }
 
 
+def half_of_memory() -> int:
+    """Half of this machine's memory in GiB, for the one local JVM."""
+    return max(2, os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") // 2**31)
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
@@ -87,7 +92,7 @@ def main() -> None:
         spark__sql__shuffle__partitions=cpus,
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
-        spark__driver__memory=os.environ.get("BENCH_MEMORY", "16g"),
+        spark__driver__memory=f"{half_of_memory()}g",
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{folder}/lineitem.parquet").groupBy("l_returnflag").count().collect()

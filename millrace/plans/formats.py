@@ -175,7 +175,7 @@ ORACLES = {
     "delimited_group_order": """
         SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment ORDER BY n DESC, c_mktsegment DESC""",
     "ctas_tsv": "SELECT l_returnflag, count(*) AS flag_count FROM lineitem GROUP BY l_returnflag",
-    "csv_infer": "SELECT * FROM part",
+    "csv_infer": "SELECT * REPLACE (CAST(p_partkey AS INTEGER) AS p_partkey) FROM part",
     "csv_schema": "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders",
     "json_limit": "SELECT * FROM part ORDER BY p_partkey LIMIT 3",
     "format_registry": """

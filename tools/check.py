@@ -39,12 +39,24 @@ def normal_rows(columns: list[str], rows: list) -> list[tuple]:
     return sorted((tuple(plain(row[i]) for i in order) for row in rows), key=repr)
 
 
+# Spark type names and what the same column is called in DuckDB.
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+def type_differences(df, connection, sql: str) -> list[tuple]:
+    """Columns whose type is not the one the SQL gives."""
+    want = {row[0]: row[1] for row in connection.execute(f"DESCRIBE {sql}").fetchall()}
+    return [(c, t, want.get(c)) for c, t in df.dtypes if TYPES.get(t, t) != want.get(c)]
+
+
 def compare(spark, connection, name: str, folder: str) -> tuple[str, str]:
     df = all_queries()[name](spark, folder)
     got = normal_rows(df.columns, df.collect())
     sql = all_oracles().get(name)
     if sql is None:
         return "ROWS", f"{len(got)} rows {df.columns} {got[:3]}"
+    if differences := type_differences(df, connection, sql):
+        return "FAIL", f"types {differences}"
     result = connection.execute(sql)
     columns = [d[0] for d in result.description]
     want = normal_rows(columns, result.fetchall())

@@ -23,7 +23,7 @@ def _values(data: bytes, side: int) -> np.ndarray:
 
 
 def random_chunks(spark: SparkSession, rows: int, cols: int, side: int, seed: int = 42) -> DataFrame:
-    """Uniform values in [0, 1), one task per few chunks; a chunk's values depend on its place only."""
+    """Uniform values in [0, 1), eight chunks to a task; a chunk's values depend on its place only."""
     across = -(-cols // side)
     count = -(-rows // side) * across
 
@@ -36,7 +36,7 @@ def random_chunks(spark: SparkSession, rows: int, cols: int, side: int, seed: in
                 values[:, max(0, cols - bj * side) :] = 0.0
                 yield pd.DataFrame({"bi": [bi], "bj": [bj], "data": [values.tobytes()]})
 
-    return spark.range(0, count, 1, max(1, count // 2)).mapInPandas(make, CHUNK)
+    return spark.range(0, count, 1, -(-count // 8)).mapInPandas(make, CHUNK)
 
 
 def chunks_of(cells: DataFrame, side: int) -> DataFrame:

@@ -9,6 +9,8 @@ from millrace.sources.delimited import NULL_TEXT, typed_fields
 
 # Fixed value: the default field separator of delimited table storage.
 FIELD_SEPARATOR = "\x01"
+# Records handed to Python at a time; the reader's own adaptive batches are slower for short rows.
+BATCH = 1000
 
 
 def read_sequencefile(
@@ -21,7 +23,8 @@ def read_sequencefile(
     """
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    values = spark.sparkContext.sequenceFile(path).map(lambda pair: (pair[1],))
+    pairs = spark.sparkContext.sequenceFile(path, batchSize=BATCH)
+    values = pairs.map(lambda pair: (pair[1],))
     lines = spark.createDataFrame(values, "value string", verifySchema=False)
     return typed_fields(lines, schema, sep)
 
@@ -30,4 +33,4 @@ def write_sequencefile(df: DataFrame, path: str, sep: str = FIELD_SEPARATOR) ->
     """Store ``df`` as a SequenceFile table."""
     cells = [F.coalesce(F.col(name).cast("string"), F.lit(NULL_TEXT)) for name in df.columns]
     lines = df.select(F.concat_ws(sep, *cells).alias("value"))
-    lines.rdd.map(lambda row: (None, row.value)).saveAsSequenceFile(path)
+    lines.rdd.map(lambda row: (None, row[0])).saveAsSequenceFile(path)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Rows in one Arrow batch. Documents average a few KB, so a batch stays at a few MB, and one of
@@ -9,12 +13,31 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 BATCH_ROWS = 256
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small, unless the session already asks for smaller ones."""
+_SHIPPED: set[str] = set()
+
+
+def prepare_workers(spark: SparkSession) -> None:
+    """Give Python workers this package, and keep their Arrow batches of texts small.
+
+    A session that already asks for smaller batches keeps them.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        root, name = os.path.split(package)
+        archive = os.path.join(tempfile.mkdtemp(prefix="millrace-package-"), f"{name}.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, files in os.walk(package):
+                for file in files:
+                    if file.endswith(".py"):
+                        path = os.path.join(folder, file)
+                        out.write(path, os.path.relpath(path, root))
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
 
 
 def text_or_empty(column: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, chat, warc
+from millrace.llm import bpe, chat, decontaminate, warc
 from millrace.llm.common import prepare_workers
 from millrace.session import scratch_dir
 from millrace.sources.catalog import table
@@ -41,6 +41,20 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its words inside benchmark windows."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.contamination(docs, table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page as a record of deduplicated archives, read back."""
     read = warc.deduplicated_archives(table(spark, folder, "pages"), scratch_dir(spark, "archives"))
@@ -52,6 +66,7 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
 }
 
@@ -71,6 +86,31 @@ ORACLES = {
         SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
                sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
         FROM c""",
+    "op7_decontamination": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS k, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        b AS (
+            SELECT item_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark),
+        i AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS n,
+                   unnest([array_to_string(w[s:s + least(len(w), 10) - 1], ' ') FOR s IN range(1, len(w) - least(len(w), 10) + 2)]) AS g
+            FROM b WHERE len(w) > 0),
+        r AS (
+            SELECT k, n, unnest(range(1, len(w) - n + 2)) AS s, unnest([array_to_string(w[s:s + n - 1], ' ') FOR s IN range(1, len(w) - n + 2)]) AS g
+            FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n),
+        h AS (SELECT k, s, n, item_id FROM r JOIN i USING (n, g)),
+        c AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(s, s + n)) AS p FROM h) GROUP BY k),
+        m AS (SELECT k, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM h GROUP BY k)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+               CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+               sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN c USING (k) LEFT JOIN m USING (k)""",
     "op8_warc": """
         WITH p AS (
             SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,

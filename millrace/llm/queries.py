@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, chat, decontaminate, warc
+from millrace.llm import bpe, chat, decontaminate, ngram_join, warc
 from millrace.llm.common import prepare_workers
 from millrace.session import scratch_dir
 from millrace.sources.catalog import table
@@ -63,11 +63,19 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the smallest id it is linked to."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = ngram_join.jaccard_components(docs)
+    return found.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id")
+
+
 QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op4_byte_bpe": op4_byte_bpe,
     "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 ORACLES = {
@@ -121,4 +129,24 @@ ORACLES = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN original END AS refers_to
         FROM m""",
+    "op10_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                                ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS g
+            FROM w),
+        t AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+        p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b
+            FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n
+            HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+        r(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+        SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, min(r.b) AS component_id
+        FROM s JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, len(g)""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, chat, decontaminate, ngram_join, warc
+from millrace.llm import bpe, chat, decontaminate, learning, ngram_join, toxicity, warc
 from millrace.llm.common import prepare_workers
 from millrace.session import scratch_dir
 from millrace.sources.catalog import table
@@ -41,6 +41,37 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# The held-out fold of toxicity labels and the score from which a text is toxic.
+TOXIC_FOLDS, TOXIC_HELD_OUT, TOXIC_FROM = 5, 0, 0.5
+
+
+def toxicity_model(spark: SparkSession, folder: str) -> toxicity.Model:
+    rows = learning.labelled(
+        table(spark, folder, "documents").select("doc_id", "text"),
+        table(spark, folder, "labels"),
+        "toxic",
+        "doc_id",
+        TOXIC_FOLDS,
+        TOXIC_HELD_OUT,
+    )
+    return toxicity.fit(rows)
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with a toxicity score, learned outside the held-out fold."""
+    prepare_workers(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, toxicity_model(spark, folder))
+    return found.select(
+        "doc_id",
+        (learning.fold("doc_id", TOXIC_FOLDS) == TOXIC_HELD_OUT).alias("held_out"),
+        F.col("toxicity_score").alias("score"),
+        (F.col("toxicity_score") >= TOXIC_FROM).cast("int").alias("predicted"),
+        F.col("toxicity_hits").alias("n_hits"),
+        F.col("toxicity_quoted").alias("n_quoted"),
+    )
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its words inside benchmark windows."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -73,6 +104,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_toxicity": op5_toxicity,
     "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,

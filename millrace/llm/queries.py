@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, chat, decontaminate, learning, ngram_join, quality, rules, statistics, toxicity, warc
+from millrace.llm import bpe, chat, decontaminate, learning, ngram_join, quality, rules, secrets, statistics, toxicity, warc
 from millrace.llm.common import prepare_workers
 from millrace.session import cut_lineage, scratch_dir
 from millrace.sources.catalog import table
@@ -97,6 +97,15 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the places of secrets in it."""
+    prepare_workers(spark)
+    found = secrets.secret_scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans"
+    )
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its words inside benchmark windows."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -142,6 +151,7 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_toxicity": op5_toxicity,
+    "op6_secret_scan": op6_secret_scan,
     "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,

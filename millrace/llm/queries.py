@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, chat, decontaminate, learning, ngram_join, quality, rules, secrets, statistics, toxicity, warc
+from millrace.llm import bpe, chat, decontaminate, learning, ngram_join, pii, quality, rules, secrets, statistics, toxicity, warc
 from millrace.llm.common import prepare_workers
 from millrace.session import cut_lineage, scratch_dir
 from millrace.sources.catalog import table
@@ -58,6 +58,18 @@ def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the places of personal data and of terms that reveal it."""
+    found = pii.find(table(spark, folder, "documents").select("doc_id", "text"))
+    counts = [pii.count_kind("base", name).cast("bigint").alias(f"n_{name}") for name in pii.KINDS[:-1]]
+    base = pii.span_text(F.col("base"))
+    terms = pii.span_text(F.col("terms"), pii.KINDS[-1])
+    both = F.concat_ws(",", F.nullif(base, F.lit("")), F.nullif(terms, F.lit("")))
+    return found.select(
+        F.col("k_id").alias("doc_id"), *counts, F.sha2(base, 256).alias("base_sha256"), both.alias("spans")
+    )
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as token ids, and the bytes that the ids stand for."""
     prepare_workers(spark)
@@ -149,6 +161,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_pii": op3_pii,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_toxicity": op5_toxicity,
     "op6_secret_scan": op6_secret_scan,

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm import learning
 from millrace.llm.common import text_or_empty, with_results
@@ -172,6 +172,12 @@ def _finder(terms: tuple[str, ...]) -> Finder:
     return Finder(terms)
 
 
+def _stems(words: Column, letters: int) -> Column:
+    """The beginnings of the words that have more letters."""
+    longer = F.filter(words, lambda word: F.length(word) > letters)
+    return F.transform(longer, lambda word: F.concat(F.substring(word, 1, letters), F.lit(STEM)))
+
+
 def learn_lexicon(sample: DataFrame, column: str = "text") -> tuple[str, ...]:
     """Terms of a labelled sample, the strongest first; a stem ends in ``*``.
 
@@ -184,12 +190,7 @@ def learn_lexicon(sample: DataFrame, column: str = "text") -> tuple[str, ...]:
     )
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0)))
     rows = texts.select("label", words.alias("words"))
-    stems = [
-        F.transform(
-            F.filter("words", lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit(STEM))
-        )
-        for k in STEMS
-    ]
+    stems = [_stems(F.col("words"), letters) for letters in STEMS]
     terms = F.array_distinct(F.concat("words", *stems))
     totals = rows.agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).first()
     toxic, clean = totals["toxic"] or 0, totals["clean"] or 0

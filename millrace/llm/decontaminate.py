@@ -46,6 +46,13 @@ def _winnowed(grams: Column, window: int) -> Column:
     return F.when(last >= 0, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _windows(starts: Column, length: int) -> Column:
+    """``start, window`` of the runs of ``words`` that begin at the starts."""
+    return F.transform(
+        starts, lambda s: F.struct(s.alias("start"), F.array_join(F.slice("words", s + 1, F.lit(length)), " ").alias("window"))
+    )
+
+
 def _stored_words(rows: DataFrame, *keep: str) -> DataFrame:
     """Rows with ``words`` and the hashes of their grams, each computed once."""
     named = rows.select(*keep, "words")
@@ -103,7 +110,11 @@ def find_hits(
         .groupBy("k_id", "k_text")
         .agg(F.collect_set("print").alias("prints"))
     )
-    again = long_docs.alias("d").join(shared.alias("s"), _same("d", "s")).select("d.*", "s.prints")
+    # Texts travel to the shared hashes; their words and grams are made again behind the join.
+    again = texts.alias("d").join(shared.alias("s"), _same("d", "s")).select(
+        "d.k_id", "d.k_text", "s.prints", words_of(F.col("d.text")).alias("words")
+    )
+    again = _stored_words(again, "k_id", "k_text", "prints")
     at = F.filter(F.sequence(F.lit(0), F.size("grams") - 1), lambda i: F.array_contains(F.col("prints"), F.get("grams", i)))
     reach = F.flatten(
         F.transform(
@@ -116,12 +127,7 @@ def find_hits(
     candidates = again.select(
         "k_id",
         "k_text",
-        F.explode(
-            F.transform(
-                F.array_distinct(reach),
-                lambda s: F.struct(s.alias("start"), F.array_join(F.slice("words", s + 1, F.lit(WINDOW)), " ").alias("window")),
-            )
-        ).alias("c"),
+        F.explode(_windows(F.array_distinct(reach), WINDOW)).alias("c"),
     )
     long_hits = candidates.join(
         windows.where(F.col("length") == WINDOW), F.col("c.window") == F.col("window")
@@ -132,16 +138,8 @@ def find_hits(
     lengths = sorted(row["length"] for row in short.select("length").distinct().collect())
     hits = long_hits
     for n in lengths:
-        runs = tokens.where(F.size("words") >= n).select(
-            "k_id",
-            "k_text",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(0), F.size("words") - n),
-                    lambda s, n=n: F.struct(s.alias("start"), F.array_join(F.slice("words", s + 1, F.lit(n)), " ").alias("window")),
-                )
-            ).alias("c"),
-        )
+        starts = F.sequence(F.lit(0), F.size("words") - n)
+        runs = tokens.where(F.size("words") >= n).select("k_id", "k_text", F.explode(_windows(starts, n)).alias("c"))
         found = runs.join(short.where(F.col("length") == n), F.col("c.window") == F.col("window"))
         hits = hits.unionByName(found.select("k_id", "k_text", F.col("c.start").alias("start"), "length", "item_id"))
     return hits

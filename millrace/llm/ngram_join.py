@@ -65,16 +65,20 @@ def _may_miss(size: Column, percent: int) -> Column:
 
 
 def sketches(docs: DataFrame, key: str, column: str, percent: int, size: int) -> DataFrame:
-    """``doc, cls, check, n, prefix`` of every row; ``cls`` and ``check`` are hashes of the whole set.
+    """``doc, text_hash, cls, check, n, prefix`` of every row; ``cls`` and ``check`` are hashes of the whole set.
 
     ``prefix`` holds the smallest hashes of the set: the tokens a linked set can lack, and the
     number that must be shared on top.
     """
-    rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc"), token_set(text_or_empty(column), size).alias("tokens"))
+    text = text_or_empty(column)
+    rows = docs.select(
+        F.col(f"`{key}`").cast("bigint").alias("doc"), F.xxhash64(text).alias("text_hash"), token_set(text, size).alias("tokens")
+    )
     n = F.size("tokens")
     length = _may_miss(n, percent) + F.floor(n * MORE_PERCENT / 100).cast("int") + 1
     return rows.select(
         "doc",
+        "text_hash",
         F.xxhash64("tokens").alias("cls"),
         F.xxhash64(F.lit("check"), "tokens").alias("check"),
         n.alias("n"),
@@ -212,7 +216,10 @@ def _composed(first: DataFrame | None, then: DataFrame | None) -> DataFrame | No
 def jaccard_components(
     docs: DataFrame, key: str = "doc_id", column: str = "text", percent: int = PERCENT, size: int = WORDS
 ) -> DataFrame:
-    """``doc, n_shingles, component_id`` for every row of ``docs``."""
+    """``doc, text_hash, n_shingles, cls, component_id`` for every row of ``docs``.
+
+    ``text_hash`` tells rows with one id apart, ``cls`` is the class of equal sets.
+    """
     spark = docs.sparkSession
     before = _clean_shuffles(spark)
     rows = cut_lineage(sketches(docs, key, column, percent, size))
@@ -235,7 +242,26 @@ def jaccard_components(
     _restore(spark, before)
     result = rows.drop("prefix", "check").join(by_class, "cls", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc"))
-    return result.select("doc", F.col("n").cast("bigint").alias("n_shingles"), own.alias("component_id"))
+    return result.select("doc", "text_hash", F.col("n").cast("bigint").alias("n_shingles"), "cls", own.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one document of each group of linked ones: the one with the smallest id.
+
+    Documents without words are in no group and stay. Of rows that repeat the id that stays,
+    one is kept.
+    """
+    found = cut_lineage(jaccard_components(docs, key, column))
+    words = found.where("n_shingles > 0")
+    group = F.when(F.col("component_id").isNull(), F.col("cls"))
+    first = words.where(F.col("doc").eqNullSafe(F.col("component_id"))).groupBy("component_id", group.alias("unnamed"))
+    stays = cut_lineage(first.agg(F.min(F.struct("doc", "text_hash")).alias("f")).select("f.doc", "f.text_hash"))
+    text = text_or_empty(column)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(own.alias("row"), F.col(f"`{key}`").cast("bigint").alias("doc"), F.xxhash64(text).alias("text_hash"), text.rlike(WORD).alias("worded"))
+    same = F.col("r.doc").eqNullSafe(F.col("s.doc")) & F.col("r.text_hash").eqNullSafe(F.col("s.text_hash"))
+    kept = rows.where("worded").alias("r").join(stays.alias("s"), same, "left_semi").dropDuplicates(["doc", "text_hash"])
+    return kept.select("row.*").unionByName(rows.where("NOT worded").select("row.*"))
 
 
 def _clean_shuffles(spark: SparkSession) -> str | None:

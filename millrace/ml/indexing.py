@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from millrace.operators.aggregates import count_by
@@ -30,23 +29,16 @@ def label_dictionary(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def index_round_trip(df: DataFrame, column: str, name: str = "index", max_labels: int = 100_000) -> DataFrame:
+def index_round_trip(df: DataFrame, column: str, name: str = "index") -> DataFrame:
     """Add the index of each category and the category read back from it; NULL has neither.
 
-    Up to ``max_labels`` categories the label list travels inside the model; beyond
-    that it stays a distributed dictionary joined both ways.
+    The categories stay a distributed dictionary that is joined both ways, however many there are.
     """
-    labels = df.agg(F.count_distinct(column)).first()[0]
     restored = f"{column}_restored"
+    words = cut_lineage(label_dictionary(df, column))
+    forward = words.select(F.col("label").alias(column), F.col("index").alias(name))
+    backward = words.select(F.col("index").alias(name), F.col("label").alias(restored))
     known = df.where(F.col(column).isNotNull())
-    if labels <= max_labels:
-        indexer = StringIndexer(inputCol=column, outputCol=name).fit(known)
-        back = IndexToString(inputCol=name, outputCol=restored, labels=indexer.labels)
-        indexed = back.transform(indexer.transform(known))
-    else:
-        words = label_dictionary(df, column)
-        forward = words.select(F.col("label").alias(column), F.col("index").alias(name))
-        backward = words.select(F.col("index").alias(name), F.col("label").alias(restored))
-        indexed = known.join(forward, column).join(backward, name)
-        indexed = indexed.select(*df.columns, F.col(name).cast("double").alias(name), restored)
+    indexed = known.join(forward, column).join(backward, name)
+    indexed = indexed.select(*df.columns, F.col(name).cast("double").alias(name), restored)
     return indexed.unionByName(df.where(F.col(column).isNull()), allowMissingColumns=True)

@@ -12,9 +12,13 @@ from pyspark.sql.types import StructType
 RankFunction = Callable[..., pd.DataFrame]
 
 
-def run_ranks(df: DataFrame, fn: RankFunction, n: int, schema: StructType | str, *args: object) -> DataFrame:
+def run_ranks(
+    df: DataFrame, fn: RankFunction, n: int | None, schema: StructType | str, *args: object
+) -> DataFrame:
     """Run ``fn(rank, size, context, batches, *args)`` once on each of ``n`` ranks.
 
+    Without ``n`` there are as many ranks as the cluster has slots.
+
     Rows are dealt evenly over the ranks and reach ``fn`` as an iterator of bounded
     batches. Spark starts the stage only when ``n`` slots are free and restarts all
     ranks if one is lost.
@@ -24,4 +28,5 @@ def run_ranks(df: DataFrame, fn: RankFunction, n: int, schema: StructType | str,
         context = BarrierTaskContext.get()
         yield fn(context.partitionId(), len(context.getTaskInfos()), context, batches, *args)
 
-    return df.repartition(n).mapInPandas(on_rank, schema, barrier=True)
+    ranks = n or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(ranks).mapInPandas(on_rank, schema, barrier=True)

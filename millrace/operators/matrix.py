@@ -67,6 +67,9 @@ def transpose_add_row_mean(
     return row_mean(copies, width, name)
 
 
-def rechunk(df: DataFrame, n: int) -> DataFrame:
-    """The same rows in ``n`` even partitions."""
-    return df.repartition(n)
+def rechunk(df: DataFrame, n: int | None = None, *by: str) -> DataFrame:
+    """The same rows in ``n`` even partitions, or in as many as the session's shuffles have.
+
+    With columns in ``by``, equal values share a partition.
+    """
+    return df.repartition(n, *by) if n else df.repartition(*by) if by else df.hint("rebalance")

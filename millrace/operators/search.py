@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType
 
-from millrace.functions.text import terms
+from millrace.functions.text import LETTERS_DIGITS, terms
 
 # Fixed value: the name of the catch-all field.
 CATCH_ALL = "_text_"
@@ -24,7 +24,7 @@ def catch_all(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def tokenize_col(df: DataFrame, column: str, name: str = "tokens") -> DataFrame:
-    """Add the analysed form of a text column: lower-case ASCII terms in order."""
+    """Add the analysed form of a text column: lower-case terms in order."""
     return df.withColumn(name, terms(F.col(column)))
 
 
@@ -34,9 +34,9 @@ def matches(text: Column, term: str) -> Column:
     Equal to looking the term up among the tokens, but stops at the first hit and
     builds no token list: a token is a run of term characters with none beside it.
     """
-    if not re.fullmatch("[a-z0-9]+", term.lower()):
+    if not term or any(unicodedata.category(sign)[0] not in "LMN" for sign in term):
         raise ValueError(f"not a single search term: {term!r}")
-    return F.rlike(F.lower(text), F.lit(f"(?<![a-z0-9]){term.lower()}(?![a-z0-9])"))
+    return F.rlike(F.lower(text), F.lit(f"(?<![{LETTERS_DIGITS}]){term.lower()}(?![{LETTERS_DIGITS}])"))
 
 
 def search_count(df: DataFrame, columns: list[str], term: str, name: str = "num_found") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.functions.sampling import uniform_from_digest
 from millrace.operators import chunks, matrix
 from millrace.operators.joins import inner_join
 from millrace.sources.catalog import table
@@ -29,8 +30,10 @@ def add_transpose(spark: SparkSession, folder: str) -> DataFrame:
 
 def slice_mean(spark: SparkSession, folder: str) -> DataFrame:
     """The same sum taken cell by cell, then sliced and averaged."""
-    both = matrix.add_transpose(trade_matrix(spark, folder))
-    means = matrix.row_mean(matrix.slice2d(both, 2, 12), 13)
+    trade = trade_matrix(spark, folder)
+    side = table(spark, folder, "nation").agg(F.max("n_nationkey")).first()[0] + 1
+    start = side // 2
+    means = matrix.row_mean(matrix.slice2d(matrix.add_transpose(trade), 2, start), side - start)
     return means.select("i", F.round("mean", 2).alias("mean"))
 
 
@@ -53,14 +56,12 @@ def chunked_row_mean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def random_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    """A random array with a row per customer, rechunked: its shape and the bounds of its values."""
-    rows = table(spark, folder, "customer").count()
-    cells = matrix.rechunk(matrix.random_matrix(spark, rows, 64), 16)
-    return cells.agg(
-        (F.max("i") + 1).alias("row_count"),
-        (F.max("j") + 1).alias("col_count"),
-        F.count("v").alias("cells"),
-        ((F.min("v") >= 0) & (F.max("v") < 1)).alias("in_bounds"),
+    """A random value for every cell of the embeddings, rechunked by row: length, sum and peak of each row."""
+    cells = matrix.from_vectors(table(spark, folder, "embeddings"), "vec_id", "embedding")
+    value = uniform_from_digest(F.concat_ws("-", "i", "j"), "cell")
+    drawn = matrix.rechunk(cells.select("i", "j", value.alias("v")), None, "i")
+    return drawn.groupBy("i").agg(
+        F.count("v").alias("cells"), F.round(F.sum("v"), 9).alias("total"), F.max("v").alias("peak")
     )
 
 
@@ -90,10 +91,13 @@ _ROW_MEAN = """
 ORACLES = {
     "matrix_add_transpose": f"WITH {_TRADE} SELECT i, j, round(v, 2) AS v FROM y",
     "matrix_slice_mean": f"""
-        WITH {_TRADE} SELECT i, round(sum(v) / 13, 2) AS mean FROM y WHERE i % 2 = 0 AND j >= 12 GROUP BY i""",
+        WITH {_TRADE}, s AS (SELECT max(n_nationkey) + 1 AS side FROM nation)
+        SELECT i, round(sum(v) / any_value(side - side // 2), 2) AS mean
+        FROM y, s WHERE i % 2 = 0 AND j >= side // 2 GROUP BY i""",
     "matrix_row_mean": _ROW_MEAN,
     "matrix_chunked_mean": _ROW_MEAN,
     "random_matrix_shape": """
-        SELECT count(*) AS row_count, CAST(64 AS BIGINT) AS col_count, 64 * count(*) AS cells, true AS in_bounds
-        FROM customer""",
+        WITH c AS (SELECT vec_id AS i, unnest(range(0, len(embedding))) AS j FROM embeddings),
+        v AS (SELECT i, CAST('0x' || substr(md5(i || '-' || j || '/cell'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS v FROM c)
+        SELECT i, count(v) AS cells, round(sum(v), 9) AS total, max(v) AS peak FROM v GROUP BY i""",
 }

@@ -12,7 +12,7 @@ from millrace.operators.projection import split_features
 from millrace.session import cut_lineage, scratch_dir
 from millrace.sinks.files import ctas_delimited, drop_table, export_parts, save_table
 from millrace.sinks.rows import append_rows
-from millrace.sinks.widecolumn import as_rows, import_columns, put_cells
+from millrace.sinks.widecolumn import import_columns, put_cells, store_cells
 from millrace.sources import delimited, files, widecolumn
 from millrace.sources.catalog import table
 from millrace.sources.sequencefile import write_sequencefile
@@ -25,31 +25,37 @@ def delimited_group_order(spark: SparkSession, folder: str) -> DataFrame:
     customers = table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     ctas_delimited(customers, path, ":")
     schema = "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_mktsegment STRING"
-    return top_groups(delimited.read_delimited(spark, path, schema, ":"), ["c_mktsegment"])
+    return top_groups(delimited.read_delimited(spark, path, schema, ":", escaped=True), ["c_mktsegment"])
 
 
 def ctas_tsv(spark: SparkSession, folder: str) -> DataFrame:
     """A grouped result stored as tab-delimited text and selected from."""
     path = scratch_dir(spark, "grouped")
     ctas_delimited(top_groups(table(spark, folder, "lineitem"), ["l_returnflag"], name="flag_count"), path)
-    return delimited.read_delimited(spark, path, "l_returnflag STRING, flag_count BIGINT", "\t").select("*")
+    return delimited.read_delimited(spark, path, "l_returnflag STRING, flag_count BIGINT", "\t", True).select("*")
 
 
 def csv_infer(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_dir(spark, "part.csvh")
     table(spark, folder, "part").write.option("header", True).csv(path)
-    return delimited.read_csv_infer(spark, path)
+    # Inference picks the narrowest whole number the keys fit in.
+    return delimited.read_csv_infer(spark, path).withColumn("p_partkey", F.col("p_partkey").cast("bigint"))
 
 
 def csv_schema(spark: SparkSession, folder: str) -> DataFrame:
-    """A training table in CSV; one column dropped, features told from the label."""
-    path = scratch_dir(spark, "orders.csvh")
-    orders = table(spark, folder, "orders").drop("o_orderdate")
-    orders.write.option("header", True).csv(path)
-    training, features = split_features(
-        delimited.read_csv(spark, path, orders.schema), "o_orderstatus", ["o_orderpriority"]
-    )
-    return training.select(*features, "o_orderstatus")
+    """A training and an evaluation table in CSV, read with declared types; features told from the label."""
+    base = scratch_dir(spark, "orders")
+    orders = table(spark, folder, "orders")
+    evaluated = F.col("o_orderkey") % 5 == 0
+    parts = []
+    for name, rows in (("train", orders.where(~evaluated)), ("eval", orders.where(evaluated))):
+        path = f"{base}/{name}.csvh"
+        rows.write.option("header", True).csv(path)
+        read, features = split_features(delimited.read_csv(spark, path, orders.schema), "o_orderstatus", [])
+        parts.append(read.select(F.lit(name).alias("part"), *features, "o_orderstatus"))
+    both = parts[0].unionByName(parts[1])
+    day = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    return both.withColumn("o_orderdate", day)
 
 
 def json_limit(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,7 +102,16 @@ def orc_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     name, path = f"millrace_{uuid.uuid4().hex}", scratch_dir(spark, "supplier.orc")
     save_table(table(spark, folder, "supplier"), name, "orc", path)
     drop_table(spark, name)
-    return files.read_orc(spark, path).select("s_suppkey", "s_nationkey")
+    return files.read_orc(spark, path)
+
+
+def managed_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Saved as a table the catalog owns, selected from by name, dropped."""
+    name = f"millrace_{uuid.uuid4().hex}"
+    stored = save_table(table(spark, folder, "supplier"), name)
+    kept = cut_lineage(stored.where("s_acctbal >= 0"))
+    drop_table(spark, name)
+    return kept
 
 
 def export_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,7 +122,7 @@ def export_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def widecolumn_merge(spark: SparkSession, folder: str) -> DataFrame:
-    """Puts merged to the latest value per cell, stored as rows of maps, scanned back."""
+    """Puts merged to the latest value per cell, stored and scanned back."""
     path = scratch_dir(spark, "cells")
     puts = table(spark, folder, "events").select(
         F.col("user_id").cast("string").alias("rowkey"),
@@ -115,8 +130,8 @@ def widecolumn_merge(spark: SparkSession, folder: str) -> DataFrame:
         F.col("props").alias("value"),
         F.col("event_id").alias("seq"),
     )
-    as_rows(cut_lineage(put_cells(puts))).write.parquet(path)
-    return widecolumn.cells_of(widecolumn.read_widecolumn(spark, path))
+    store_cells(put_cells(puts), path)
+    return widecolumn.read_widecolumn(spark, path)
 
 
 def widecolumn_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,9 +139,8 @@ def widecolumn_rows(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_dir(spark, "orders-cells")
     orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
     puts = import_columns(orders, "o_custkey", ["o_orderstatus", "o_orderpriority"], "o_orderkey")
-    as_rows(cut_lineage(put_cells(puts))).write.parquet(path)
-    stored = widecolumn.read_widecolumn(spark, path)
-    rows = stored.groupBy("rowkey").agg(F.sum(F.size("cf")).alias("cells"))
+    store_cells(put_cells(puts), path)
+    rows = widecolumn.row_keys(widecolumn.read_widecolumn(spark, path))
     return rows.agg(F.count("rowkey").alias("n"), F.sum("cells").alias("cells"))
 
 
@@ -143,10 +157,10 @@ def tsv_import_last_wins(spark: SparkSession, folder: str) -> DataFrame:
 def key_value_append(spark: SparkSession, folder: str) -> DataFrame:
     """Two appends to one stored table, then a numeric filter over both."""
     target = scratch_dir(spark, "store")
-    schema = "food STRING, price DOUBLE"
+    schema = "item STRING, amount DOUBLE"
     append_rows(table(spark, folder, "part").select("p_name", "p_retailprice"), target, schema)
     append_rows(table(spark, folder, "supplier").select("s_name", "s_acctbal"), target, schema)
-    return spark.read.parquet(target).where("price < 950").select("food")
+    return spark.read.parquet(target).where("amount < 950").select("item")
 
 
 def warehouse_peek(spark: SparkSession, folder: str) -> DataFrame:
@@ -163,6 +177,7 @@ QUERIES = {
     "format_registry": format_registry,
     "sequencefile_group": sequencefile_group,
     "orc_roundtrip": orc_roundtrip,
+    "managed_table": managed_table,
     "export_parts": export_lines,
     "widecolumn_merge": widecolumn_merge,
     "widecolumn_rows": widecolumn_rows,
@@ -175,8 +190,11 @@ ORACLES = {
     "delimited_group_order": """
         SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment ORDER BY n DESC, c_mktsegment DESC""",
     "ctas_tsv": "SELECT l_returnflag, count(*) AS flag_count FROM lineitem GROUP BY l_returnflag",
-    "csv_infer": "SELECT * REPLACE (CAST(p_partkey AS INTEGER) AS p_partkey) FROM part",
-    "csv_schema": "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders",
+    "csv_infer": "SELECT * FROM part",
+    "csv_schema": """
+        SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'eval' ELSE 'train' END AS part,
+               * REPLACE (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate)
+        FROM orders""",
     "json_limit": "SELECT * FROM part ORDER BY p_partkey LIMIT 3",
     "format_registry": """
         SELECT f.format, count(s_name) AS n, CAST(sum(s_suppkey) AS BIGINT) AS keys
@@ -185,7 +203,8 @@ ORACLES = {
         GROUP BY f.format""",
     "sequencefile_group": """
         SELECT l_linenumber AS number, count(*) AS total FROM lineitem GROUP BY 1 ORDER BY 1 DESC""",
-    "orc_roundtrip": "SELECT s_suppkey, s_nationkey FROM supplier",
+    "orc_roundtrip": "SELECT * FROM supplier",
+    "managed_table": "SELECT * FROM supplier WHERE s_acctbal >= 0",
     "export_parts": "SELECT count(*) AS records FROM orders",
     "widecolumn_merge": """
         SELECT CAST(user_id AS VARCHAR) AS rowkey, event_type AS qualifier, arg_max(props, event_id) AS value
@@ -197,7 +216,7 @@ ORACLES = {
                arg_max(props, event_id) AS props
         FROM events GROUP BY user_id""",
     "key_value_append": """
-        SELECT p_name AS food FROM part WHERE p_retailprice < 950
+        SELECT p_name AS item FROM part WHERE p_retailprice < 950
         UNION ALL SELECT s_name FROM supplier WHERE s_acctbal < 950""",
     "warehouse_peek": "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 1",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,7 +17,7 @@ from millrace.session import scratch_dir
 from millrace.sinks.rows import append_rows, append_view, overwrite_snapshot, update_where
 from millrace.sources.catalog import load_star_schema, table
 from millrace.sources.files import read_orc
-from millrace.sources.generated import generate_rows, range_df
+from millrace.sources.generated import range_df, rows_of
 
 
 def project_filter(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,9 +73,10 @@ def join_count_hot_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def range_join_count(spark: SparkSession, folder: str) -> DataFrame:
-    """Two integer ranges as long as the line items, in six partitions each, joined and counted."""
-    n = table(spark, folder, "lineitem").count()
-    return join_count(range_df(spark, n, 6), range_df(spark, n, 6), "id")
+    """An integer range up to the largest order key, joined with the keys of the line items and counted."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey")
+    top = lines.agg(F.max("l_orderkey")).first()[0]
+    return join_count(range_df(spark, (top or 0) // 2 + 1), lines, ("id", "l_orderkey"))
 
 
 def total_price(spark: SparkSession, folder: str) -> DataFrame:
@@ -138,17 +140,20 @@ def quasi_pi(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def generated_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """As many generated rows as there are orders."""
-    return generate_rows(spark, table(spark, folder, "orders").count())
+    """A generated row for every order, made from its key."""
+    return rows_of(table(spark, folder, "orders").select(F.col("o_orderkey").alias("id")))
 
 
 def view_append(spark: SparkSession, folder: str) -> DataFrame:
     """A view of customer names grown by the supplier names, read again by name."""
     names = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    names.createOrReplaceTempView("millrace_names")
+    view = f"millrace_{uuid.uuid4().hex}"
+    names.createOrReplaceTempView(view)
     more = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    append_view(spark, "millrace_names", more)
-    return spark.table("millrace_names").select("*")
+    append_view(spark, view, more)
+    result = spark.table(view).select("*")
+    spark.catalog.dropTempView(view)
+    return result
 
 
 def insert_cast(spark: SparkSession, folder: str) -> DataFrame:
@@ -220,8 +225,7 @@ ORACLES = {
     "join_count_hot_keys": """
         SELECT count(*) AS n FROM events a JOIN events b ON a.event_type = b.event_type""",
     "range_join_count": """
-        WITH r AS (SELECT row_number() OVER () AS id FROM lineitem)
-        SELECT count(*) AS n FROM r a JOIN r b ON a.id = b.id""",
+        SELECT count(*) AS n FROM lineitem WHERE l_orderkey BETWEEN 0 AND (SELECT max(l_orderkey) // 2 FROM lineitem)""",
     "total": "SELECT round(sum(l_extendedprice), 2) AS total FROM lineitem",
     "distinct_values": "SELECT DISTINCT upper(event_type) AS kind FROM events",
     "worker_runtimes": "SELECT CAST(1 AS BIGINT) AS runtimes, count(*) AS rows FROM events",
@@ -246,18 +250,18 @@ ORACLES = {
         SELECT samples, inside, round(inside * 4.0::DOUBLE / samples, 9) AS pi FROM t""",
     "quasi_pi": """
         WITH p AS (
-          SELECT list_sum(list_transform(range(0, 30), lambda k:
-                   ((o_orderkey // CAST(2 ** k AS BIGINT)) % 2) * CAST(2 ** (29 - k) AS BIGINT)))::DOUBLE
-                   / (2 ** 30)::DOUBLE - 0.5::DOUBLE AS x,
-                 list_sum(list_transform(range(0, 20), lambda k:
-                   ((o_orderkey // CAST(3 ** k AS BIGINT)) % 3) * CAST(3 ** (19 - k) AS BIGINT)))::DOUBLE
-                   / (3 ** 20)::DOUBLE - 0.5::DOUBLE AS y
+          SELECT list_sum(list_transform(range(0, 40), lambda k:
+                   ((o_orderkey // CAST(2 ** k AS BIGINT)) % 2) * CAST(2 ** (39 - k) AS BIGINT)))::DOUBLE
+                   / (2 ** 40)::DOUBLE - 0.5::DOUBLE AS x,
+                 list_sum(list_transform(range(0, 26), lambda k:
+                   ((o_orderkey // CAST(3 ** k AS BIGINT)) % 3) * CAST(3 ** (25 - k) AS BIGINT)))::DOUBLE
+                   / (3 ** 26)::DOUBLE - 0.5::DOUBLE AS y
           FROM orders),
         t AS (SELECT count(*) AS samples,
                      CAST(sum(CASE WHEN x * x + y * y > 0.25::DOUBLE THEN 0 ELSE 1 END) AS BIGINT) AS inside FROM p)
         SELECT samples, inside, round(inside * 4.0::DOUBLE / samples, 9) AS pi FROM t""",
     "generated_rows": """
-        WITH r AS (SELECT row_number() OVER () - 1 AS id FROM orders),
+        WITH r AS (SELECT o_orderkey AS id FROM orders),
         d AS (SELECT id, md5(CAST(id AS VARCHAR)) AS h FROM r)
         SELECT substr(h, 1, 10) AS key, lpad(printf('%X', id), 32, '0') AS rowid,
                repeat(substr(h, 11, 12), 4) AS filler FROM d""",

@@ -8,8 +8,9 @@ from millrace.operators.aggregates import row_count
 from millrace.session import scratch_dir
 from millrace.sinks.topic import write_topic
 from millrace.sources.catalog import table
+from millrace.sources.topic import read_topic
 from millrace.streaming.aggregates import metric_rollup, stream_word_count
-from millrace.streaming.joblogs import summarize_event_logs
+from millrace.streaming.joblogs import jobs_per_day, read_event_logs, stage_statistics
 from millrace.streaming.runs import drain_totals, incremental_ingest, replay
 
 WINDOW_TEXT = "yyyy-MM-dd HH:mm:ss"
@@ -59,7 +60,7 @@ def streamed_words(spark: SparkSession, folder: str) -> DataFrame:
     base = scratch_dir(spark, "words")
     conversations = table(spark, folder, "conversations")
     write_topic(conversations, f"{base}/topic", F.col("text"), F.col("conv_id"))
-    lines = spark.readStream.schema("key STRING, value STRING").parquet(f"{base}/topic")
+    lines = read_topic(spark, f"{base}/topic")
     return drain_totals(stream_word_count(lines), f"{base}/counts", f"{base}/state")
 
 
@@ -78,49 +79,47 @@ def rollup_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rollup_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Hourly roll-up of the events read as a stream."""
+    """Ten-second roll-up of the events read as a stream."""
     base = scratch_dir(spark, "rollup")
     events = table(spark, folder, "events")
     # A glob is accepted for a table kept in one file as well as for a folder of part files.
     stream = spark.readStream.schema(events.schema).parquet(f"{folder}/event[s].parquet")
-    rolled = metric_rollup(stream, "1 hour", ["event_type"])
+    rolled = metric_rollup(stream, "10 seconds", ["event_type"])
     return _rollup_columns(drain_totals(rolled, f"{base}/rolled", f"{base}/state"))
 
 
-def _write_logs(spark: SparkSession, folder: str) -> str:
-    """The events as job starts and the line items as finished tasks, in the event-log layout."""
-    path = scratch_dir(spark, "logs")
-    submitted = F.unix_millis(F.col("ts").cast("timestamp"))
-    jobs = table(spark, folder, "events").select(
+def _write_logs(rows: DataFrame) -> str:
+    """Rows in the event-log layout, one folder per application."""
+    path = scratch_dir(rows.sparkSession, "logs")
+    rows.write.partitionBy("app").option("compression", "gzip").json(path)
+    return path
+
+
+def event_log_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as job starts of one application."""
+    started = table(spark, folder, "events").select(
         F.lit("A").alias("app"),
         F.lit("SparkListenerJobStart").alias("Event"),
         F.col("event_id").alias("Job ID"),
-        submitted.alias("Submission Time"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("Submission Time"),
         F.struct(F.col("event_type").alias("spark.job.description")).alias("Properties"),
     )
-    started = F.col("l_orderkey")
-    tasks = table(spark, folder, "lineitem").select(
+    jobs = jobs_per_day(read_event_logs(spark, _write_logs(started), "app=([A-Z]+)"))
+    return jobs.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "job_type", "jobs")
+
+
+def event_log_stages(spark: SparkSession, folder: str) -> DataFrame:
+    """The line items as finished tasks, with run times from their prices."""
+    launched = F.col("l_orderkey")
+    finished = table(spark, folder, "lineitem").select(
         F.col("l_returnflag").alias("app"),
         F.lit("SparkListenerTaskEnd").alias("Event"),
         F.col("l_linenumber").cast("bigint").alias("Stage ID"),
         F.struct(
-            started.alias("Launch Time"),
-            (started + F.col("l_quantity").cast("bigint") * 100).alias("Finish Time"),
+            launched.alias("Launch Time"), (launched + F.floor(F.col("l_extendedprice")).cast("bigint")).alias("Finish Time")
         ).alias("Task Info"),
     )
-    for rows in (jobs, tasks):
-        rows.write.mode("append").partitionBy("app").option("compression", "gzip").json(path)
-    return path
-
-
-def event_log_jobs(spark: SparkSession, folder: str) -> DataFrame:
-    jobs, _ = summarize_event_logs(spark, _write_logs(spark, folder), "app=([A-Z]+)")
-    return jobs.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "job_type", "jobs")
-
-
-def event_log_stages(spark: SparkSession, folder: str) -> DataFrame:
-    _, stages = summarize_event_logs(spark, _write_logs(spark, folder), "app=([A-Z]+)")
-    return stages
+    return stage_statistics(read_event_logs(spark, _write_logs(finished), "app=([A-Z]+)"))
 
 
 QUERIES = {
@@ -149,17 +148,17 @@ ORACLES = {
         SELECT 1 AS step, count(*) AS stored FROM events
         UNION ALL SELECT 2, count(*) FROM events UNION ALL SELECT 3, 2 * count(*) FROM events""",
     "incremental_ingest": "SELECT event_id, user_id, event_type, value FROM events",
-    "stream_word_count": """
+    "stream_word_count": r"""
         SELECT word, count(*) AS n
-        FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations) GROUP BY word""",
+        FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}]+')) AS word FROM conversations) GROUP BY word""",
     "metric_rollup": _rollup_sql("10 SECOND"),
-    "metric_rollup_stream": _rollup_sql("1 HOUR"),
+    "metric_rollup_stream": _rollup_sql("10 SECOND"),
     "event_log_jobs": """
         SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS job_type, count(*) AS jobs FROM events GROUP BY 1, 2""",
     "event_log_stages": """
         SELECT l_returnflag AS app, CAST(l_linenumber AS BIGINT) AS stage, count(*) AS tasks,
-               CAST(sum(CAST(l_quantity AS BIGINT) * 100) AS BIGINT) AS total_ms,
-               max(CAST(l_quantity AS BIGINT) * 100) AS max_ms,
-               quantile_disc(CAST(l_quantity AS BIGINT) * 100, 0.5) AS median_ms
+               CAST(sum(CAST(floor(l_extendedprice) AS BIGINT)) AS BIGINT) AS total_ms,
+               max(CAST(floor(l_extendedprice) AS BIGINT)) AS max_ms,
+               quantile_disc(CAST(floor(l_extendedprice) AS BIGINT), 0.5) AS median_ms
         FROM lineitem GROUP BY 1, 2""",
 }

@@ -76,21 +76,21 @@ QUERIES = {
 }
 
 ORACLES = {
-    "word_count": """
+    "word_count": r"""
         SELECT word, count(*) AS n
-        FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY word""",
-    "line_word_count": """
+        FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}]+')) AS word FROM documents) GROUP BY word""",
+    "line_word_count": r"""
         SELECT word, count(*) AS n
-        FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations) GROUP BY word""",
+        FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}]+')) AS word FROM conversations) GROUP BY word""",
     "sketch_global": "SELECT count(DISTINCT l_orderkey) AS exact, true AS close FROM lineitem",
     "sketch_by_key": """
         SELECT event_type, count(DISTINCT user_id) AS exact, true AS close FROM events GROUP BY event_type""",
     "sketch_merged": """
         SELECT l_returnflag, count(DISTINCT l_orderkey) AS exact, true AS close FROM lineitem GROUP BY l_returnflag""",
-    "search_count": """
+    "search_count": r"""
         SELECT count(*) AS num_found FROM documents
-        WHERE list_contains(regexp_extract_all(lower(concat_ws(' ', text, lang, source)), '[a-z0-9]+'), 'the')""",
-    "analysed_terms": """
-        SELECT page_id, CAST(len(regexp_extract_all(lower(concat_ws(' ', url, html)), '[a-z0-9]+')) AS INTEGER) AS terms
+        WHERE list_contains(regexp_extract_all(lower(concat_ws(' ', text, lang, source)), '[\p{L}\p{M}\p{N}]+'), 'the')""",
+    "analysed_terms": r"""
+        SELECT page_id, CAST(len(regexp_extract_all(lower(concat_ws(' ', url, html)), '[\p{L}\p{M}\p{N}]+')) AS INTEGER) AS terms
         FROM pages""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -53,6 +55,7 @@ def scratch_root(spark: SparkSession) -> str:
     app = context.applicationId
     if app not in _LOCAL_ROOTS:
         _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, _LOCAL_ROOTS[app], ignore_errors=True)
     return _LOCAL_ROOTS[app]
 
 
@@ -63,7 +66,10 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 
 
 def release_scratch(spark: SparkSession) -> bool:
-    """Delete what this application wrote to scratch; call once results are read."""
+    """Delete what this application wrote to scratch; call once results are read.
+
+    Lazy results read their scratch tables, so no query can do this for its caller.
+    """
     app = spark.sparkContext.applicationId
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/millrace/{app}")
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from millrace.functions.text import escaped
 from millrace.sources.delimited import NULL_TEXT
 
 
 def ctas_delimited(df: DataFrame, path: str, sep: str = "\t") -> None:
-    """Store a query result as delimited text, NULL as ``\\N``.
+    """Store a query result as delimited text, NULL as ``\\N``, one line per row.
 
-    The format has no quoting: values holding the separator or a line break do not
-    survive a round trip, as with any table stored this way.
+    Separators, line ends and backslashes inside values are escaped with a backslash;
+    read them back with ``escaped=True``.
     """
-    cells = [F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(NULL_TEXT)) for name in df.columns]
-    df.select(F.concat_ws(sep, *cells).alias("value")).write.text(path)
+    df.select(delimited_line(df, sep)).write.text(path)
+
+
+def delimited_line(df: DataFrame, sep: str) -> Column:
+    """All columns of a row in one text ``value``."""
+    cells = [F.coalesce(escaped(F.col(f"`{name}`").cast("string"), sep), F.lit(NULL_TEXT)) for name in df.columns]
+    return F.concat_ws(sep, *cells).alias("value")
 
 
 def save_table(df: DataFrame, name: str, fmt: str = "parquet", path: str | None = None) -> DataFrame:

@@ -2,19 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from millrace.sources.topic import BROKERS, connector_error
+from millrace.sources.topic import BROKERS, MESSAGE_SCHEMA, connector_error
+
+
+def next_offset(spark: SparkSession, target: str) -> int:
+    """The offset after the largest one in a folder of messages."""
+    try:
+        stored = spark.read.schema(MESSAGE_SCHEMA).parquet(target)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+    last = stored.agg(F.max("offset")).first()[0]
+    return 0 if last is None else last + 1
 
 
 def write_topic(
     df: DataFrame, target: str, value: Column, key: Column | None = None, brokers: str | None = None
 ) -> None:
-    """Append one record per row to a broker topic or a folder of files."""
+    """Append one record per row to a broker topic or a folder of files.
+
+    In a folder, records are numbered by the task that writes them: its number is the partition,
+    and offsets go on after the largest one stored. One writer at a time.
+    """
     key = (F.lit(None) if key is None else key).cast("string")
     messages = df.select(key.alias("key"), value.cast("string").alias("value"))
     if not brokers:
-        messages.write.mode("append").parquet(target)
+        place = F.monotonically_increasing_id()
+        # The number holds the task in its upper bits and the row in the lower 33.
+        within = place - F.shiftleft(F.shiftright(place, 33), 33)
+        offset = within + F.lit(next_offset(df.sparkSession, target))
+        numbered = messages.select(F.spark_partition_id().alias("partition"), offset.alias("offset"), "key", "value")
+        numbered.write.mode("append").parquet(target)
         return
     try:
         messages.write.format("kafka").option(BROKERS, brokers).option("topic", target).save()

@@ -17,26 +17,9 @@ def put_cells(cells: DataFrame) -> DataFrame:
     )
 
 
-def as_rows(cells: DataFrame, cells_per_part: int = 10_000) -> DataFrame:
-    """Gather merged cells into ``(rowkey, part, cf MAP)`` records.
-
-    A row wider than ``cells_per_part`` is cut into parts by a hash of the
-    qualifier, so no group grows with the width of the widest row. The join only
-    carries the keys of wide rows. ``cells`` is read twice: pass stored cells, not
-    the merge that makes them.
-    """
-    wide = (
-        cells.groupBy("rowkey")
-        .agg(F.count(F.lit(1)).alias("width"))
-        .where(F.col("width") > cells_per_part)
-        .select("rowkey", F.ceil(F.col("width") / cells_per_part).alias("parts"))
-    )
-    part = F.coalesce(F.pmod(F.xxhash64("qualifier"), F.col("parts")), F.lit(0))
-    return (
-        cells.join(wide, "rowkey", "left")
-        .groupBy("rowkey", part.cast("int").alias("part"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("qualifier", "value"))).alias("cf"))
-    )
+def store_cells(cells: DataFrame, path: str) -> None:
+    """Store merged cells, one record per cell whatever the width of its row."""
+    cells.select("rowkey", "qualifier", "value").write.parquet(path)
 
 
 def import_columns(df: DataFrame, key: str, columns: list[str], seq: str) -> DataFrame:

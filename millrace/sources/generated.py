@@ -24,8 +24,13 @@ def generate_rows(spark: SparkSession, n: int, partitions: int | None = None) ->
     Every field is a function of the row number, so partitions can be made
     anywhere and made again.
     """
+    return rows_of(range_df(spark, n, partitions))
+
+
+def rows_of(ids: DataFrame) -> DataFrame:
+    """The generated row of every ``id``."""
     digest = F.md5(F.col("id").cast("string"))
-    return range_df(spark, n, partitions).select(
+    return ids.select(
         F.substring(digest, 1, 10).alias("key"),
         F.lpad(F.hex("id"), 32, "0").alias("rowid"),
         F.repeat(F.substring(digest, 11, 12), 4).alias("filler"),

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from millrace.sources.delimited import NULL_TEXT, typed_fields
+from millrace.sources.delimited import typed_fields
 
-# Fixed value: the default field separator of delimited table storage.
+# The default field separator of delimited table storage, and the classes of keys and values.
 FIELD_SEPARATOR = "\x01"
+KEY_CLASS = "org.apache.hadoop.io.NullWritable"
+VALUE_CLASS = "org.apache.hadoop.io.Text"
 
 
 def read_sequencefile(
@@ -16,18 +18,25 @@ def read_sequencefile(
 ) -> DataFrame:
     """Rows of a SequenceFile table.
 
-    Spark has no DataFrame reader for the format, so the pair RDD is read and its
-    value handed straight to a DataFrame; splitting and casting happen in the JVM.
+    Spark has no DataFrame reader for the format. The values are read as Hadoop texts, which
+    become a DataFrame of their bytes; everything stays in the JVM.
     """
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    values = spark.sparkContext.sequenceFile(path).map(lambda pair: (pair[1],))
-    lines = spark.createDataFrame(values, "value string", verifySchema=False)
-    return typed_fields(lines, schema, sep)
+    context = spark.sparkContext
+    kind = context._jvm.java.lang.Class.forName
+    values = context._jsc.sequenceFile(path, kind(KEY_CLASS), kind(VALUE_CLASS)).values()
+    texts = DataFrame(spark._jsparkSession.createDataFrame(values, kind(VALUE_CLASS)), spark)
+    lines = texts.select(F.expr("CAST(substring(bytes, 1, length) AS STRING)").alias("value"))
+    return typed_fields(lines, schema, sep, escaped=True)
 
 
 def write_sequencefile(df: DataFrame, path: str, sep: str = FIELD_SEPARATOR) -> None:
-    """Store ``df`` as a SequenceFile table."""
-    cells = [F.coalesce(F.col(name).cast("string"), F.lit(NULL_TEXT)) for name in df.columns]
-    lines = df.select(F.concat_ws(sep, *cells).alias("value"))
+    """Store ``df`` as a SequenceFile table.
+
+    No public DataFrame writer makes the format, so finished lines are handed over one by one.
+    """
+    from millrace.sinks.files import delimited_line
+
+    lines = df.select(delimited_line(df, sep))
     lines.rdd.map(lambda row: (None, row[0])).saveAsSequenceFile(path)

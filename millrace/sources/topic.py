@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.sources.files import MissingConnector
 
 # Fixed value: the record layout of a topic kept in files.
-MESSAGE_SCHEMA = "key STRING, value STRING"
+MESSAGE_SCHEMA = "partition INT, offset BIGINT, key STRING, value STRING"
 BROKERS = "kafka.bootstrap.servers"
 
 
@@ -18,8 +18,9 @@ def connector_error(error: Exception) -> MissingConnector:
 def read_topic(
     spark: SparkSession, source: str, brokers: str | None = None, max_files: int | None = None
 ) -> DataFrame:
-    """A streaming DataFrame ``(key, value)`` over the whole topic, earliest record first.
+    """A streaming DataFrame ``(partition, offset, key, value)`` over the whole topic, earliest record first.
 
+    Offsets grow within a partition and are never used twice; gaps are possible.
     ``max_files`` (files) bounds one micro-batch of a long backlog; a broker
     topic is bounded by its own ``maxOffsetsPerTrigger``.
     """
@@ -31,7 +32,9 @@ def read_topic(
             .option("startingOffsets", "earliest")
         )
         try:
-            return reader.load().selectExpr("CAST(key AS STRING) AS key", "CAST(value AS STRING) AS value")
+            return reader.load().selectExpr(
+                "partition", "offset", "CAST(key AS STRING) AS key", "CAST(value AS STRING) AS value"
+            )
         except Exception as error:
             if "Failed to find data source: kafka" in str(error):
                 raise connector_error(error) from error

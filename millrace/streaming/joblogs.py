@@ -1,13 +1,10 @@
-"""Summaries of Spark event logs: JSON lines, compressed or not, one application per file or folder."""
+"""Summaries of Spark event logs: JSON lines, plain or gzip, one application per file or folder."""
 
 from __future__ import annotations
 
-import io
-import itertools
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from millrace.session import cut_lineage
 
 # The listener events and fields the summaries read.
 LOG_SCHEMA = """
@@ -24,42 +21,10 @@ TASK_END = "SparkListenerTaskEnd"
 APPLICATION = r"((?:application|app|local)-?_?[0-9][0-9_-]*)"
 
 
-# Fixed value: suffix of logs Spark compresses itself, which the text reader does not know.
-ZSTD_SUFFIX = ".zstd"
-
-
-def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stream each compressed log into lines, a bounded number at a time."""
-    import zstandard
-
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            stream = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True)
-            lines = io.TextIOWrapper(stream, encoding="utf-8")
-            while chunk := list(itertools.islice(lines, 10_000)):
-                yield pd.DataFrame({"path": path, "value": chunk})
-
-
 def read_event_logs(spark: SparkSession, path: str, app_pattern: str = APPLICATION) -> DataFrame:
-    """Raw log lines ``(app, value)``, the application taken from the file path.
-
-    Plain and gzip logs go through the text reader. Logs in Spark's own zstd
-    framing are unpacked one file per task; Spark rolls those files by size.
-    """
-    plain = (
-        spark.read.option("recursiveFileLookup", True)
-        .text(path)
-        .select(F.col("_metadata.file_path").alias("path"), "value")
-        .where(~F.col("path").endswith(ZSTD_SUFFIX))
-    )
-    packed = (
-        spark.read.format("binaryFile")
-        .options(recursiveFileLookup=True, pathGlobFilter=f"*{ZSTD_SUFFIX}")
-        .load(path)
-        .select("path", "content")
-        .mapInPandas(_unpack, "path string, value string")
-    )
-    return plain.unionByName(packed).select(F.regexp_extract("path", app_pattern, 1).alias("app"), "value")
+    """Raw log lines ``(app, value)`` of plain and gzip logs, the application taken from the file path."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    return lines.select(F.regexp_extract("_metadata.file_path", app_pattern, 1).alias("app"), "value")
 
 
 def events_of(logs: DataFrame, kind: str) -> DataFrame:
@@ -81,22 +46,48 @@ def jobs_per_day(logs: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("jobs"))
 
 
-def stage_statistics(logs: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """Tasks per application and stage with total, longest and median run time in milliseconds.
+# Run times of one coarse bucket differ by less than this; it holds at most so many distinct ones.
+BUCKET_MS = 1 << 16
+
 
-    The median comes from a bounded summary: its rank is off by at most
-    ``tasks / accuracy``, and exact while a stage has few tasks.
+def exact_medians(tasks: DataFrame) -> DataFrame:
+    """``(app, stage, median_ms)``: the lower median of every stage's run times.
+
+    Tasks are first counted per run time, then per coarse bucket. The bucket that holds the
+    middle task is ranked run time by run time; no task list is ever sorted.
     """
+    group = ["app", "stage"]
+    counts = cut_lineage(
+        tasks.where("ms IS NOT NULL")
+        .groupBy(*group, F.floor(F.col("ms") / BUCKET_MS).alias("bucket"), "ms")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    buckets = counts.groupBy(*group, "bucket").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*group).orderBy("bucket"))
+    total = F.sum("n").over(Window.partitionBy(*group))
+    middle = F.ceil(F.col("total") / 2)
+    placed = buckets.select(*group, "bucket", (upto - F.col("n")).alias("before"), upto.alias("upto"), total.alias("total"))
+    held = placed.where((F.col("before") < middle) & (middle <= F.col("upto"))).select(
+        *group, "bucket", (middle - F.col("before")).alias("place")
+    )
+    inside = counts.join(held, [*group, "bucket"])
+    seen = F.sum("n").over(Window.partitionBy(*group).orderBy("ms"))
+    reached = inside.select(*group, "ms", "place", seen.alias("seen")).where(F.col("seen") >= F.col("place"))
+    return reached.groupBy(*group).agg(F.min("ms").alias("median_ms"))
+
+
+def stage_statistics(logs: DataFrame) -> DataFrame:
+    """Tasks per application and stage with total, longest and exact median run time in milliseconds."""
     info = F.col("Task Info")
     tasks = events_of(logs, TASK_END).select(
         "app", F.col("Stage ID").alias("stage"), (info["Finish Time"] - info["Launch Time"]).alias("ms")
     )
-    return tasks.groupBy("app", "stage").agg(
-        F.count(F.lit(1)).alias("tasks"),
-        F.sum("ms").alias("total_ms"),
-        F.max("ms").alias("max_ms"),
-        F.percentile_approx("ms", 0.5, accuracy).alias("median_ms"),
+    tasks = cut_lineage(tasks)
+    sums = tasks.groupBy("app", "stage").agg(
+        F.count(F.lit(1)).alias("tasks"), F.sum("ms").alias("total_ms"), F.max("ms").alias("max_ms")
     )
+    same = (F.col("s.app") == F.col("m.app")) & F.col("s.stage").eqNullSafe(F.col("m.stage"))
+    return sums.alias("s").join(exact_medians(tasks).alias("m"), same, "left").select("s.*", "m.median_ms")
 
 
 def summarize_event_logs(spark: SparkSession, path: str, app_pattern: str = APPLICATION) -> tuple[DataFrame, DataFrame]:

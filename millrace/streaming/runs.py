@@ -36,15 +36,43 @@ def drain(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return stored(stream, out)
 
 
+SNAPSHOTS_KEPT = 2
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def complete_snapshots(spark: SparkSession, out: str) -> list[int]:
+    """Numbers of the batches whose snapshots are written in full, oldest first."""
+    pattern, files = _folder(spark, f"{out}/batch=*/_SUCCESS")
+    return sorted(int(found.getPath().getParent().getName().removeprefix("batch=")) for found in files.globStatus(pattern) or [])
+
+
+def newest_totals(stream: DataFrame, out: str) -> DataFrame:
+    """The newest complete snapshot; no rows before the first one."""
+    spark = stream.sparkSession
+    batches = complete_snapshots(spark, out)
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{out}/batch={batches[-1]}")
+
+
 def drain_totals(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Process everything available into a running aggregate, kept as a Parquet snapshot.
+    """Process everything available into a running aggregate, kept as Parquet snapshots.
 
-    Each micro-batch replaces the snapshot with the full result; state lives in the
-    checkpoint, so a later run with the same one goes on counting.
+    Each micro-batch writes a snapshot of its own beside the older ones; readers take the newest
+    complete one, so a failed batch leaves the result before it. State lives in the checkpoint, so a
+    later run with the same one goes on counting.
     """
 
-    def store(result: DataFrame, _batch: int) -> None:
-        result.write.mode("overwrite").parquet(out)
+    def store(result: DataFrame, batch: int) -> None:
+        result.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        spark = result.sparkSession
+        for old in complete_snapshots(spark, out)[:-SNAPSHOTS_KEPT]:
+            folder, files = _folder(spark, f"{out}/batch={old}")
+            files.delete(folder, True)
 
     query = (
         stream.writeStream.foreachBatch(store)
@@ -54,12 +82,22 @@ def drain_totals(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return stored(stream, out)
+    return newest_totals(stream, out)
 
 
-def replay(spark: SparkSession, source: str, out: str, checkpoint: str, brokers: str | None = None) -> DataFrame:
-    """Copy a topic from its first record. A known checkpoint continues, a new one starts over."""
-    return drain(read_topic(spark, source, brokers), out, checkpoint)
+def replay(
+    spark: SparkSession,
+    source: str,
+    out: str,
+    checkpoint: str,
+    brokers: str | None = None,
+    max_files: int | None = None,
+) -> DataFrame:
+    """Copy a topic from its first record. A known checkpoint continues, a new one starts over.
+
+    ``max_files`` bounds a micro-batch, so that a long backlog is committed piece by piece.
+    """
+    return drain(read_topic(spark, source, brokers, max_files), out, checkpoint)
 
 
 def incremental_ingest(

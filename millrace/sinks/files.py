@@ -8,6 +8,10 @@ from millrace.functions.text import escaped
 from millrace.sources.delimited import NULL_TEXT
 
 
+# Characters of the escapes themselves.
+RESERVED = "\\nrsN"
+
+
 def ctas_delimited(df: DataFrame, path: str, sep: str = "\t") -> None:
     """Store a query result as delimited text, NULL as ``\\N``, one line per row.
 
@@ -19,6 +23,8 @@ def ctas_delimited(df: DataFrame, path: str, sep: str = "\t") -> None:
 
 def delimited_line(df: DataFrame, sep: str) -> Column:
     """All columns of a row in one text ``value``."""
+    if sep in RESERVED:
+        raise ValueError(f"a separator can't be one of {RESERVED!r}, which the escapes use")
     cells = [F.coalesce(escaped(F.col(f"`{name}`").cast("string"), sep), F.lit(NULL_TEXT)) for name in df.columns]
     return F.concat_ws(sep, *cells).alias("value")
 

@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from helpers import row_set, rows
+from helpers import physical, row_set, rows
 from pyspark.sql import functions as F
 
 from millrace.operators import aggregates as agg
@@ -14,14 +14,14 @@ from millrace.operators.search import catch_all, search_count, tokenize_col
 from millrace.session import scratch_dir
 from millrace.sinks.files import ctas_delimited, drop_table, export_parts, save_table
 from millrace.sinks.rows import append_rows, append_view, overwrite_snapshot, update_where
-from millrace.sinks.widecolumn import as_rows, import_columns, put_cells
+from millrace.sinks.widecolumn import import_columns, put_cells, store_cells
 from millrace.sources import files, widecolumn
 from millrace.sources.delimited import read_csv, read_csv_infer, read_delimited
 from millrace.sources.generated import generate_rows, local_view, range_df
 from millrace.sources.sequencefile import write_sequencefile
 from millrace.sources.warehouse import read_warehouse
 
-ACCOUNTS = "shell_user STRING, dummy STRING, uid INT, gid INT, name STRING, home STRING, shell STRING"
+ACCOUNTS = "login STRING, mark STRING, uid INT, gid INT, label STRING, place STRING, program STRING"
 
 
 def text_file(spark, label, lines):
@@ -43,16 +43,16 @@ def test_delimited_accounts(spark):
         ],
     )
     table = read_delimited(spark, path, ACCOUNTS, ":")
-    by_user = {row.shell_user: row for row in table.collect()}
+    by_user = {row.login: row for row in table.collect()}
     assert by_user["bad"].uid is None and by_user["bad"].gid == 7
-    assert by_user["short"].uid == 5 and by_user["short"].shell is None
-    assert by_user["ann"].name == ""
-    grouped = top_groups(table, ["shell"], name="shell_count").select("shell", "shell_count")
+    assert by_user["short"].uid == 5 and by_user["short"].program is None
+    assert by_user["ann"].label == ""
+    grouped = top_groups(table, ["program"], name="n").select("program", "n")
     expected = [("/bin/bash", 2), ("/usr/sbin/nologin", 1), ("/bin/zsh", 1), (None, 1)]
     assert rows(grouped) == expected
     out = scratch_dir(spark, "grouped")
     ctas_delimited(grouped, out, "\t")
-    assert set(rows(read_delimited(spark, out, "shell STRING, n INT", "\t"))) == set(expected)
+    assert set(rows(read_delimited(spark, out, "program STRING, n INT", "\t"))) == set(expected)
     assert "\\N\t1" in {row.value for row in files.read_lines(spark, out).collect()}
 
 
@@ -67,7 +67,7 @@ def test_a_carriage_return_is_part_of_the_value(spark):
     path = scratch_dir(spark, "returns")
     data = [(1, "a\rb"), (2, "c\r")]
     ctas_delimited(spark.createDataFrame(data, "n int, s string"), path, "\t")
-    assert row_set(read_delimited(spark, path, "n INT, s STRING", "\t")) == data
+    assert row_set(read_delimited(spark, path, "n INT, s STRING", "\t", escaped=True)) == data
 
 
 def test_transactions_on_one_day(spark):
@@ -119,6 +119,14 @@ def test_sequence_file_nulls_and_empty_text(spark):
     assert row_set(files.read_any(spark, path, "n INT, s STRING")) == sorted(data, key=repr)
 
 
+def test_sequence_files_are_read_in_the_jvm(spark):
+    path = scratch_dir(spark, "plan.seq")
+    data = [("tab\tand\nline", "back\\slash"), ("\\N", "\x01"), ("é" * 300, "")]
+    write_sequencefile(spark.createDataFrame(data, "a string, b string"), path)
+    stored = files.read_any(spark, path, "a STRING, b STRING")
+    assert "Python" not in physical(stored) and row_set(stored) == sorted(data, key=repr)
+
+
 def test_text_values_into_an_integer_column(spark):
     target = scratch_dir(spark, "kv")
     append_rows(spark.createDataFrame([("key", "17"), ("odd", "x")], "a string, b string"), target, "key STRING, value INT")
@@ -141,14 +149,14 @@ def test_update_pair(spark):
 
 
 def test_names_and_occupations(spark):
-    people = [(1, "John Doe"), (2, "Jane Smith"), (3, "Bob Johnson")]
-    jobs = [(1, "Engineer"), (2, "Doctor"), (3, "Scientist"), (4, "Artist")]
+    people = [(1, "Oda"), (2, "Ravi"), (3, "Mio")]
+    jobs = [(1, "miller"), (2, "sailor"), (3, "baker"), (4, "mason")]
     left = local_view(spark, people, "id INT, name STRING", "people_view")
     right = local_view(spark, jobs, "id INT, occupation STRING", "jobs_view")
     joined = inner_join(left, right, "id")
     assert joined.columns == ["id", "name", "id_right", "occupation"]
     assert row_set(joined) == [(i, n, i, o) for (i, n), (_, o) in zip(people, jobs)]
-    append_view(spark, "people_view", [(4, "Alice Wonderland")])
+    append_view(spark, "people_view", [(4, "Tove")])
     assert spark.sql("SELECT * FROM people_view").count() == 4
 
 
@@ -188,24 +196,23 @@ def test_cells_and_latest_put(spark):
     puts += [("row1", "a", "newer", 2), ("row1", "b", "other", 1)]
     cells = put_cells(spark.createDataFrame(puts, "rowkey string, qualifier string, value string, seq long"))
     path = scratch_dir(spark, "cells")
-    as_rows(cells).write.parquet(path)
+    store_cells(cells, path)
     stored = widecolumn.read_widecolumn(spark, path)
-    assert rows(agg.row_count(stored)) == [(4,)]
-    by_key = {r.rowkey: r.cf for r in stored.collect()}
-    assert by_key["row1"] == {"a": "newer", "b": "other"} and by_key["row4"] == {"d": "value4"}
-    assert row_set(widecolumn.cells_of(stored)) == row_set(cells)
+    assert rows(agg.row_count(widecolumn.row_keys(stored))) == [(4,)]
+    by_cell = {(r.rowkey, r.qualifier): r.value for r in stored.collect()}
+    assert by_cell["row1", "a"] == "newer" and by_cell["row1", "b"] == "other" and by_cell["row4", "d"] == "value4"
 
 
-def test_a_row_wider_than_a_record_is_cut_into_parts(spark):
+def test_a_wide_row_is_stored_like_any_other(spark):
     cells = range_df(spark, 5000).select(
         F.lit("hot").alias("rowkey"), F.concat(F.lit("q"), "id").alias("qualifier"), F.hex("id").alias("value")
     )
     cells = cells.unionByName(spark.createDataFrame([("cold", "q", "v")], cells.schema))
-    stored = as_rows(cells, cells_per_part=100)
-    sizes = {(r.rowkey, r.part): len(r.cf) for r in stored.collect()}
-    assert sizes.pop(("cold", 0)) == 1
-    assert len(sizes) == 50 and sum(sizes.values()) == 5000 and max(sizes.values()) < 200
-    assert row_set(widecolumn.cells_of(stored)) == row_set(cells)
+    path = scratch_dir(spark, "wide")
+    store_cells(cells, path)
+    stored = widecolumn.read_widecolumn(spark, path)
+    assert row_set(stored) == row_set(cells)
+    assert row_set(widecolumn.row_keys(stored)) == [("cold", 1), ("hot", 5000)]
 
 
 def test_relational_import_skips_nulls(spark):
@@ -307,6 +314,14 @@ def test_generated_rows(spark):
     assert row_set(generate_rows(spark, 50, 7)) == row_set(made)
 
 
+def test_words_of_other_scripts(spark):
+    lines = [("Straße ÉCOLE école niño 3e",), ("e\u0301cole Ελλάδα",)]
+    df = spark.createDataFrame(lines, "value string")
+    assert dict(rows(agg.word_count(df))) == {"straße": 1, "école": 2, "niño": 1, "e": 1, "e\u0301cole": 1, "ελλάδα": 1}
+    assert rows(search_count(df, ["value"], "École")) == [(1,)]
+    assert rows(search_count(df, ["value"], "stra")) == [(0,)]
+
+
 def test_words_and_search(spark):
     lines = spark.createDataFrame([("To be, or not to be",), ("",), (None,), ("BE 2b",)], "value string")
     assert dict(rows(agg.word_count(lines))) == {"to": 2, "be": 3, "or": 1, "not": 1, "b": 1}

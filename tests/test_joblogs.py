@@ -1,15 +1,13 @@
-"""Event-log summaries, on hand-written lines and on logs a Spark application wrote itself."""
+"""Event-log summaries, on hand-written lines."""
 
 import gzip
 import json
-import os
-import subprocess
-import sys
+import random
 import tempfile
 
 from helpers import row_set
 
-from millrace.streaming.joblogs import stage_statistics, summarize_event_logs
+from millrace.streaming.joblogs import exact_medians, stage_statistics, summarize_event_logs
 
 DAY = 1_704_067_200_000  # 2024-01-01 in UTC milliseconds
 
@@ -44,26 +42,14 @@ def test_summaries_of_written_logs(spark):
     ]
 
 
-APPLICATION = """
-import sys
-from pyspark.sql import SparkSession
-spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
-    .config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", sys.argv[1])
-    .config("spark.eventLog.compress", "true").getOrCreate())
-spark.sparkContext.setJobDescription("QuasiMonteCarlo")
-spark.sparkContext.parallelize(range(100), 5).sum()
-spark.stop()
-"""
-
-
-def test_summaries_of_a_compressed_log(spark):
-    folder = tempfile.mkdtemp(prefix="run-")
-    subprocess.run([sys.executable, "-c", APPLICATION, folder], check=True, timeout=120, capture_output=True)
-    assert any(name.endswith(".zstd") for _, _, files in os.walk(folder) for name in files)
-    jobs, stages = summarize_event_logs(spark, folder)
-    assert [(r.job_type, r.jobs) for r in jobs.collect()] == [("QuasiMonteCarlo", 1)]
-    (stage,) = stages.collect()
-    assert stage.app.startswith("local-") and stage.tasks == 5 and 0 <= stage.median_ms <= stage.max_ms
+def test_medians_are_exact_for_many_run_times(spark):
+    pick = random.Random(3)
+    times = {(app, stage): [pick.randrange(10 ** pick.randrange(1, 9)) for _ in range(n)]
+             for app, stage, n in (("a", 1, 4001), ("a", 2, 600), ("b", 1, 1), ("b", 2, 2))}
+    data = [(app, stage, ms) for (app, stage), values in times.items() for ms in values] + [("a", 1, None)]
+    tasks = spark.createDataFrame(data, "app string, stage long, ms long")
+    expected = [(app, stage, sorted(v)[(len(v) - 1) // 2]) for (app, stage), v in times.items()]
+    assert row_set(exact_medians(tasks)) == sorted(expected, key=repr)
 
 
 def test_lines_that_only_mention_an_event_do_not_count(spark):

@@ -5,16 +5,15 @@ import pytest
 from helpers import row_set, rows
 from pyspark.sql import functions as F
 
-from millrace.ml import search
 from millrace.ml.boosted import area_under_roc, evaluate_binary, fit_boosted
 from millrace.ml.indexing import index_round_trip, label_dictionary
 from millrace.ml.network import fit_mlp, predict_mlp
 from millrace.ml.ranks import run_ranks
-from millrace.ml.search import auto_classify
+from millrace.ml.search import auto_train
 
 
 def two_features(spark):
-    points = [(1.05, 9.05, 0), (2.95, 1.95, 1)]
+    points = [(4.5, 7.25, 0), (0.75, 3.5, 1)]
     return spark.createDataFrame(points, "c0 double, c1 double, `1` int")
 
 
@@ -44,32 +43,45 @@ def test_network_separates_two_clusters(spark):
 def test_leaderboard_is_ranked_and_repeatable(spark):
     points = [(i, float(i % 11), "abc"[i % 3], int(i % 11 > 5)) for i in range(80)]
     df = spark.createDataFrame(points, "id int, x double, kind string, CAPSULE int").drop("id")
-    board = auto_classify(df, "CAPSULE", budget=2, folds=2)
+    found = auto_train(df, "CAPSULE", budget=2, folds=2)
+    board = found.leaderboard
     assert board.columns == ["rank", "model", "settings", "auc"]
     first = rows(board)
     assert [r[0] for r in first] == [1, 2] and first[0][3] >= first[1][3] > 0.9
-    assert rows(auto_classify(df.repartition(3), "CAPSULE", budget=2, folds=2)) == first
+    assert rows(auto_train(df.repartition(3), "CAPSULE", budget=2, folds=2).leaderboard) == first
+    assert area_under_roc(found.predict(df, "CAPSULE"), "CAPSULE") > 0.9
 
 
-def test_leaderboard_takes_many_levels_and_missing_values(spark, monkeypatch):
-    monkeypatch.setattr("millrace.ml.search.MAX_LEVELS", 50)
+def test_search_takes_many_levels_and_missing_values(spark):
     points = [
         (None if i % 9 == 0 else float(i % 11), None if i % 13 == 0 else f"k{i % 40}", f"u{i}", int(i % 11 > 5))
         for i in range(120)
     ]
     df = spark.createDataFrame(points, "x double, kind string, name string, y int")
-    assert auto_classify(df, "y", budget=2, folds=2).count() == 2
-    prepared, bins = search._prepare(df, "y")
-    assert prepared.count() == 120 and bins == 41
+    found = auto_train(df, "y", budget=2, folds=2)
+    assert found.leaderboard.count() == 2
+    unseen = spark.createDataFrame([(None, "new", None, 1)], df.schema)
+    assert found.predict(unseen, "y").count() == 1
+    assert found.preparation(df).count() == 120
+    assert found.preparation.ranks["name"].count() == 120
+
+
+def test_other_labels_are_regressed(spark):
+    points = [(float(i), "ab"[i % 2], 3.0 * i + (40 if i % 2 else 0)) for i in range(90)]
+    df = spark.createDataFrame(points, "x double, kind string, y double")
+    found = auto_train(df, "y", budget=3, folds=2)
+    assert found.leaderboard.columns == ["rank", "model", "settings", "rmse"]
+    board = rows(found.leaderboard)
+    assert board[0][1] == "linear_regression" and board[0][3] < 1 and [r[0] for r in board] == [1, 2, 3]
+    assert all(abs(r.prediction - r.y) < 2 for r in found.predict(df, "y").collect())
 
 
 LABELS = [(i, label) for i, label in enumerate(["a"] * 5 + ["b"] * 7 + ["c"] * 5 + ["d"] + [None] * 9)]
 
 
-@pytest.mark.parametrize("limit", [100, 0])
-def test_index_round_trip_by_falling_frequency(spark, limit):
+def test_index_round_trip_by_falling_frequency(spark):
     df = spark.createDataFrame(LABELS, "id int, label string")
-    got = index_round_trip(df, "label", max_labels=limit)
+    got = index_round_trip(df, "label")
     assert sorted(rows(got.select("id", "label_restored"))) == LABELS
     assert set(rows(got.select("label", "index").distinct())) == {
         ("b", 0.0), ("a", 1.0), ("c", 2.0), ("d", 3.0), (None, None),
@@ -90,3 +102,11 @@ def test_ranks_run_together_and_share_values(spark):
 
     got = run_ranks(spark.range(1000), work, 2, "rank INT, size INT, total LONG, magic INT", 42)
     assert row_set(got) == [(0, 2, 499500, 42), (1, 2, 499500, 42)]
+
+
+def test_ranks_follow_the_slots(spark):
+    def size(rank, size, context, batches):
+        return pd.DataFrame({"rows": [sum(len(b) for b in batches)], "size": [size]})
+
+    got = run_ranks(spark.range(1000), size, None, "rows LONG, size INT").collect()
+    assert len(got) == got[0]["size"] == spark.sparkContext.defaultParallelism and sum(r["rows"] for r in got) == 1000

@@ -15,7 +15,7 @@ from millrace.plans.relational import parquet_date_group
 from millrace.sources.catalog import TABLES, table
 
 # Queries that train or that run their streams before they return a plan.
-EAGER = {"gbt_auc", "automl_leaderboard", "mlp_predict"}
+EAGER = {"gbt_auc", "automl_leaderboard", "automl_regression", "mlp_predict"}
 
 
 def test_filters_and_columns_reach_the_scan(spark, small):

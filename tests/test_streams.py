@@ -10,7 +10,7 @@ from millrace.sinks.topic import write_topic
 from millrace.sources.files import MissingConnector
 from millrace.sources.topic import read_topic
 from millrace.streaming.aggregates import metric_rollup, stream_word_count
-from millrace.streaming.runs import drain, drain_totals, incremental_ingest, replay
+from millrace.streaming.runs import drain, drain_totals, incremental_ingest, newest_totals, replay
 
 
 def publish(spark, topic, lines):
@@ -66,6 +66,30 @@ def test_word_counts_go_on_after_a_restart(spark):
     assert row_set(totals) == row_set(batch)
 
 
+def test_a_failed_batch_leaves_the_older_totals(spark):
+    base = scratch_dir(spark, "failed")
+    publish(spark, f"{base}/topic", ["a b"])
+    totals = drain_totals(stream_word_count(read_topic(spark, f"{base}/topic")), f"{base}/counts", f"{base}/state")
+    assert row_set(totals) == [("a", 1), ("b", 1)]
+    publish(spark, f"{base}/topic", ["a"])
+    broken = stream_word_count(read_topic(spark, f"{base}/topic")).withColumn("n", F.raise_error(F.lit("no")).cast("bigint"))
+    with pytest.raises(Exception, match="no"):
+        drain_totals(broken, f"{base}/counts", f"{base}/state")
+    assert row_set(newest_totals(totals, f"{base}/counts")) == [("a", 1), ("b", 1)]
+
+
+def test_offsets_grow_and_backlogs_are_read_in_pieces(spark):
+    base = scratch_dir(spark, "offsets")
+    for text in ("x", "y", "z"):
+        publish(spark, f"{base}/topic", [f"{text}{i}" for i in range(20)])
+    seen = replay(spark, f"{base}/topic", f"{base}/out", f"{base}/state", max_files=1)
+    places = [(r.partition, r.offset) for r in seen.collect()]
+    assert len(set(places)) == len(places) == 60
+    first = {r.value[0]: r.offset for r in seen.orderBy(F.desc("offset")).collect()}
+    assert first["x"] < first["y"] < first["z"]
+    assert len(list(spark.sparkContext._jvm.java.io.File(f"{base}/state/commits").list())) >= 3
+
+
 SAMPLES = [
     ("2024-01-01 00:00:00", "a100", "0", 10.0),
     ("2024-01-01 00:00:09.999", "a100", "0", 30.0),

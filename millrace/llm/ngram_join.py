@@ -16,11 +16,11 @@ Pairs are never listed within a group of copies. Equal sets are one class from t
 every token picks a few pivots, the other sets under the token are compared with these, and
 linked sets join one component; tokens all of whose sets are in one component are done.
 Pivots are compared with everything under their token and then leave it, so the rounds end with no pair
-unseen that could connect two components. Their number doubles each round.
+unseen that could connect two components. Their number grows from round to round.
 
 Cases: a null text is empty; a document without words has no set, links with nothing and is its
 own component. With fewer words than n, the whole sequence is one token. Repeated rows share a
-class. A null id never names a component unless all ids of the component are null.
+class. A null id never names a component; sets that only rows without id hold link with nothing.
 Tokens and classes are 64-bit hashes.
 """
 
@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.llm.common import ascii_lower, text_or_empty
-from millrace.session import cut_lineage
+from millrace.session import cut_lineage, scratch_dir
 
 # Words in a token and the least similarity, in percent.
 WORDS = 4
@@ -37,6 +37,9 @@ PERCENT = 85
 # The prefix of the first filter is longer by this share of the set (in percent), and as many tokens must be shared.
 MORE_PERCENT = 5
 
+# Every round has so many times the pivots of the round before.
+PIVOT_GROWTH = 8
+
 # Fixed value: runs of these characters are words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -129,7 +132,28 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(_linked(F.col("a"), F.col("b"), percent)).select("cls", "pivot")
 
 
-def contract(edges: DataFrame) -> DataFrame | None:
+class Rounds:
+    """Tables of the current round, in a folder of its own; those of the round before last are deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders, self.tables = spark, [scratch_dir(spark, "round")], 0
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """Store ``df`` and read it back."""
+        self.tables += 1
+        path = f"{self.folders[-1]}/{self.tables}"
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def turn(self) -> None:
+        """Start a round. What it needs is stored in the folder of the round before."""
+        if len(self.folders) > 1:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(self.folders.pop(0))
+            old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        self.folders.append(scratch_dir(self.spark, "round"))
+
+
+def contract(edges: DataFrame, rounds: Rounds) -> DataFrame | None:
     """``node, root`` for every node of the edges ``x, y``: the smallest node of its component.
 
     Each round moves every node to its smallest neighbour's smallest neighbour and maps the
@@ -139,17 +163,17 @@ def contract(edges: DataFrame) -> DataFrame | None:
     moves: DataFrame | None = None
     while True:
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        step = cut_lineage(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("y")))
+        step = rounds.cut(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("y")))
         if step.isEmpty():
             return moves
         twice = step.alias("s").join(step.alias("t"), F.col("s.y") == F.col("t.x")).select(
             F.col("s.x").alias("node"), F.col("t.y").alias("root")
         )
-        twice = cut_lineage(twice)
+        twice = rounds.cut(twice)
         if moves is None:
             moves = twice
         else:
-            moves = cut_lineage(_moved(moves, "root", twice))
+            moves = rounds.cut(_moved(moves, "root", twice))
         edges = _moved(_moved(edges, "x", twice), "y", twice).where("x != y").distinct()
 
 
@@ -166,51 +190,53 @@ def _moved(rows: DataFrame, column: str, moves: DataFrame | None) -> DataFrame:
 def components(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``cls, root`` of every indexed class that is linked to a smaller one."""
     # `at` is the component that a class belongs to so far.
-    index = cut_lineage(index.withColumn("at", F.col("cls")))
+    rounds = Rounds(sets.sparkSession)
+    index = rounds.cut(index.withColumn("at", F.col("cls")))
     whole: DataFrame | None = None
     pivots_each = 1
     while True:
+        rounds.turn()
         mixed = index.groupBy("token").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo != hi").select("token")
-        live = cut_lineage(index.join(mixed, "token"))
+        live = rounds.cut(index.join(mixed, "token"))
         if live.isEmpty():
             break
         part = F.pmod(F.xxhash64("cls", F.lit(pivots_each)), F.lit(pivots_each))
         pivots = live.groupBy("token", part.alias("part")).agg(F.min(F.struct("cls", "at")).alias("p"))
         pivots = pivots.select("token", F.col("p.cls").alias("pivot"), F.col("p.at").alias("pivot_at"))
         met = live.join(pivots, "token").where("at != pivot_at")
-        pairs = cut_lineage(met.groupBy("cls", "at", "pivot", "pivot_at").agg(F.count(F.lit(1)).alias("shared")))
+        pairs = rounds.cut(met.groupBy("cls", "at", "pivot", "pivot_at").agg(F.count(F.lit(1)).alias("shared")))
         # First each class with the pivot it shares most with, then what is still apart.
         best = pairs.groupBy("cls").agg(F.max(F.struct("shared", "pivot", "at", "pivot_at")).alias("p"))
         first = best.select("cls", "p.pivot", "p.at", "p.pivot_at")
-        moves = _joined(first, sets, percent)
+        moves = _joined(first, sets, percent, rounds)
         rest = pairs.join(first.select("cls", "pivot"), ["cls", "pivot"], "left_anti").drop("shared")
-        rest = cut_lineage(_moved(_moved(rest, "at", moves), "pivot_at", moves).where("at != pivot_at"))
+        rest = rounds.cut(_moved(_moved(rest, "at", moves), "pivot_at", moves).where("at != pivot_at"))
         if not rest.isEmpty():
-            more = _joined(rest, sets, percent)
-            moves = _composed(moves, more)
-        if moves is not None:
-            whole = _composed(whole, moves)
+            more = _joined(rest, sets, percent, rounds)
+            moves = _composed(moves, more, rounds)
+        whole = _composed(whole, moves, rounds)
         gone = pivots.select("token", F.col("pivot").alias("cls"))
-        index = cut_lineage(_moved(live.join(gone, ["token", "cls"], "left_anti"), "at", moves))
-        pivots_each *= 2
+        index = rounds.cut(_moved(live.join(gone, ["token", "cls"], "left_anti"), "at", moves))
+        pivots_each *= PIVOT_GROWTH
     if whole is None:
         return sets.select("cls", F.col("cls").alias("root")).limit(0)
     return whole.select(F.col("node").alias("cls"), "root")
 
 
-def _joined(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def _joined(pairs: DataFrame, sets: DataFrame, percent: int, rounds: Rounds) -> DataFrame | None:
     """Moves of components after the pairs ``cls, at, pivot, pivot_at`` have been compared."""
     links = verified(pairs, sets, percent).join(pairs, ["cls", "pivot"])
-    return contract(cut_lineage(links.select(F.col("at").alias("x"), F.col("pivot_at").alias("y")).distinct()))
+    return contract(rounds.cut(links.select(F.col("at").alias("x"), F.col("pivot_at").alias("y")).distinct()), rounds)
 
 
-def _composed(first: DataFrame | None, then: DataFrame | None) -> DataFrame | None:
-    """The moves of ``first`` followed by those of ``then``."""
+def _composed(first: DataFrame | None, then: DataFrame | None, rounds: Rounds) -> DataFrame | None:
+    """The moves of ``first`` followed by those of ``then``, stored in this round."""
     if first is None or then is None:
-        return then if first is None else first
+        one = then if first is None else first
+        return None if one is None else rounds.cut(one)
     moved = _moved(first, "root", then)
     added = then.join(first.select("node"), "node", "left_anti")
-    return cut_lineage(moved.unionByName(added))
+    return rounds.cut(moved.unionByName(added))
 
 
 def jaccard_components(
@@ -224,15 +250,22 @@ def jaccard_components(
     before = _clean_shuffles(spark)
     rows = cut_lineage(sketches(docs, key, column, percent, size))
     classes = cut_lineage(
-        rows.where("n > 0").groupBy("cls", "check", "n").agg(F.min("doc").alias("doc"), F.any_value("prefix").alias("prefix"))
+        rows.where("n > 0")
+        .groupBy("cls", "check", "n")
+        .agg(
+            F.min(F.when(F.col("doc").isNotNull(), F.struct("doc", "text_hash"))).alias("first"),
+            F.any_value("prefix").alias("prefix"),
+        )
+        .select("cls", "n", "first.doc", "first.text_hash", "prefix")
     )
     some = cut_lineage(sharing(classes, percent))
-    # Only the first document of each class that is left is read again for its whole set.
-    wanted = classes.join(some, "cls").select("doc", F.col("cls").alias("wanted"))
-    texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc"), text_or_empty(column).alias("text"))
-    found = texts.alias("t").join(wanted.alias("w"), F.col("t.doc").eqNullSafe(F.col("w.doc"))).select("wanted", token_set(F.col("text"), size).alias("tokens"))
-    found = found.where(F.xxhash64("tokens") == F.col("wanted"))
-    sets = cut_lineage(found.groupBy(F.col("wanted").alias("cls")).agg(F.any_value("tokens").alias("tokens")))
+    # Only the first document of each class that is left is read again for its whole set. Repeated
+    # rows of it meet in the join's own partitions.
+    wanted = classes.join(some, "cls").select("doc", "text_hash", "cls")
+    text = text_or_empty(column)
+    texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    found = texts.join(wanted, ["doc", "text_hash"]).dropDuplicates(["doc", "text_hash"])
+    sets = cut_lineage(found.select("cls", token_set(F.col("text"), size).alias("tokens")))
     index = cut_lineage(rare_index(sets, percent))
     indexed = cut_lineage(sets.join(index.select("cls").distinct(), "cls", "left_semi"))
     roots = components(index, indexed, percent)

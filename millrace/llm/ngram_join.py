@@ -13,8 +13,8 @@ pass several of them before their sets are compared:
 3. The smallest and the largest hashes: two more orders, checked on a pair's own prefixes.
 
 Pairs are never listed within a group of copies. Equal sets are one class from the start. In each round
-every token picks a few pivots, the other sets under the token are compared with these, and
-linked sets join one component; tokens all of whose sets are in one component are done.
+every token picks a few pivots, those with the fewest tokens of their own. The other sets under the token
+are compared with these unless their numbers of common tokens rule a link out, and linked sets join one component; tokens all of whose sets are in one component are done.
 Pivots are compared with everything under their token and then leave it, so the rounds end with no pair
 unseen that could connect two components. Their number grows from round to round.
 
@@ -38,7 +38,7 @@ PERCENT = 85
 MORE_PERCENT = 5
 
 # Every round has so many times the pivots of the round before.
-PIVOT_GROWTH = 8
+PIVOT_GROWTH = 4
 
 # Fixed value: runs of these characters are words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,7 +56,7 @@ def token_set(text: Column, size: int = WORDS) -> Column:
         )
         whole = F.array(F.xxhash64(w, F.lit("whole")))
         none = F.array().cast("array<bigint>")
-        return F.when(F.size(w) >= size, F.array_sort(F.array_distinct(hashed))).when(F.size(w) > 0, whole).otherwise(none)
+        return F.when(F.size(w) >= size, F.sort_array(F.array_distinct(hashed))).when(F.size(w) > 0, whole).otherwise(none)
 
     # The words are bound to a name, so that they are cut once.
     return F.get(F.transform(F.array(words), grams), 0)
@@ -99,16 +99,27 @@ def sharing(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def rare_index(sets: DataFrame, percent: int) -> DataFrame:
-    """``token, cls``: the prefixes under the order of rarest tokens first, without tokens of one set."""
+    """``token, cls, n, common``: the prefixes under the order of rarest tokens first, without tokens of one set.
+
+    ``n`` is the size of the set and ``common`` how many of its tokens another set holds too.
+    """
     rows = sets.select("cls", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     counts = cut_lineage(rows.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1"))
     common = rows.join(counts, "token").groupBy("cls", "n").agg(
-        F.array_sort(F.collect_list(F.struct("held", "token"))).alias("common")
+        F.sort_array(F.collect_list(F.struct("held", "token"))).alias("common")
     )
     # Tokens of one set come first in the order and can't be shared.
     room = _may_miss(F.col("n"), percent) + 1 - (F.col("n") - F.size("common"))
-    kept = common.where(room > 0).select("cls", F.explode(F.slice("common", F.lit(1), room)).alias("t"))
-    return kept.select("cls", F.col("t.token").alias("token"))
+    kept = common.where(room > 0).select(
+        "cls", "n", F.size("common").alias("common"), F.explode(F.slice("common", F.lit(1), room)).alias("t")
+    )
+    return kept.select("cls", "n", "common", F.col("t.token").alias("token"))
+
+
+def _may_link(percent: int) -> Column:
+    """Whether two sets can link by the numbers of their tokens and of those that other sets hold at all."""
+    most = F.least("common", "pivot_common")
+    return most * 100 >= (F.col("n") + F.col("pivot_n") - most) * percent
 
 
 def _linked(a: Column, b: Column, percent: int) -> Column:
@@ -201,9 +212,16 @@ def components(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if live.isEmpty():
             break
         part = F.pmod(F.xxhash64("cls", F.lit(pivots_each)), F.lit(pivots_each))
-        pivots = live.groupBy("token", part.alias("part")).agg(F.min(F.struct("cls", "at")).alias("p"))
-        pivots = pivots.select("token", F.col("p.cls").alias("pivot"), F.col("p.at").alias("pivot_at"))
-        met = live.join(pivots, "token").where("at != pivot_at")
+        # The set with the fewest tokens of its own is nearest to all others.
+        central = F.struct((F.col("n") - F.col("common")).alias("own"), "n", "cls", "at", "common")
+        pivots = live.groupBy("token", part.alias("part")).agg(F.min(central).alias("p")).select(
+            "token",
+            F.col("p.cls").alias("pivot"),
+            F.col("p.at").alias("pivot_at"),
+            F.col("p.n").alias("pivot_n"),
+            F.col("p.common").alias("pivot_common"),
+        )
+        met = live.join(pivots, "token").where((F.col("at") != F.col("pivot_at")) & _may_link(percent))
         pairs = rounds.cut(met.groupBy("cls", "at", "pivot", "pivot_at").agg(F.count(F.lit(1)).alias("shared")))
         # First each class with the pivot it shares most with, then what is still apart.
         best = pairs.groupBy("cls").agg(F.max(F.struct("shared", "pivot", "at", "pivot_at")).alias("p"))

@@ -165,18 +165,10 @@ def nearby_terms(found: DataFrame) -> DataFrame:
 def disclosing_terms(docs: DataFrame, near: DataFrame, found: DataFrame, column: str = "text") -> DataFrame:
     """``value, term, disclosure`` of the terms over the lower threshold.
 
-    Co-occurrence is counted once per text. Only terms with enough different surroundings are counted
-    in the whole corpus.
+    Co-occurrence is counted once per text. Only terms with enough different surroundings, whose
+    counts near values leave the threshold in reach, are counted in the whole corpus.
     """
-    together = near.groupBy("value", "term", "k_id", "k_text").agg(F.min("around").alias("around"))
-    pairs = cut_lineage(
-        together.groupBy("value", "term")
-        .agg(F.count(F.lit(1)).alias("both"), F.count_distinct("around").alias("contexts"))
-        .where(F.col("contexts") >= MIN_CONTEXTS)
-    )
-    wanted = cut_lineage(pairs.select("term").distinct())
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(column)), F.lit(TERM), F.lit(0)))
-    held = docs.select(F.explode(words).alias("term")).join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    texts = found.count()
     values = (
         found.select("k_id", "k_text", F.explode("base").alias("v"))
         .select("k_id", "k_text", F.lower("v.value").alias("value"))
@@ -184,11 +176,22 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, found: DataFrame, column:
         .groupBy("value")
         .agg(F.count(F.lit(1)).alias("with_value"))
     )
-    texts = found.count()
+    together = cut_lineage(near.groupBy("value", "term", "k_id", "k_text").agg(F.min("around").alias("around")))
+    # A term is in at least as many texts as it is in near any value, which bounds what it can disclose.
+    at_least = together.groupBy("term").agg(F.count_distinct(F.struct("k_id", "k_text")).alias("with_term"))
+    pairs = (
+        together.groupBy("value", "term")
+        .agg(F.count(F.lit(1)).alias("both"), F.count_distinct("around").alias("contexts"))
+        .where(F.col("contexts") >= MIN_CONTEXTS)
+        .join(values.where(F.col("with_value") < texts), "value")
+    )
     known = F.log2(F.lit(float(texts)) / F.col("with_value"))
     told = F.log2(F.lit(float(texts)) * F.col("both") / (F.col("with_value") * F.col("with_term")))
-    rated = pairs.join(held, "term").join(values, "value").where(F.col("with_value") < texts)
-    return rated.select("value", "term", (told / known).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    open_ = cut_lineage(pairs.join(at_least, "term").where(told / known >= GENERALISE).drop("with_term"))
+    wanted = cut_lineage(open_.select("term").distinct())
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(column)), F.lit(TERM), F.lit(0)))
+    held = docs.select(F.explode(words).alias("term")).join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    return open_.join(held, "term").select("value", "term", (told / known).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
 def term_spans(docs: DataFrame, found: DataFrame, column: str = "text") -> DataFrame:

@@ -183,7 +183,9 @@ def learn_lexicon(sample: DataFrame, column: str = "text") -> tuple[str, ...]:
 
     Candidates are scored by the likelihood ratio of their texts in both classes, and kept if that
     is significant over all candidates and the term is at least four times as common in toxic texts.
-    Copies of one text count once.
+    Words are never left out for a stem, as only they are found with edits. A stem is kept where several
+    words need it: if its ratio exceeds that of each word or longer stem that begins with it by
+    as much as is significant over the terms found. Copies of one text count once.
     """
     texts = sample.groupBy(F.xxhash64(text_or_empty(column)).alias("same"), "label").agg(
         F.any_value(text_or_empty(column)).alias("text")
@@ -217,11 +219,27 @@ def learn_lexicon(sample: DataFrame, column: str = "text") -> tuple[str, ...]:
     least = 2 * math.log(candidates / SIGNIFICANCE)
     strong = counts.where((F.col("a") >= MIN_TEXTS) & (F.col("a") * clean > 4 * F.col("b") * toxic))
     best = strong.select("term", ratio.alias("ratio")).where(F.col("ratio") >= least)
+    letters = F.length(F.rtrim(F.lit(STEM), "term"))
+    ordered = best.orderBy(F.col("ratio").desc(), letters.desc(), "term").collect()
+    return chosen_terms([(row["term"], row["ratio"]) for row in ordered], 2 * math.log(max(1, len(ordered)) / SIGNIFICANCE))
+
+
+def chosen_terms(ordered: list[tuple[str, float]], least: float) -> tuple[str, ...]:
+    """The words of ``ordered``, and the stems that say more by ``least`` than any longer term that they begin."""
+    longer: dict[str, float] = {}
+    for term, ratio in ordered:
+        bare = term.rstrip(STEM)
+        for letters in STEMS:
+            if len(bare) > letters:
+                longer[bare[:letters]] = max(ratio, longer.get(bare[:letters], 0.0))
     kept: list[str] = []
-    for row in best.orderBy(F.col("ratio").desc(), "term").limit(4 * MAX_TERMS).collect():
-        term = row["term"]
-        covered = any(term.startswith(other[:-1]) for other in kept if other.endswith(STEM))
-        if not covered and len(kept) < MAX_TERMS:
+    for term, ratio in ordered:
+        if term.endswith(STEM):
+            covered = any(term.startswith(other[:-1]) for other in kept if other.endswith(STEM))
+            needed = term[:-1] not in longer or ratio >= longer[term[:-1]] + least
+            if covered or not needed:
+                continue
+        if len(kept) < MAX_TERMS:
             kept.append(term)
     return tuple(kept)
 

@@ -182,6 +182,22 @@ def test_fuzzy_trie_beside_edit_distances():
         assert (found is None) == (not best) and (found is None or found[0] == min(best)[0]), word
 
 
+def test_lexicon_keeps_words_for_their_misspellings(ready):
+    rng = random.Random(21)
+    plain = lambda n: " ".join(rng.choice("the a house tree river stone walks under over by".split()) for _ in range(n))
+    endings = ["ary", "esque", "inate", "olent", "urnal", "ybdis"]
+    toxic = [f"{plain(9)} you {rng.choice(['idiot', 'pathetic', 'worthless'])} {plain(6)} {i}" for i in range(90)]
+    toxic += [f"{plain(9)} you zorg{rng.choice(endings)} {plain(6)} {i}" for i in range(60)]
+    texts = [plain(rng.randrange(5, 60)) + f" {i}" for i in range(400)] + toxic
+    df = ready.createDataFrame([(t, int(i >= 400)) for i, t in enumerate(texts)], "text string, label int")
+    terms = toxicity.learn_lexicon(df)
+    assert {"idiot", "pathetic", "worthless", "zorg*"} <= set(terms)
+    assert not [term for term in terms if term.endswith("*") and not term.startswith("zorg")]
+    trie = toxicity.FuzzyTrie(terms)
+    assert all(trie.find(w) for w in ("1diot", "idjot", "id!ot", "pathetlc", "qathetic", "w0rthless", "zorgling"))
+    assert not any(trie.find(w) for w in ("pathway", "path", "worth", "worthwhile", "idiosyncratic", "idiolect"))
+
+
 def test_toxicity_learns_and_spares_quotation(ready):
     rng = random.Random(12)
     plain = lambda n: " ".join(rng.choice("the a house tree river stone walks under over by".split()) for _ in range(n))

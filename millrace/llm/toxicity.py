@@ -3,8 +3,8 @@
 The lexicon is learned from labelled texts: words and stems (beginnings of words) that occur in
 far more toxic than clean texts. Its trie is intersected with a Levenshtein automaton, so every
 term within the allowed edits is found in one walk over a word; the states of the product are built when
-they are first reached. Each hit is weighed by how well its term and number of edits tell the
-classes apart, and split into quoted and unquoted by its context window. A logistic model over
+they are first reached. Each hit is weighed by how well its term tells the classes apart, a misspelling by
+that and by its edits, and split into quoted and unquoted by its context window. A logistic model over
 these sums gives the score.
 
 Cases: a null or empty text has no hits and gets the score of such texts. With no labels, or
@@ -17,7 +17,7 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,6 +46,12 @@ CACHE_WORDS = 200_000
 WORD = re.compile(r"\w+(?:[@$*!'’-]\w+)*")
 QUOTES = re.compile("[\"“”„«»]")
 STEM = "*"
+Hit = tuple[int, int, int, bool, str]
+
+# What an edit leaves of a term's weight before any are seen, and the texts that this guess counts for.
+KEEPS, GUESSED = 0.7, 4.0
+# Texts that the weight expected of a misspelling counts for beside those that hold it.
+EXPECTED = 2.0
 
 
 def allowed_edits(term: str) -> int:
@@ -147,7 +153,7 @@ class Finder:
         self.known: dict[str, tuple[int, int] | None] = {}
 
     def hits(self, text: str) -> tuple[list[tuple[int, int, int, bool]], int]:
-        """``place, edits, term, quoted`` of every hit, and the number of words."""
+        """``place, edits, term, quoted, word`` of every hit, and the number of words."""
         low = text.lower()
         words = WORD.findall(low)
         if len(self.known) > CACHE_WORDS:
@@ -163,7 +169,7 @@ class Finder:
             before = low[spans[max(0, place - CONTEXT)][0] : spans[place][0]].rpartition("\n")[2]
             after = low[spans[place][1] : spans[min(len(spans) - 1, place + CONTEXT)][1]].partition("\n")[0]
             quoted = len(QUOTES.findall(before)) % 2 == 1 and bool(QUOTES.search(after))
-            out.append((place, edits, term, quoted))
+            out.append((place, edits, term, quoted, words[place]))
         return out, len(words)
 
 
@@ -244,14 +250,15 @@ def chosen_terms(ordered: list[tuple[str, float]], least: float) -> tuple[str, .
     return tuple(kept)
 
 
+HIT = ("place", "edits", "term", "quoted", "word")
 FEATURES = ["unquoted", "quoted", "densest", "share"]
 
 
-def features(hits: list[tuple[int, int, int, bool]], words: int, weights: dict[tuple[int, int], float]) -> list[float]:
+def features(hits: list[Hit], words: int, weigh: Callable[[int, int, str], float]) -> list[float]:
     """Sums of hit weights by quotation, the densest context window, and weight per word."""
     open_, quoted, places = 0.0, 0.0, []
-    for place, edits, term, inside in hits:
-        weight = weights.get((term, edits), 0.0)
+    for place, edits, term, inside, word in hits:
+        weight = weigh(term, edits, word)
         if inside:
             quoted += weight
         elif weight > 0:
@@ -265,21 +272,70 @@ def features(hits: list[tuple[int, int, int, bool]], words: int, weights: dict[t
     return [math.log1p(open_), math.log1p(quoted), float(min(densest, 8)), open_ / max(words, 20)]
 
 
+class Weights:
+    """Weights of hits: of a term from its exact hits, of a misspelling from its term and from the texts that hold it.
+
+    Nothing else is known of a misspelling not met in the sample than its term and the number of edits.
+    It has the term's weight with a discount for so many edits, corrected by
+    the misspellings of the term that occur in a single text, as these are most like new ones. Words
+    near a term that clean texts hold too lose that weight by their own counts.
+    """
+
+    def __init__(self, labels: Iterable[float], hits: Iterable[list[Hit]], terms: int):
+        labels = list(labels)
+        toxic, clean = max(1.0, sum(labels)), max(1.0, len(labels) - sum(labels))
+        # Toxic texts count as much in all as clean ones.
+        self.even = toxic / clean
+        exact = [[0.0, 0.0] for _ in range(terms)]
+        self.seen: dict[tuple[int, int, str], list[float]] = {}
+        for label, own in zip(labels, hits, strict=True):
+            for term, edits, word in {(h[2], h[1], h[4]) for h in own if h[1]}:
+                self.seen.setdefault((term, edits, word), [0.0, 0.0])[int(label)] += 1
+            for term in {h[2] for h in own if not h[1]}:
+                exact[term][int(label)] += 1
+        self.exact = [max(0.0, math.log((b + 0.5) / (toxic + 1)) - math.log((a + 0.5) / (clean + 1))) for a, b in exact]
+        once: dict[tuple[int, int], list[float]] = {}
+        for (term, edits, _), count in self.seen.items():
+            if sum(count) == 1:
+                both = once.setdefault((term, edits), [0.0, 0.0])
+                both[0], both[1] = both[0] + count[0], both[1] + count[1]
+        self.unseen = {}
+        for term, weight in enumerate(self.exact):
+            for edits in (1, 2):
+                clean_once, toxic_once = once.get((term, edits), (0.0, 0.0))
+                self.unseen[term, edits] = max(0.0, self._balanced(clean_once, toxic_once, KEEPS**edits * weight, GUESSED))
+
+    def _balanced(self, clean: float, toxic: float, expected: float, texts: float) -> float:
+        """Log ratio of the rates in both classes, with an expected weight counted as so many texts."""
+        share = 1 / (1 + math.exp(-expected))
+        return math.log((toxic + texts * share) / (clean * self.even + texts * (1 - share)))
+
+    def __call__(self, term: int, edits: int, word: str, without: int | None = None) -> float:
+        """The weight of a hit; ``without`` is the label of one text that is not to count."""
+        if edits == 0:
+            return self.exact[term]
+        clean, toxic = self.seen.get((term, edits, word), (0.0, 0.0))
+        if without is not None:
+            clean, toxic = clean - (without == 0), toxic - (without == 1)
+        return max(0.0, self._balanced(clean, toxic, self.unseen[term, edits], EXPECTED))
+
+
 def _hit_rows(sample: DataFrame, terms: tuple[str, ...], column: str) -> DataFrame:
     """Labelled texts with their hits and number of words."""
 
-    @F.pandas_udf("n bigint, hits array<array<int>>")
+    @F.pandas_udf("n bigint, hits array<struct<place:int,edits:int,term:int,quoted:boolean,word:string>>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         finder = _finder(terms)
         for texts in batches:
             rows = [finder.hits(text) for text in texts]
-            yield pd.DataFrame({"n": [n for _, n in rows], "hits": [[[int(v) for v in h] for h in hits] for hits, _ in rows]})
+            named = [[dict(zip(HIT, h, strict=True)) for h in hits] for hits, _ in rows]
+            yield pd.DataFrame({"n": [n for _, n in rows], "hits": named})
 
     return sample.select("label", found(text_or_empty(column)).alias("f")).select("label", "f.n", "f.hits")
 
 
 class Model:
-    """A lexicon, the weight of each term and number of edits, and the logistic model."""
+    """A lexicon, the weights of its hits, and the logistic model."""
 
     def __init__(self, terms, weights, mean, spread, logistic):
         self.terms, self.weights = terms, weights
@@ -296,17 +352,12 @@ def fit(rows: DataFrame, key: str = "doc_id", column: str = "text", at_most: int
     terms = learn_lexicon(sample)
     found = _hit_rows(sample, terms, "text").toPandas()
     y = found["label"].to_numpy(dtype=float)
-    toxic, clean = max(1.0, y.sum()), max(1.0, (1 - y).sum())
-    seen: dict[tuple[int, int], list[float]] = {}
-    for label, hits in zip(y, found["hits"], strict=True):
-        for pair in {(int(h[2]), int(h[1])) for h in hits}:
-            seen.setdefault(pair, [0.0, 0.0])[int(label)] += 1
-    weights = {
-        pair: max(0.0, math.log((b + 0.5) / (toxic + 1)) - math.log((a + 0.5) / (clean + 1))) for pair, (a, b) in seen.items()
-    }
-    # Hits that say little are left out of the sums.
-    weights = {pair: weight for pair, weight in weights.items() if weight > 1.0}
-    rows_of = [features([tuple(h) for h in hits], n, weights) for hits, n in zip(found["hits"], found["n"], strict=True)]
+    hits_of = [[tuple(h[name] for name in HIT) for h in hits] for hits in found["hits"]]
+    weights = Weights(y, hits_of, len(terms))
+    # A text's own label says nothing about the misspellings in it.
+    rows_of = [
+        features(hits, n, functools.partial(weights, without=int(label))) for hits, n, label in zip(hits_of, found["n"], y, strict=True)
+    ]
     x = np.array(rows_of, dtype=float).reshape(-1, len(FEATURES))
     mean, spread = learning.standardised(x)
     return Model(terms, weights, mean, spread, learning.fit_logistic((x - mean) / spread, y))

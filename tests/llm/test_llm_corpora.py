@@ -198,6 +198,19 @@ def test_lexicon_keeps_words_for_their_misspellings(ready):
     assert not any(trie.find(w) for w in ("pathway", "path", "worth", "worthwhile", "idiosyncratic", "idiolect"))
 
 
+def test_unseen_misspellings_count_like_their_term(ready):
+    rng = random.Random(22)
+    plain = lambda n: " ".join(rng.choice("the a house tree river stone walks under over by".split()) for _ in range(n))
+    clean = [plain(rng.randrange(5, 60)) + f" {i}" for i in range(300)] + [f"{plain(9)} the crash of {plain(9)} {i}" for i in range(40)]
+    toxic = [f"{plain(9)} {rng.choice(['idiot', 'trash', 'worthless'])} {plain(6)} {i}" for i in range(90)]
+    rows = [(i, t, int(i >= len(clean))) for i, t in enumerate(clean + toxic)]
+    model = toxicity.fit(ready.createDataFrame(rows, "doc_id bigint, text string, label int"))
+    texts = ["the river by the house", "the idiot over tree", "the 1diot over tree", "an idjot walks", "w0rthless house", "the crash of a stone"]
+    tests = ready.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    scores = {r["doc_id"]: r["toxicity_score"] for r in toxicity.score(tests, model).collect()}
+    assert all(scores[i] >= 0.5 for i in (1, 2, 3, 4)) and max(scores[0], scores[5]) < 0.5, scores
+
+
 def test_toxicity_learns_and_spares_quotation(ready):
     rng = random.Random(12)
     plain = lambda n: " ".join(rng.choice("the a house tree river stone walks under over by".split()) for _ in range(n))

@@ -1,14 +1,14 @@
 """Personal data: fixed patterns, and terms that reveal a protected value, in DataFrame operations only.
 
-Values that the patterns find are protected. The corpus estimates how strongly a term near a
-value reveals it: with N texts, ``bits(v) = log2(N / texts with v)`` is what a reader does not
-know about v, and ``log2(N * texts with both / (texts with v * texts with t))`` is what the term
-tells. Their quotient is the disclosure of v by t, 1 if the term occurs in no other text. Terms
+Values that the patterns find are protected. The corpus estimates how strongly a term in a text with a
+value reveals it: with N different texts, ``bits(v) = log2(N / texts with v)`` is what a reader does not
+know about v, and ``log2(N * texts with both / (texts with v * (texts with t + SMOOTH)))`` is what the
+term tells. Their quotient is the disclosure of v by t. Every value is judged, those of a
+single text too; the smoothing takes the more from a term the fewer texts speak for it. Terms
 above ``GENERALISE`` are replaced by their class near v, those above ``REMOVE`` are removed.
 
 Cases: a null text is empty. Spans are code points, the end exclusive; patterns of one kind do not overlap, but
-those of two kinds may. A term must be near the value in ``MIN_CONTEXTS`` different
-surroundings, so exact copies of a text are no evidence. Null ids and repeated rows are kept as they are.
+those of two kinds may. Copies of a text count as one, so they are no evidence. Null ids and repeated rows are kept as they are.
 """
 
 from __future__ import annotations
@@ -36,13 +36,17 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-
 CONTEXT = 60
 # A term: letters and digits, with a letter first.
 TERM = r"(?<![\p{L}\p{M}\p{N}])\p{L}[\p{L}\p{M}\p{N}]{3,}"
-# Different surroundings in which a term must be near a value.
-MIN_CONTEXTS = 3
+# Texts with a term and without the value that are assumed beside those that the corpus holds.
+SMOOTH = 1
 GENERALISE, REMOVE = 0.75, 0.9
 
 # Doublings of a running sum: texts hold at most 2^26 matches.
 DOUBLINGS = 26
 
+# What stands for a base span.
+MASKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]")
+
+TERM_SPANS = "array<struct<start:int,end:int,remove:boolean>>"
 SPAN = "struct<kind:int,start:int,end:int,value:string,before:string,after:string>"
 
 
@@ -162,42 +166,54 @@ def nearby_terms(found: DataFrame) -> DataFrame:
     return rows.select("k_id", "k_text", "value", "around", "t.term", "t.start", "t.end")
 
 
-def disclosing_terms(docs: DataFrame, near: DataFrame, found: DataFrame, column: str = "text") -> DataFrame:
+def _words(text: Column) -> Column:
+    """Distinct terms of a text outside its addresses; no other base value holds letters."""
+    plain = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    return F.array_distinct(F.regexp_extract_all(F.lower(plain), F.lit(TERM), F.lit(0)))
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, column: str = "text") -> DataFrame:
     """``value, term, disclosure`` of the terms over the lower threshold.
 
-    Co-occurrence is counted once per text. Only terms with enough different surroundings, whose
-    counts near values leave the threshold in reach, are counted in the whole corpus.
+    All counts are of different texts. Terms in too many texts for any value beside them are left out
+    before values and terms meet.
     """
-    texts = found.count()
-    values = (
-        found.select("k_id", "k_text", F.explode("base").alias("v"))
-        .select("k_id", "k_text", F.lower("v.value").alias("value"))
+    copies = cut_lineage(found.groupBy("k_text").agg(F.count(F.lit(1)).alias("copies")))
+    texts = copies.count()
+    held = (
+        found.where(F.size("base") > 0)
+        .select("k_text", F.explode("base").alias("v"))
+        .select("k_text", F.lower("v.value").alias("value"))
         .distinct()
-        .groupBy("value")
-        .agg(F.count(F.lit(1)).alias("with_value"))
-    )
-    together = cut_lineage(near.groupBy("value", "term", "k_id", "k_text").agg(F.min("around").alias("around")))
-    # A term is in at least as many texts as it is in near any value, which bounds what it can disclose.
-    at_least = together.groupBy("term").agg(F.count_distinct(F.struct("k_id", "k_text")).alias("with_term"))
-    pairs = (
-        together.groupBy("value", "term")
-        .agg(F.count(F.lit(1)).alias("both"), F.count_distinct("around").alias("contexts"))
-        .where(F.col("contexts") >= MIN_CONTEXTS)
-        .join(values.where(F.col("with_value") < texts), "value")
     )
+    held = cut_lineage(held)
+    values = cut_lineage(held.groupBy("value").agg(F.count(F.lit(1)).alias("with_value")).where(F.col("with_value") < texts))
+    held = cut_lineage(held.join(values, "value"))
+
+    # A term tells enough of a value in so many texts only if it is in no more texts than this.
+    def most(with_value: Column) -> Column:
+        return F.lit(float(texts)) * F.pow(with_value / F.lit(float(max(texts, 1))), F.lit(GENERALISE)) - SMOOTH + 1e-6
+
+    reach = cut_lineage(held.groupBy("k_text").agg(most(F.max("with_value")).alias("most")))
+    farthest = reach.agg(F.max("most")).first()[0] or 0.0
+    text = text_or_empty(column)
+    rows = docs.select(F.xxhash64(text).alias("k_text"), _words(text).alias("words"))
+    # A text that has copies counts once in all.
+    again = cut_lineage(copies.where("copies > 1"))
+    shares = rows.join(again, "k_text", "left").select(F.explode("words").alias("term"), (1.0 / F.coalesce("copies", F.lit(1))).alias("share"))
+    counts = shares.groupBy("term").agg(F.round(F.sum("share")).cast("bigint").alias("with_term")).where(F.col("with_term") <= farthest)
+    near = rows.join(reach, "k_text").select("k_text", "most", F.explode("words").alias("term")).distinct()
+    near = cut_lineage(near.join(counts, "term").where(F.col("with_term") <= F.col("most")))
+    both = near.join(held, "k_text").groupBy("value", "term", "with_value", "with_term").agg(F.count(F.lit(1)).alias("both"))
     known = F.log2(F.lit(float(texts)) / F.col("with_value"))
-    told = F.log2(F.lit(float(texts)) * F.col("both") / (F.col("with_value") * F.col("with_term")))
-    open_ = cut_lineage(pairs.join(at_least, "term").where(told / known >= GENERALISE).drop("with_term"))
-    wanted = cut_lineage(open_.select("term").distinct())
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(column)), F.lit(TERM), F.lit(0)))
-    held = docs.select(F.explode(words).alias("term")).join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    return open_.join(held, "term").select("value", "term", (told / known).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    told = F.log2(F.lit(float(texts)) * F.col("both") / (F.col("with_value") * (F.col("with_term") + SMOOTH)))
+    return both.select("value", "term", (told / known).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
 def term_spans(docs: DataFrame, found: DataFrame, column: str = "text") -> DataFrame:
     """``k_id, k_text, terms``: the terms to replace in every text that has some, by start."""
     near = cut_lineage(nearby_terms(found))
-    telling = cut_lineage(disclosing_terms(docs, near, found, column))
+    telling = cut_lineage(disclosing_terms(docs, found, column))
     places = near.join(telling, ["value", "term"]).groupBy("k_id", "k_text", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     span = F.struct("start", "end", (F.col("disclosure") >= REMOVE).alias("remove"))
     return cut_lineage(places.groupBy("k_id", "k_text").agg(F.array_sort(F.collect_list(span)).alias("terms")))
@@ -225,14 +241,10 @@ def find(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFram
     found = cut_lineage(keyed_spans(docs, key, column))
     terms = term_spans(docs, found, column)
     joined = found.alias("f").join(terms.alias("t"), _same("f", "t"), "left")
-    none = F.array().cast("array<struct<start:int,end:int,remove:boolean>>")
+    none = F.array().cast(TERM_SPANS)
     return joined.select("f.k_id", "f.base", F.coalesce("t.terms", none).alias("terms"))
 
 
-# What stands for a base span and for a generalised term.
-MASKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]")
-
-
 def _masked(text: Column, base: Column, terms: Column) -> Column:
     """The text with all spans replaced; spans that overlap are replaced as one, by the mask of the first."""
     masks = F.array(*[F.lit(m) for m in MASKS])
@@ -273,7 +285,7 @@ def sanitise(docs: DataFrame, key: str = "doc_id", column: str = "text") -> Data
     text = text_or_empty(column)
     rows = docs.select(own.alias("row"), F.col(f"`{key}`").alias("k_id"), F.xxhash64(text).alias("k_text"), base_spans(text).alias("base"))
     joined = rows.alias("r").join(terms.alias("t"), _same("r", "t"), "left")
-    none = F.array().cast("array<struct<start:int,end:int,remove:boolean>>")
+    none = F.array().cast(TERM_SPANS)
     spans = F.coalesce("t.terms", none)
     value = F.col("r.row")[column]
     clean = (F.size("r.base") == 0) & (F.size(spans) == 0)

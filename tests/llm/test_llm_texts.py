@@ -118,6 +118,16 @@ def test_pii_terms_that_reveal_a_value(ready):
     assert all("Zorkmid" in r["text"] for r in pii.sanitise(copies).where("doc_id < 9").collect())
 
 
+def test_pii_judges_values_of_one_text(ready):
+    texts = ["Ask Quibblefax under quib@corp.org about the house.", "Call Wrenlow on +1 202 555 0143 about the room."]
+    texts += ["Wrenlow in the house has +1 202 555 0143 too."]
+    texts += [f"Ask about the house or the room under call too {i}." for i in range(300)]
+    df = ready.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert "Quibblefax" not in rows[0] and not any("Wrenlow" in rows[i] for i in (1, 2))
+    assert all("house" in rows[i] for i in (0, 2)) and all(rows[i] == texts[i] for i in range(3, len(texts)))
+
+
 def test_pii_keeps_rows_and_nulls(ready):
     df = documents(ready)
     masked = pii.sanitise(df)

@@ -5,7 +5,7 @@ value reveals it: with N different texts, ``bits(v) = log2(N / texts with v)`` i
 know about v, and ``log2(N * texts with both / (texts with v * (texts with t + SMOOTH)))`` is what the
 term tells. Their quotient is the disclosure of v by t. Every value is judged, those of a
 single text too; the smoothing takes the more from a term the fewer texts speak for it. Terms
-above ``GENERALISE`` are replaced by their class near v, those above ``REMOVE`` are removed.
+above ``GENERALISE`` are replaced by their class in all texts, those above ``REMOVE`` are removed.
 
 Cases: a null text is empty. Spans are code points, the end exclusive; patterns of one kind do not overlap, but
 those of two kinds may. Copies of a text count as one, so they are no evidence. Null ids and repeated rows are kept as they are.
@@ -32,10 +32,8 @@ PATTERNS = {
 # A text without a match of these has no match of the pattern.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 
-# Characters on either side of a value in which terms are looked for.
-CONTEXT = 60
-# A term: letters and digits, with a letter first.
-TERM = r"(?<![\p{L}\p{M}\p{N}])\p{L}[\p{L}\p{M}\p{N}]{3,}"
+# A term: two or more letters and digits, with a letter first.
+TERM = r"(?<![\p{L}\p{M}\p{N}])\p{L}[\p{L}\p{M}\p{N}]+"
 # Texts with a term and without the value that are assumed beside those that the corpus holds.
 SMOOTH = 1
 GENERALISE, REMOVE = 0.75, 0.9
@@ -47,7 +45,7 @@ DOUBLINGS = 26
 MASKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]")
 
 TERM_SPANS = "array<struct<start:int,end:int,remove:boolean>>"
-SPAN = "struct<kind:int,start:int,end:int,value:string,before:string,after:string>"
+SPAN = "struct<kind:int,start:int,end:int,value:string>"
 
 
 def _bound(value: Column, use) -> Column:
@@ -102,8 +100,6 @@ def _spans_of(text: Column, pattern: str, kind: int, valid) -> Column:
                         (F.get(ends, i) - F.length(value)).alias("start"),
                         F.get(ends, i).alias("end"),
                         value.alias("value"),
-                        F.right(F.get(g, i), F.lit(CONTEXT)).alias("before"),
-                        F.left(F.get(g, i + 1), F.lit(CONTEXT)).alias("after"),
                     ),
                 )
                 return F.filter(every, lambda s: valid(s["value"])).cast(f"array<{SPAN}>")
@@ -125,47 +121,12 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def _terms_in(context: Column, cut_before: bool) -> Column:
-    """Terms of a context with their places in it; one at the edge where the text was cut is left out."""
-    spans = _spans_of(context, TERM, len(KINDS) - 1, lambda v: F.lit(True))
-    full = F.length(context) >= CONTEXT
-    edge = (lambda s: ~(full & (s["start"] == 0))) if cut_before else (lambda s: ~(full & (s["end"] == F.length(context))))
-    return F.transform(
-        F.filter(spans, edge), lambda s: F.struct(F.lower(s["value"]).alias("term"), s["start"].alias("start"), s["end"].alias("end"))
-    )
-
-
 def keyed_spans(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
     """``k_id, k_text, base`` of every text; ``k_text`` tells texts under one id apart."""
     text = text_or_empty(column)
     return docs.select(F.col(f"`{key}`").alias("k_id"), F.xxhash64(text).alias("k_text"), base_spans(text).alias("base"))
 
 
-def nearby_terms(found: DataFrame) -> DataFrame:
-    """``k_id, k_text, value, term, start, end, around`` for every term near a protected value."""
-    values = found.where(F.size("base") > 0).distinct().select("k_id", "k_text", "base", F.explode("base").alias("v"))
-    before = F.transform(
-        _terms_in(F.col("v.before"), True),
-        lambda t: F.struct(
-            t["term"].alias("term"),
-            (F.col("v.start") - F.length("v.before") + t["start"]).alias("start"),
-            (F.col("v.start") - F.length("v.before") + t["end"]).alias("end"),
-        ),
-    )
-    after = F.transform(
-        _terms_in(F.col("v.after"), False),
-        lambda t: F.struct(t["term"].alias("term"), (F.col("v.end") + t["start"]).alias("start"), (F.col("v.end") + t["end"]).alias("end")),
-    )
-    free = F.filter(
-        F.concat(before, after),
-        lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
-    )
-    rows = values.select(
-        "k_id", "k_text", F.lower("v.value").alias("value"), F.xxhash64("v.before", "v.after").alias("around"), F.explode(free).alias("t")
-    )
-    return rows.select("k_id", "k_text", "value", "around", "t.term", "t.start", "t.end")
-
-
 def _words(text: Column) -> Column:
     """Distinct terms of a text outside its addresses; no other base value holds letters."""
     plain = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
@@ -210,13 +171,26 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, column: str = "text") ->
     return both.select("value", "term", (told / known).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
-def term_spans(docs: DataFrame, found: DataFrame, column: str = "text") -> DataFrame:
-    """``k_id, k_text, terms``: the terms to replace in every text that has some, by start."""
-    near = cut_lineage(nearby_terms(found))
-    telling = cut_lineage(disclosing_terms(docs, found, column))
-    places = near.join(telling, ["value", "term"]).groupBy("k_id", "k_text", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    span = F.struct("start", "end", (F.col("disclosure") >= REMOVE).alias("remove"))
-    return cut_lineage(places.groupBy("k_id", "k_text").agg(F.array_sort(F.collect_list(span)).alias("terms")))
+def term_spans(docs: DataFrame, found: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """``k_id, k_text, terms``: the terms to replace in every text that has some, by start.
+
+    A telling term is replaced wherever it stands outside base spans, in texts without its value too.
+    """
+    every = cut_lineage(disclosing_terms(docs, found, column))
+    telling = cut_lineage(every.groupBy("term").agg((F.max("disclosure") >= REMOVE).alias("remove")))
+    text = text_or_empty(column)
+    rows = docs.select(F.col(f"`{key}`").alias("k_id"), F.xxhash64(text).alias("k_text"), text.alias("text"))
+    words = rows.select("k_id", "k_text", F.explode(_words(F.col("text"))).alias("term")).join(telling, "term")
+    named = words.groupBy("k_id", "k_text").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("term", "remove")))).alias("named"))
+    named = cut_lineage(named)
+    marked = found.distinct().alias("b").join(named.alias("n"), _same("b", "n")).select("b.k_id", "b.k_text", "b.base", "n.named")
+    held = rows.alias("r").join(cut_lineage(marked).alias("m"), _same("r", "m")).select("r.k_id", "r.k_text", "r.text", "m.base", "m.named")
+    spans = F.transform(
+        _spans_of(F.col("text"), TERM, len(KINDS) - 1, lambda v: F.map_contains_key("named", F.lower(v))),
+        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at("named", F.lower(s["value"])).alias("remove")),
+    )
+    free = F.filter(spans, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return cut_lineage(held.select("k_id", "k_text", free.alias("terms")).where(F.size("terms") > 0).distinct())
 
 
 def _same(left: str, right: str) -> Column:
@@ -239,7 +213,7 @@ def span_text(spans: Column, kind: str | None = None) -> Column:
 def find(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
     """``k_id, base, terms`` for every row of ``docs``."""
     found = cut_lineage(keyed_spans(docs, key, column))
-    terms = term_spans(docs, found, column)
+    terms = term_spans(docs, found, key, column)
     joined = found.alias("f").join(terms.alias("t"), _same("f", "t"), "left")
     none = F.array().cast(TERM_SPANS)
     return joined.select("f.k_id", "f.base", F.coalesce("t.terms", none).alias("terms"))
@@ -280,7 +254,7 @@ def sanitise(docs: DataFrame, key: str = "doc_id", column: str = "text") -> Data
     Texts without any keep their value, null included.
     """
     found = cut_lineage(keyed_spans(docs, key, column))
-    terms = term_spans(docs, found, column)
+    terms = term_spans(docs, found, key, column)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     text = text_or_empty(column)
     rows = docs.select(own.alias("row"), F.col(f"`{key}`").alias("k_id"), F.xxhash64(text).alias("k_text"), base_spans(text).alias("base"))

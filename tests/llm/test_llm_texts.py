@@ -128,6 +128,16 @@ def test_pii_judges_values_of_one_text(ready):
     assert all("house" in rows[i] for i in (0, 2)) and all(rows[i] == texts[i] for i in range(3, len(texts)))
 
 
+def test_pii_terms_are_replaced_in_whole_texts(ready):
+    texts = [f"Li of number {i} has lee@corp.org. " + "The visit was held in a room of the house. " * 5 + f"Ask Li about {i}." for i in range(4)]
+    texts += ["The visit of Li was held in the house."]
+    texts += [f"Ask about number {i}, the visit was held in a room of the house." for i in range(300)]
+    df = ready.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id bigint, text string")
+    rows = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert not any("Li" in rows[i] for i in (None, 0, 1, 2, 3, 4)) and "The visit of" in rows[4]
+    assert all(rows[i] == texts[i] for i in range(5, len(texts)))
+
+
 def test_pii_keeps_rows_and_nulls(ready):
     df = documents(ready)
     masked = pii.sanitise(df)

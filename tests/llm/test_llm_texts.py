@@ -296,3 +296,15 @@ def test_secrets_base_and_network(ready):
     more = {r["text"]: r["spans"] for r in secrets.scan(found, net).collect()}
     assert all(plain_secrets(t or "") == "" or set(plain_secrets(t or "").split(",")) <= set(s.split(",")) for t, s in more.items())
     assert secrets.fit(found.limit(0)) is None
+
+
+def test_secret_threshold_keeps_the_recall(ready):
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    examples = [(1, " ", word(rng.randrange(6, 200)), " ") for _ in range(200)] + [(0, " ", word(rng.randrange(6, 60)), " ") for _ in range(300)]
+    schema = "examples array<struct<label:int,before:string,value:string,after:string>>"
+    net = secrets.fit(ready.createDataFrame([(examples,)], schema).coalesce(1))
+    positive = sorted((e for e in examples if e[0] == 1), key=lambda e: e[2])
+    assert net.recall >= secrets.RECALL
+    # The scan keeps about as many of all secrets, the long ones by all their pieces.
+    assert (net.probabilities([e[1:] for e in positive]) >= net.threshold).mean() > 0.9

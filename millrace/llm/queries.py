@@ -4,7 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, chat, decontaminate, learning, ngram_join, pii, quality, rules, secrets, statistics, toxicity, warc
+from millrace.llm import (
+    align,
+    bpe,
+    chat,
+    compress,
+    decontaminate,
+    learning,
+    ngram_join,
+    pii,
+    quality,
+    rules,
+    secrets,
+    statistics,
+    topk,
+    toxicity,
+    warc,
+)
 from millrace.llm.common import prepare_workers
 from millrace.session import cut_lineage, scratch_dir
 from millrace.sources.catalog import table
@@ -158,6 +174,27 @@ def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id")
 
 
+# Every so many ids one vector asks, for so many best candidates, in codes of 1/64.
+ASK_EVERY, BEST, CODE_SCALE = 20, 20, 64
+
+
+def op11_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The best candidates of every asking vector by integer inner product."""
+    vectors = table(spark, folder, "embeddings")
+    return topk.top_inner_products(vectors, F.col("vec_id") % ASK_EVERY == 0, k=BEST, scale=CODE_SCALE)
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector as eight codebook indices, with its error."""
+    return compress.compress(table(spark, folder, "embeddings"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, aligned, with corpus-wide counts of linked ids."""
+    found = align.Alignment(table(spark, folder, "documents")).documents()
+    return found.withColumnRenamed("key", "doc_id")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_chat_formatting": op2_chat_formatting,
@@ -169,8 +206,45 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_exact_topk": op11_exact_topk,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
+
+def lloyd_sql(rounds: int, entries: int, parts: int) -> str:
+    """Lloyd's rounds as one common table expression each."""
+    assigned = """
+        a{r} AS MATERIALIZED (
+            SELECT k, p, arg_min(e, (d, e)) AS e, min(d) AS d
+            FROM (SELECT v.k, v.p, c.e, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+                  FROM v JOIN c{r} c USING (p))
+            GROUP BY k, p),"""
+    moved = """
+        c{next} AS MATERIALIZED (
+            SELECT c.p, c.e, coalesce(m.x, c.x) AS x
+            FROM c{r} c LEFT JOIN (
+                SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x
+                FROM (SELECT p, e, i, sum(y)::BIGINT AS s, count(*) AS n
+                      FROM (SELECT v.p, a.e, unnest(v.x) AS y, generate_subscripts(v.x, 1) AS i FROM v JOIN a{r} a USING (k, p))
+                      GROUP BY p, e, i)
+                GROUP BY p, e) m USING (p, e)),"""
+    steps = "".join(assigned.format(r=r) + moved.format(r=r, next=r + 1) for r in range(rounds))
+    return f"""
+        WITH w AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS k, vec_id, label,
+                   list_transform(embedding, lambda y: CAST(floor(4096 * CAST(y AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+        v AS MATERIALIZED (
+            SELECT k, p, x[p * len(x) // {parts} + 1:(p + 1) * len(x) // {parts}] AS x
+            FROM (SELECT k, x, unnest(range({parts})) AS p FROM w)),
+        c0 AS MATERIALIZED (SELECT p, k - 1 AS e, x FROM v WHERE k <= {entries}),{steps}{assigned.format(r=rounds)}
+        b AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds}),
+        t AS (SELECT k, string_agg(lpad(lower(printf('%x', e)), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY k)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+        FROM t JOIN w USING (k), b"""
+
 ORACLES = {
     "op2_chat_formatting": r"""
         WITH t AS (
@@ -242,4 +316,16 @@ ORACLES = {
         r(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
         SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, min(r.b) AS component_id
         FROM s JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, len(g)""",
+    "op11_exact_topk": """
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda y: CAST(floor(64 * CAST(y AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+        s AS (
+            SELECT q.k, q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.k <> c.k),
+        r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op12_vector_codes": lloyd_sql(6, 16, 8),
 }

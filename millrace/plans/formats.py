@@ -12,6 +12,7 @@ from millrace.operators.projection import split_features
 from millrace.session import cut_lineage, scratch_dir
 from millrace.sinks.files import ctas_delimited, drop_table, export_parts, save_table
 from millrace.sinks.rows import append_rows
+from millrace.sinks import widestore
 from millrace.sinks.widecolumn import import_columns, put_cells, store_cells
 from millrace.sources import delimited, files, widecolumn
 from millrace.sources.catalog import table
@@ -144,6 +145,39 @@ def widecolumn_rows(spark: SparkSession, folder: str) -> DataFrame:
     return rows.agg(F.count("rowkey").alias("n"), F.sum("cells").alias("cells"))
 
 
+def event_store(spark: SparkSession, folder: str) -> str:
+    """A store that has taken all events in three batches of puts, then a batch of row deletes."""
+    store = scratch_dir(spark, "wide-store")
+    events = table(spark, folder, "events")
+    puts = events.select(
+        F.col("user_id").cast("string").alias("rowkey"),
+        F.concat(F.lit("event:"), "event_type").alias("qualifier"),
+        F.col("props").alias("value"),
+        F.col("event_id").alias("seq"),
+    )
+    third = (events.agg(F.max("event_id")).first()[0] or 0) / 3
+    for batch in range(3):
+        low, high = F.col("seq") > batch * third, F.col("seq") <= (batch + 1) * third
+        widestore.put(puts.where(high if batch == 0 else low if batch == 2 else low & high), store)
+    # A purchase closes a session: what the row held up to then goes.
+    closed = events.where("event_type = 'purchase'").groupBy(F.col("user_id").cast("string").alias("rowkey"))
+    widestore.delete_rows(closed.agg(F.max("event_id").alias("seq")), store)
+    return store
+
+
+def widecolumn_store(spark: SparkSession, folder: str) -> DataFrame:
+    """Every cell that stands after puts and deletes in an existing store, merged on read."""
+    return widestore.scan(spark, event_store(spark, folder), family="event")
+
+
+def widecolumn_range(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of a range of keys from a compacted store; the range reaches the files' statistics."""
+    store = event_store(spark, folder)
+    widestore.compact(spark, store)
+    widestore.drop_unused(spark, store)
+    return widestore.get_rows(spark, store, "2", "4")
+
+
 def tsv_import_last_wins(spark: SparkSession, folder: str) -> DataFrame:
     """Bulk load keyed by user: the last event of each user is what the store keeps."""
     path = scratch_dir(spark, "events.tsv")
@@ -181,11 +215,21 @@ QUERIES = {
     "export_parts": export_lines,
     "widecolumn_merge": widecolumn_merge,
     "widecolumn_rows": widecolumn_rows,
+    "widecolumn_store": widecolumn_store,
+    "widecolumn_range": widecolumn_range,
     "tsv_import_last_wins": tsv_import_last_wins,
     "key_value_append": key_value_append,
     "warehouse_peek": warehouse_peek,
 }
 
+STANDING_CELLS = """
+        WITH gone AS (SELECT user_id, max(event_id) AS gone FROM events WHERE event_type = 'purchase' GROUP BY user_id),
+        last AS (
+            SELECT user_id, event_type, max_by(props, event_id) AS value, max(event_id) AS seq
+            FROM events GROUP BY user_id, event_type)
+        SELECT CAST(user_id AS VARCHAR) AS rowkey, 'event:' || event_type AS qualifier, value, seq
+        FROM last LEFT JOIN gone USING (user_id) WHERE coalesce(seq > gone, true)"""
+
 ORACLES = {
     "delimited_group_order": """
         SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment ORDER BY n DESC, c_mktsegment DESC""",
@@ -211,6 +255,8 @@ ORACLES = {
         FROM events GROUP BY user_id, event_type""",
     "widecolumn_rows": """
         SELECT count(*) AS n, CAST(2 * count(*) AS BIGINT) AS cells FROM (SELECT DISTINCT o_custkey FROM orders)""",
+    "widecolumn_store": STANDING_CELLS,
+    "widecolumn_range": f"SELECT * FROM ({STANDING_CELLS}) WHERE rowkey >= '2' AND rowkey < '4'",
     "tsv_import_last_wins": """
         SELECT CAST(user_id AS VARCHAR) AS rowkey, arg_max(event_type, event_id) AS event_type,
                arg_max(props, event_id) AS props

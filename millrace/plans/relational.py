@@ -14,6 +14,7 @@ from millrace.operators.joins import inner_join, join_count
 from millrace.operators.ordering import head, peek, top_groups
 from millrace.operators.projection import as_factor, derive, filter_date, filter_eq, project
 from millrace.session import scratch_dir
+from millrace.sinks import updates
 from millrace.sinks.rows import append_rows, append_view, overwrite_snapshot, update_where
 from millrace.sources.catalog import load_star_schema, table
 from millrace.sources.files import read_orc
@@ -76,7 +77,7 @@ def range_join_count(spark: SparkSession, folder: str) -> DataFrame:
     """An integer range up to the largest order key, joined with the keys of the line items and counted."""
     lines = table(spark, folder, "lineitem").select("l_orderkey")
     top = lines.agg(F.max("l_orderkey")).first()[0]
-    return join_count(range_df(spark, (top or 0) // 2 + 1), lines, ("id", "l_orderkey"))
+    return join_count(range_df(spark, (top or 0) + 1), lines, ("id", "l_orderkey"))
 
 
 def total_price(spark: SparkSession, folder: str) -> DataFrame:
@@ -175,6 +176,16 @@ def update_where_orders(spark: SparkSession, folder: str) -> DataFrame:
     return read_orc(spark, overwrite_snapshot(changed, scratch_dir(spark, "orders")))
 
 
+def update_files_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Old orders closed in a table cut by days: only the files that hold such orders are rewritten."""
+    path = scratch_dir(spark, "orders-table")
+    updates.create_table(table(spark, folder, "orders"), path, ["o_orderdate"])
+    old = F.col("o_orderdate") < F.lit("1993-01-01").cast("timestamp_ntz")
+    updates.update_files(spark, path, old & (F.col("o_orderstatus") != "F"), {"o_orderstatus": "F"})
+    updates.update_files(spark, path, old, {"o_totalprice": F.col("o_totalprice") * 2, "o_orderpriority": "closed"})
+    return updates.read_table(spark, path)
+
+
 QUERIES = {
     "project_filter": project_filter,
     "derive_arith": derive_arith,
@@ -200,6 +211,7 @@ QUERIES = {
     "view_append": view_append,
     "insert_cast": insert_cast,
     "update_where": update_where_orders,
+    "update_files": update_files_orders,
 }
 
 ORACLES = {
@@ -225,7 +237,7 @@ ORACLES = {
     "join_count_hot_keys": """
         SELECT count(*) AS n FROM events a JOIN events b ON a.event_type = b.event_type""",
     "range_join_count": """
-        SELECT count(*) AS n FROM lineitem WHERE l_orderkey BETWEEN 0 AND (SELECT max(l_orderkey) // 2 FROM lineitem)""",
+        SELECT count(*) AS n FROM lineitem WHERE l_orderkey >= 0""",
     "total": "SELECT round(sum(l_extendedprice), 2) AS total FROM lineitem",
     "distinct_values": "SELECT DISTINCT upper(event_type) AS kind FROM events",
     "worker_runtimes": "SELECT CAST(1 AS BIGINT) AS runtimes, count(*) AS rows FROM events",
@@ -275,4 +287,10 @@ ORACLES = {
         SELECT o_orderkey, o_orderstatus,
                CASE WHEN o_orderstatus = 'F' THEN 100.0::DOUBLE ELSE o_totalprice END AS o_totalprice
         FROM orders""",
+    "update_files": """
+        SELECT * REPLACE (
+            CASE WHEN o_orderdate < TIMESTAMP '1993-01-01' THEN 'F' ELSE o_orderstatus END AS o_orderstatus,
+            CASE WHEN o_orderdate < TIMESTAMP '1993-01-01' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice,
+            CASE WHEN o_orderdate < TIMESTAMP '1993-01-01' THEN 'closed' ELSE o_orderpriority END AS o_orderpriority)
+        FROM orders""",
 }

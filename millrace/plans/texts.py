@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.operators import sketches
+from millrace.operators import search_index, sketches
 from millrace.operators.aggregates import word_count
 from millrace.operators.search import catch_all, search_count, tokenize_col
 from millrace.session import scratch_dir
@@ -65,6 +65,43 @@ def analysed_lengths(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize_col(fields, "_text_").select("page_id", F.size("tokens").alias("terms"))
 
 
+SEARCHED = ["text", "lang", "source"]
+
+
+def document_index(spark: SparkSession, folder: str) -> DataFrame:
+    """An index of all documents, added in two segments."""
+    path = scratch_dir(spark, "index")
+    docs = table(spark, folder, "documents")
+    english = F.col("lang").eqNullSafe("en")
+    for part in (docs.where(english), docs.where(~english)):
+        search_index.add_documents(part, path, "doc_id", SEARCHED)
+    return search_index.open_index(spark, path)
+
+
+def search_index_count(spark: SparkSession, folder: str) -> DataFrame:
+    return search_index.index_count(document_index(spark, folder), "the")
+
+
+def search_index_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold both terms."""
+    return search_index.with_all(document_index(spark, folder), "the and")
+
+
+def search_index_phrase(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold two terms in a row."""
+    return search_index.with_phrase(document_index(spark, folder), "of the")
+
+
+def search_index_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every indexed term with its documents and occurrences, after the segments have been merged."""
+    path = scratch_dir(spark, "index")
+    docs = table(spark, folder, "documents")
+    search_index.add_documents(docs.where("n_chars < 2000"), path, "doc_id", SEARCHED)
+    search_index.add_documents(docs.where("n_chars >= 2000 OR n_chars IS NULL"), path, "doc_id", SEARCHED)
+    search_index.merge_segments(spark, path)
+    return search_index.dictionary(search_index.open_index(spark, path))
+
+
 QUERIES = {
     "word_count": document_words,
     "line_word_count": line_words,
@@ -73,8 +110,17 @@ QUERIES = {
     "sketch_merged": sketch_merged,
     "search_count": search_term,
     "analysed_terms": analysed_lengths,
+    "search_index_count": search_index_count,
+    "search_index_all": search_index_all,
+    "search_index_phrase": search_index_phrase,
+    "search_index_terms": search_index_terms,
 }
 
+TERM_LISTS = r"""
+        WITH t AS (
+            SELECT doc_id AS doc, regexp_extract_all(lower(concat_ws(' ', text, lang, source)), '[\p{L}\p{M}\p{N}]+') AS w
+            FROM documents)"""
+
 ORACLES = {
     "word_count": r"""
         SELECT word, count(*) AS n
@@ -93,4 +139,16 @@ ORACLES = {
     "analysed_terms": r"""
         SELECT page_id, CAST(len(regexp_extract_all(lower(concat_ws(' ', url, html)), '[\p{L}\p{M}\p{N}]+')) AS INTEGER) AS terms
         FROM pages""",
+    "search_index_count": TERM_LISTS + """
+        SELECT count(*) AS num_found FROM t WHERE list_contains(w, 'the')""",
+    "search_index_all": TERM_LISTS + """
+        SELECT doc, CAST(len(list_filter(w, lambda x: x = 'the' OR x = 'and')) AS BIGINT) AS hits
+        FROM t WHERE list_contains(w, 'the') AND list_contains(w, 'and')""",
+    "search_index_phrase": TERM_LISTS + """
+        SELECT doc, hits FROM (
+            SELECT doc, CAST(len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS BIGINT) AS hits FROM t)
+        WHERE hits > 0""",
+    "search_index_terms": TERM_LISTS + """
+        SELECT term, count(DISTINCT doc) AS docs, count(*) AS occurrences
+        FROM (SELECT doc, unnest(w) AS term FROM t) GROUP BY term""",
 }

@@ -40,7 +40,7 @@ def normal_rows(columns: list[str], rows: list) -> list[tuple]:
 
 
 # Spark type names and what the same column is called in DuckDB.
-TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
 
 
 def type_differences(df, connection, sql: str) -> list[tuple]:

@@ -1,14 +1,24 @@
 """Personal data: fixed patterns, and terms that reveal a protected value, in DataFrame operations only.
 
-Values that the patterns find are protected. The corpus estimates how strongly a term in a text with a
-value reveals it: with N different texts, ``bits(v) = log2(N / texts with v)`` is what a reader does not
-know about v, and ``log2(N * texts with both / (texts with v * (texts with t + SMOOTH)))`` is what the
-term tells. Their quotient is the disclosure of v by t. Every value is judged, those of a
-single text too; the smoothing takes the more from a term the fewer texts speak for it. Terms
-above ``GENERALISE`` are replaced by their class in all texts, those above ``REMOVE`` are removed.
+Values that the patterns find are protected. Terms are judged by how much they tell of a value that
+stands near them. Texts are cut into passages (sentences, and long ones into pieces of
+``PASSAGE`` words). In a text, a term of the same passage as a value supports it with weight
+``min(1, NEAR / words of the passage)``: in a long passage words meet by chance. Over the corpus, the support of
+all texts divided by the number of texts with the term estimates how likely a reader who meets the
+term is right to think of the value. The lower bound of that share (Wilson, 95 %) counts, so a single text
+is weak evidence and copies of one passage are no more than one. Its negative logarithm is what
+the reader still does not know about the value, in bits. A term that leaves at most ``GENERALISE`` bits
+is replaced by its class in all texts, one that leaves at most ``REMOVE`` is removed, if it also tells
+at least ``TELLS`` bits more than the value's own share of the texts. None of this depends on the
+size of the corpus, and a term that many texts hold without the value never qualifies.
+
+A telling term that stands nowhere but near values is known with its texts already; only for the
+others are the words of all texts searched.
 
 Cases: a null text is empty. Spans are code points, the end exclusive; patterns of one kind do not overlap, but
-those of two kinds may. Copies of a text count as one, so they are no evidence. Null ids and repeated rows are kept as they are.
+those of two kinds may. Null ids and repeated rows are kept as they are. An empty table gives no
+rows. Other columns stay, whatever their names. A sentence of more than ``PASSAGE`` words may be cut inside
+a value that holds spaces; the value is masked all the same, and judged by its other places.
 """
 
 from __future__ import annotations
@@ -34,12 +44,19 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-
 
 # A term: two or more letters and digits, with a letter first.
 TERM = r"(?<![\p{L}\p{M}\p{N}])\p{L}[\p{L}\p{M}\p{N}]+"
-# Texts with a term and without the value that are assumed beside those that the corpus holds.
-SMOOTH = 1
-GENERALISE, REMOVE = 0.75, 0.9
-
-# Doublings of a running sum: texts hold at most 2^26 matches.
-DOUBLINGS = 26
+# Where a passage ends: no base value goes on beyond it. A word is cut after 100 signs.
+PASSAGE_END = r"\n|(?<=[.!?])\s+(?=\p{Lu})"
+PASSAGE = 40
+PIECE = rf"(?:\S{{1,100}}\s*){{1,{PASSAGE}}}"
+# So many words are near one another for sure.
+NEAR = 20
+# Bits that a term leaves open at most, and bits that it tells at least.
+GENERALISE, REMOVE, TELLS = 2.5, 1.0, 1.0
+# Normal quantile of the lower bound.
+Z = 1.96
+
+# Doublings of a running sum: an array holds fewer than 2^31 matches.
+DOUBLINGS = 31
 
 # What stands for a base span.
 MASKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]")
@@ -122,79 +139,111 @@ def base_spans(text: Column) -> Column:
 
 
 def keyed_spans(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """``k_id, k_text, base`` of every text; ``k_text`` tells texts under one id apart."""
+    """``k_id, k_text, base, held`` of every text.
+
+    ``k_text`` tells texts apart; ``held`` is the text itself where it has base spans.
+    """
     text = text_or_empty(column)
-    return docs.select(F.col(f"`{key}`").alias("k_id"), F.xxhash64(text).alias("k_text"), base_spans(text).alias("base"))
+    rows = docs.select(F.col(f"`{key}`").alias("k_id"), F.xxhash64(text).alias("k_text"), base_spans(text).alias("base"), text.alias("text"))
+    return rows.select("k_id", "k_text", "base", F.when(F.size("base") > 0, F.col("text")).alias("held"))
 
 
-def _words(text: Column) -> Column:
-    """Distinct terms of a text outside its addresses; no other base value holds letters."""
+def _terms(text: Column) -> Column:
+    """Terms of a text outside its addresses; no other base value holds letters."""
     plain = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
-    return F.array_distinct(F.regexp_extract_all(F.lower(plain), F.lit(TERM), F.lit(0)))
+    return F.regexp_extract_all(F.lower(plain), F.lit(TERM), F.lit(0))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, column: str = "text") -> DataFrame:
-    """``value, term, disclosure`` of the terms over the lower threshold.
+def passages(found: DataFrame) -> DataFrame:
+    """``k_text, rows, passage, weight, values, terms`` of the passages that hold a value.
 
-    All counts are of different texts. Terms in too many texts for any value beside them are left out
-    before values and terms meet.
+    ``rows`` is how many rows have this text, ``passage`` a hash of the passage.
     """
-    copies = cut_lineage(found.groupBy("k_text").agg(F.count(F.lit(1)).alias("copies")))
-    texts = copies.count()
-    held = (
-        found.where(F.size("base") > 0)
-        .select("k_text", F.explode("base").alias("v"))
-        .select("k_text", F.lower("v.value").alias("value"))
-        .distinct()
+    texts = found.where("held IS NOT NULL").groupBy("k_text").agg(F.count(F.lit(1)).alias("rows"), F.any_value("held").alias("held"))
+    cut = F.flatten(F.transform(F.split("held", PASSAGE_END), lambda s: F.regexp_extract_all(s, F.lit(PIECE), F.lit(0))))
+    one = texts.select("k_text", "rows", F.explode(cut).alias("text"))
+    some = F.lit(False)
+    for pattern in NEEDS.values():
+        some = some | F.rlike("text", F.lit(pattern))
+    one = one.where(some).select("*", base_spans(F.col("text")).alias("base"), _terms(F.col("text")).alias("all"))
+    return one.where(F.size("base") > 0).select(
+        "k_text",
+        "rows",
+        F.xxhash64("text").alias("passage"),
+        F.least(F.lit(1.0), NEAR / F.greatest(F.size("all"), F.lit(1))).alias("weight"),
+        F.array_distinct(F.transform("base", lambda s: F.lower(s["value"]))).alias("values"),
+        F.array_distinct("all").alias("terms"),
     )
-    held = cut_lineage(held)
-    values = cut_lineage(held.groupBy("value").agg(F.count(F.lit(1)).alias("with_value")).where(F.col("with_value") < texts))
-    held = cut_lineage(held.join(values, "value"))
 
-    # A term tells enough of a value in so many texts only if it is in no more texts than this.
-    def most(with_value: Column) -> Column:
-        return F.lit(float(texts)) * F.pow(with_value / F.lit(float(max(texts, 1))), F.lit(GENERALISE)) - SMOOTH + 1e-6
 
-    reach = cut_lineage(held.groupBy("k_text").agg(most(F.max("with_value")).alias("most")))
-    farthest = reach.agg(F.max("most")).first()[0] or 0.0
-    text = text_or_empty(column)
-    rows = docs.select(F.xxhash64(text).alias("k_text"), _words(text).alias("words"))
-    # A text that has copies counts once in all.
-    again = cut_lineage(copies.where("copies > 1"))
-    shares = rows.join(again, "k_text", "left").select(F.explode("words").alias("term"), (1.0 / F.coalesce("copies", F.lit(1))).alias("share"))
-    counts = shares.groupBy("term").agg(F.round(F.sum("share")).cast("bigint").alias("with_term")).where(F.col("with_term") <= farthest)
-    near = rows.join(reach, "k_text").select("k_text", "most", F.explode("words").alias("term")).distinct()
-    near = cut_lineage(near.join(counts, "term").where(F.col("with_term") <= F.col("most")))
-    both = near.join(held, "k_text").groupBy("value", "term", "with_value", "with_term").agg(F.count(F.lit(1)).alias("both"))
-    known = F.log2(F.lit(float(texts)) / F.col("with_value"))
-    told = F.log2(F.lit(float(texts)) * F.col("both") / (F.col("with_value") * (F.col("with_term") + SMOOTH)))
-    return both.select("value", "term", (told / known).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
-
-
-def term_spans(docs: DataFrame, found: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """``k_id, k_text, terms``: the terms to replace in every text that has some, by start.
+def lower_bound(share: Column, n: Column) -> Column:
+    """The lower end of the Wilson interval of a share seen in n cases."""
+    z2 = Z * Z
+    spread = Z * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))
+    return (share + z2 / (2 * n) - spread) / (1 + z2 / n)
+
+
+def text_counts(docs: DataFrame, column: str = "text") -> DataFrame:
+    """``term, with_term``: in how many rows every term of the corpus stands."""
+    words = docs.select(F.explode(F.array_distinct(_terms(text_or_empty(column)))).alias("term"))
+    return words.groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, near: DataFrame, column: str = "text") -> DataFrame:
+    """``value, term, with_term, left``: the terms that tell enough of a value, and the bits they leave open."""
+    total = found.count()
+    each = near.select("k_text", "rows", "passage", "weight", "terms", F.explode("values").alias("value"))
+    values = each.select("k_text", "rows", "value").distinct().groupBy("value").agg(F.sum("rows").alias("with_value"))
+    pairs = each.select("k_text", "rows", "passage", "weight", "value", F.explode("terms").alias("term"))
+    # A text supports a pair by its nearest passage.
+    texts = pairs.groupBy("k_text", "value", "term", "rows").agg(F.max(F.struct("weight", "passage")).alias("best"))
+    support = texts.groupBy("value", "term", "best.passage").agg(
+        F.sum(F.col("rows") * F.col("best.weight")).alias("support"), F.sum("rows").alias("rows")
+    )
+    support = support.groupBy("value", "term").agg(
+        F.sum("support").alias("support"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("different")
+    )
+    judged = support.join(text_counts(docs, column), "term").join(values, "value")
+    # Copies of a passage bring no evidence: the number of cases shrinks by the copies that a passage has.
+    cases = F.col("with_term") * F.col("different") / F.col("rows")
+    bound = lower_bound(F.least(F.lit(1.0), F.col("support") / F.col("with_term")), cases)
+    told = F.log2(bound * F.lit(float(total)) / F.col("with_value"))
+    judged = judged.select("value", "term", "with_term", (-F.log2(bound)).alias("left"), told.alias("told"))
+    return judged.where((F.col("left") <= GENERALISE) & (F.col("told") >= TELLS)).drop("told")
+
+
+def term_spans(docs: DataFrame, found: DataFrame, column: str = "text") -> DataFrame:
+    """``k_text, terms``: the terms to replace in every text that has some, by start.
 
     A telling term is replaced wherever it stands outside base spans, in texts without its value too.
     """
-    every = cut_lineage(disclosing_terms(docs, found, column))
-    telling = cut_lineage(every.groupBy("term").agg((F.max("disclosure") >= REMOVE).alias("remove")))
+    near = cut_lineage(passages(found))
+    every = cut_lineage(disclosing_terms(docs, found, near, column))
+    telling = every.groupBy("term", "with_term").agg((F.min("left") <= REMOVE).alias("remove"))
+    beside = near.select("k_text", "rows", F.explode("terms").alias("term")).distinct().join(telling, "term")
+    beside = cut_lineage(beside)
+    known = beside.groupBy("term").agg(F.sum("rows").alias("rows"))
+    far = telling.join(known, "term").where(F.col("with_term") > F.col("rows")).select("term", "remove")
+    far = cut_lineage(far)
     text = text_or_empty(column)
-    rows = docs.select(F.col(f"`{key}`").alias("k_id"), F.xxhash64(text).alias("k_text"), text.alias("text"))
-    words = rows.select("k_id", "k_text", F.explode(_words(F.col("text"))).alias("term")).join(telling, "term")
-    named = words.groupBy("k_id", "k_text").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("term", "remove")))).alias("named"))
-    named = cut_lineage(named)
-    marked = found.distinct().alias("b").join(named.alias("n"), _same("b", "n")).select("b.k_id", "b.k_text", "b.base", "n.named")
-    held = rows.alias("r").join(cut_lineage(marked).alias("m"), _same("r", "m")).select("r.k_id", "r.k_text", "r.text", "m.base", "m.named")
+    places = beside.select("k_text", "term", "remove")
+    texts = found.where("held IS NOT NULL").select("k_text", "base", F.col("held").alias("text"))
+    if not far.isEmpty():
+        rows = docs.select(F.xxhash64(text).alias("k_text"), F.array_distinct(_terms(text)).alias("all"))
+        others = cut_lineage(rows.select("k_text", F.explode("all").alias("term")).join(far, "term").distinct())
+        places = places.unionByName(others)
+        # Texts without values that hold such a term are read again for it.
+        plain = others.select("k_text").distinct().join(texts.select("k_text"), "k_text", "left_anti")
+        read = docs.select(F.xxhash64(text).alias("k_text"), text.alias("text")).join(cut_lineage(plain), "k_text")
+        texts = texts.unionByName(read.withColumn("base", F.array().cast(f"array<{SPAN}>")))
+    named = places.distinct().groupBy("k_text").agg(F.map_from_entries(F.collect_list(F.struct("term", "remove"))).alias("named"))
+    once = texts.groupBy("k_text").agg(F.any_value("base").alias("base"), F.any_value("text").alias("text"))
     spans = F.transform(
         _spans_of(F.col("text"), TERM, len(KINDS) - 1, lambda v: F.map_contains_key("named", F.lower(v))),
         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at("named", F.lower(s["value"])).alias("remove")),
     )
     free = F.filter(spans, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return cut_lineage(held.select("k_id", "k_text", free.alias("terms")).where(F.size("terms") > 0).distinct())
-
-
-def _same(left: str, right: str) -> Column:
-    return F.col(f"{left}.k_text").eqNullSafe(F.col(f"{right}.k_text")) & F.col(f"{left}.k_id").eqNullSafe(F.col(f"{right}.k_id"))
+    return cut_lineage(once.join(named, "k_text").select("k_text", free.alias("terms")).where(F.size("terms") > 0))
 
 
 def count_kind(spans: str, kind: str) -> Column:
@@ -213,10 +262,9 @@ def span_text(spans: Column, kind: str | None = None) -> Column:
 def find(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
     """``k_id, base, terms`` for every row of ``docs``."""
     found = cut_lineage(keyed_spans(docs, key, column))
-    terms = term_spans(docs, found, key, column)
-    joined = found.alias("f").join(terms.alias("t"), _same("f", "t"), "left")
+    terms = term_spans(docs, found, column)
     none = F.array().cast(TERM_SPANS)
-    return joined.select("f.k_id", "f.base", F.coalesce("t.terms", none).alias("terms"))
+    return found.drop("held").join(terms, "k_text", "left").select("k_id", "base", F.coalesce("terms", none).alias("terms"))
 
 
 def _masked(text: Column, base: Column, terms: Column) -> Column:
@@ -254,14 +302,13 @@ def sanitise(docs: DataFrame, key: str = "doc_id", column: str = "text") -> Data
     Texts without any keep their value, null included.
     """
     found = cut_lineage(keyed_spans(docs, key, column))
-    terms = term_spans(docs, found, key, column)
+    terms = term_spans(docs, found, column)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     text = text_or_empty(column)
-    rows = docs.select(own.alias("row"), F.col(f"`{key}`").alias("k_id"), F.xxhash64(text).alias("k_text"), base_spans(text).alias("base"))
-    joined = rows.alias("r").join(terms.alias("t"), _same("r", "t"), "left")
-    none = F.array().cast(TERM_SPANS)
-    spans = F.coalesce("t.terms", none)
-    value = F.col("r.row")[column]
-    clean = (F.size("r.base") == 0) & (F.size(spans) == 0)
-    new = F.when(clean, value).otherwise(_masked(F.coalesce(value.cast("string"), F.lit("")), F.col("r.base"), spans))
-    return joined.select(*[new.alias(c) if c == column else F.col("r.row")[c].alias(c) for c in docs.columns])
+    rows = docs.select(own.alias("row"), F.xxhash64(text).alias("k_text"), base_spans(text).alias("base"))
+    spans = F.coalesce("terms", F.array().cast(TERM_SPANS))
+    value = F.col("row")[column]
+    clean = (F.size("base") == 0) & (F.size(spans) == 0)
+    new = F.when(clean, value).otherwise(_masked(F.coalesce(value.cast("string"), F.lit("")), F.col("base"), spans))
+    joined = rows.join(terms, "k_text", "left")
+    return joined.select(*[new.alias(c) if c == column else F.col("row")[c].alias(c) for c in docs.columns])

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -9,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 
 from millrace.llm import bpe, chat, pii, quality, rules, secrets, statistics, warc
@@ -308,3 +310,78 @@ def test_secret_threshold_keeps_the_recall(ready):
     assert net.recall >= secrets.RECALL
     # The scan keeps about as many of all secrets, the long ones by all their pieces.
     assert (net.probabilities([e[1:] for e in positive]) >= net.threshold).mean() > 0.9
+
+
+def plain_disclosure(texts):
+    """Bits that each telling term leaves open for each value, and the telling terms of each text."""
+    word = r"(?<![\p{L}\p{M}\p{N}])\p{L}[\p{L}\p{M}\p{N}]+"
+
+    def cut(text):
+        return regex.findall(word, (regex.sub(PLAIN["email"], " ", text) if "@" in text else text).lower())
+
+    support, seen = {}, {}
+    for text in texts:
+        best = {}
+        for sentence in regex.split(r"\n|(?<=[.!?])\s+(?=\p{Lu})", text):
+            for piece in regex.findall(r"(?:\S{1,100}\s*){1,40}", sentence):
+                spans = [s.split(":") for s in plain_pii(piece).split(",") if s]
+                words = cut(piece)
+                for value in {piece[int(a) : int(b)].lower() for _, a, b in spans}:
+                    seen.setdefault(value, set())
+                    for term in set(words):
+                        best[value, term] = max(best.get((value, term), (0, "")), (min(1, 20 / len(words)), piece))
+        for (value, term), (weight, piece) in best.items():
+            one = support.setdefault((value, term), [0.0, 0, set()])
+            one[0] += weight
+            one[1] += 1
+            one[2].add(piece)
+    with_term = Counter(t for text in texts for t in set(cut(text)))
+    with_value = Counter(v for text in texts for v in seen if v in text.lower())
+    told = {}
+    for (value, term), (weight, rows, pieces) in support.items():
+        share, n = min(1, weight / with_term[term]), with_term[term] * len(pieces) / rows
+        z = 1.96
+        low = (share + z * z / (2 * n) - z * math.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        if -math.log2(low) <= 2.5 and math.log2(low * len(texts) / with_value[value]) >= 1:
+            told[value, term] = -math.log2(low)
+    return told, with_term
+
+
+def test_pii_disclosure_beside_brute_force(ready):
+    rng = random.Random(12)
+    values = ["ann@corp.org", "bob@corp.org", "10.1.2.3", "+1 202 555 0143", "cy@x.net"]
+    names = ["Annika", "Bobbit", "Hostess", "Caller", "Cyrus"]
+    common = "the house room visit was held by of and a number".split()
+    texts = []
+    for i in range(150):
+        words = [rng.choice(common) for _ in range(rng.randrange(2, 90))]
+        if i % 5 == 0:
+            at, who = rng.randrange(len(words)), rng.randrange(5)
+            words[at:at] = [values[who], *([names[who]] if rng.random() < 0.8 else []), *([f"Once{i}x"] if rng.random() < 0.5 else [])]
+        if rng.random() < 0.02:
+            words.append(rng.choice(names))
+        for at in range(4, len(words), 9):
+            words[at] += rng.choice([".", "!", "\n", ""])
+        texts.append(" ".join(w.capitalize() if j and words[j - 1][-1] in ".!" else w for j, w in enumerate(words)))
+    texts += [texts[0]] * 3 + [texts[5]] + ["only ann@corp.org", "@", ""]
+    df = ready.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id bigint, text string, held int")
+    found = pii.keyed_spans(df).cache()
+    got = pii.disclosing_terms(df, found, pii.passages(found)).collect()
+    want, with_term = plain_disclosure(texts)
+    assert len(want) > 5 and {(r["value"], r["term"]): round(r["left"], 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+    assert {r["term"]: r["with_term"] for r in pii.text_counts(df).collect()} == dict(with_term)
+    told = {term for _, term in want}
+    for row in pii.find(df).collect():
+        text = texts[row["k_id"]]
+        base = [tuple(map(int, s.split(":")[1:])) for s in plain_pii(text).split(",") if s]
+        spans = [m.span() for m in regex.finditer(r"(?<![\p{L}\p{M}\p{N}])\p{L}[\p{L}\p{M}\p{N}]+", text) if m[0].lower() in told]
+        free = [s for s in spans if not any(a < s[1] and s[0] < b for a, b in base)]
+        assert [(t["start"], t["end"]) for t in row["terms"]] == free, text
+    found.unpersist()
+
+
+def test_pii_leaves_clean_documents_alone(ready):
+    docs = ready.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = pii.find(docs).collect()
+    clean = [r for r in rows if not r["base"]]
+    assert sum(not r["terms"] for r in clean) >= 0.95 * len(clean) and any(r["terms"] for r in rows)

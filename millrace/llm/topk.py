@@ -238,11 +238,14 @@ def top_inner_products(
     queries = codes.where("asking")
 
     def meet(query_blocks: DataFrame) -> DataFrame:
-        """Every block of queries beside every block of candidates, list by list."""
+        """Every block of queries beside every block of candidates, list by list.
+
+        Codes compress well, so the files say little about the size of a block: no side is broadcast.
+        """
         by_list = candidates.select("block", "rows", F.posexplode("parts").alias("part", "codes"))
         sent = query_blocks.select("*", F.explode(F.expr(f"sequence(0L, {dealt - 1}L)")).alias("block"))
         sent = sent.select("*", F.posexplode("parts").alias("part", "query_codes")).drop("parts", "ids")
-        return sent.withColumnsRenamed({"rows": "asking"}).join(by_list, ["block", "part"])
+        return sent.withColumnsRenamed({"rows": "asking"}).join(by_list.hint("merge"), ["block", "part"])
 
     plain = blocks(queries, query_dealt, lists, width).withColumnRenamed("block", "query_block")
     reach = min(k, math.ceil(GATHER * k / dealt))
@@ -267,7 +270,7 @@ def top_inner_products(
         F.collect_list(F.struct("part", "query_at", "row_at", "shares")).alias("entries")
     )
     whole = query_blocks.withColumnsRenamed({"rows": "asking", "ids": "query_ids", "parts": "query_parts"})
-    sums = together.join(candidates, "block").join(whole, "query_block").mapInArrow(
+    sums = together.join(candidates.hint("merge"), "block").join(whole.hint("merge"), "query_block").mapInArrow(
         resolve(k), "asks bigint, query_id bigint, row bigint, vec_id bigint, score bigint"
     )
     best = _first(sums, k, ["asks"], F.desc("score"), F.asc_nulls_last("vec_id"), F.asc("row"))

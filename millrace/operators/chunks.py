@@ -57,6 +57,57 @@ def chunks_of(cells: DataFrame, side: int) -> DataFrame:
     return placed.groupBy("bi", "bj").applyInPandas(fill, CHUNK)
 
 
+PIECE = "bi BIGINT, bj BIGINT, top INT, `left` INT, height INT, width INT, data BINARY"
+
+
+def rechunk(chunks: DataFrame, side: int, new_side: int) -> DataFrame:
+    """The same array in chunks of another side.
+
+    Every chunk is cut along the new grid, and the pieces of a new chunk are put together: a group holds one
+    chunk's worth of cells, and cells never become rows. New chunks that would hold padding only
+    are left out.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for bi, bj, data in zip(batch["bi"], batch["bj"], batch["data"]):
+                values, pieces = _values(data, side), []
+                for ni, (top, bottom) in _grid(bi * side, side, new_side):
+                    for nj, (left, right) in _grid(bj * side, side, new_side):
+                        part = values[top - bi * side : bottom - bi * side, left - bj * side : right - bj * side]
+                        if part.any():
+                            pieces.append((ni, nj, top - ni * new_side, left - nj * new_side, *part.shape, part.tobytes()))
+                yield pd.DataFrame(pieces, columns=["bi", "bj", "top", "left", "height", "width", "data"])
+
+    def join(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
+        values = np.zeros((new_side, new_side))
+        for piece in pieces.itertuples():
+            part = np.frombuffer(piece.data, dtype=np.float64).reshape(piece.height, piece.width)
+            values[piece.top : piece.top + piece.height, piece.left : piece.left + piece.width] = part
+        return pd.DataFrame({"bi": [key[0]], "bj": [key[1]], "data": [values.tobytes()]})
+
+    return chunks.mapInPandas(cut, PIECE).groupBy("bi", "bj").applyInPandas(join, CHUNK)
+
+
+def _grid(start: int, length: int, side: int) -> list[tuple[int, tuple[int, int]]]:
+    """The chunks of a grid that a stretch meets, each with the part of the stretch in it."""
+    numbers = range(start // side, (start + length - 1) // side + 1)
+    return [(n, (max(start, n * side), min(start + length, (n + 1) * side))) for n in numbers]
+
+
+def cells_of(chunks: DataFrame, side: int) -> DataFrame:
+    """The cells ``(i, j, v)`` of all chunks that are not zero."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for bi, bj, data in zip(batch["bi"], batch["bj"], batch["data"]):
+                values = _values(data, side)
+                i, j = np.nonzero(values)
+                yield pd.DataFrame({"i": bi * side + i, "j": bj * side + j, "v": values[i, j]})
+
+    return chunks.mapInPandas(spread, "i BIGINT, j BIGINT, v DOUBLE")
+
+
 def add_transpose(chunks: DataFrame, side: int) -> DataFrame:
     """``x + x.T``: every chunk meets its mirror image by position, two chunks to a group."""
 

@@ -65,12 +65,20 @@ def random_matrix(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def rechunked(spark: SparkSession, folder: str) -> DataFrame:
+    """The embeddings in 64 x 64 chunks, cut to 48 x 48 and to 40 x 40, and read back cell by cell."""
+    vectors = table(spark, folder, "embeddings")
+    blocks = chunks.chunks_of(matrix.from_vectors(vectors, "vec_id", "embedding"), 64)
+    return chunks.cells_of(chunks.rechunk(chunks.rechunk(blocks, 64, 48), 48, 40), 40)
+
+
 QUERIES = {
     "matrix_add_transpose": add_transpose,
     "matrix_slice_mean": slice_mean,
     "matrix_row_mean": matrix_row_mean,
     "matrix_chunked_mean": chunked_row_mean,
     "random_matrix_shape": random_matrix,
+    "matrix_rechunk": rechunked,
 }
 
 _TRADE = """
@@ -100,4 +108,8 @@ ORACLES = {
         WITH c AS (SELECT vec_id AS i, unnest(range(0, len(embedding))) AS j FROM embeddings),
         v AS (SELECT i, CAST('0x' || substr(md5(i || '-' || j || '/cell'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS v FROM c)
         SELECT i, count(v) AS cells, round(sum(v), 9) AS total, max(v) AS peak FROM v GROUP BY i""",
+    "matrix_rechunk": """
+        SELECT vec_id AS i, CAST(p - 1 AS BIGINT) AS j, CAST(embedding[p] AS DOUBLE) AS v
+        FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS p FROM embeddings)
+        WHERE embedding[p] <> 0""",
 }

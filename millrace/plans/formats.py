@@ -188,6 +188,18 @@ def tsv_import_last_wins(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("rowkey", cell["event_type"].alias("event_type"), cell["props"].alias("props"))
 
 
+def tsv_bulk_load(spark: SparkSession, folder: str) -> DataFrame:
+    """Two delimited deliveries loaded into one store in total key order, read back merged."""
+    base, store = scratch_dir(spark, "deliveries"), scratch_dir(spark, "loaded")
+    events = table(spark, folder, "events").select("user_id", "event_id", "event_type", "props")
+    clicks = F.col("event_type") == "click"
+    for number, delivery in enumerate((events.where(clicks), events.where(~clicks))):
+        ctas_delimited(delivery, f"{base}/{number}")
+        rows = widecolumn.import_tsv(spark, f"{base}/{number}", events.columns, "user_id", "event_id")
+        widestore.bulk_load(rows, store, number)
+    return widestore.scan(spark, store).drop("seq")
+
+
 def key_value_append(spark: SparkSession, folder: str) -> DataFrame:
     """Two appends to one stored table, then a numeric filter over both."""
     target = scratch_dir(spark, "store")
@@ -217,6 +229,7 @@ QUERIES = {
     "widecolumn_rows": widecolumn_rows,
     "widecolumn_store": widecolumn_store,
     "widecolumn_range": widecolumn_range,
+    "tsv_bulk_load": tsv_bulk_load,
     "tsv_import_last_wins": tsv_import_last_wins,
     "key_value_append": key_value_append,
     "warehouse_peek": warehouse_peek,
@@ -256,6 +269,10 @@ ORACLES = {
     "widecolumn_rows": """
         SELECT count(*) AS n, CAST(2 * count(*) AS BIGINT) AS cells FROM (SELECT DISTINCT o_custkey FROM orders)""",
     "widecolumn_store": STANDING_CELLS,
+    "tsv_bulk_load": """
+        WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'click', event_id DESC) AS n FROM events)
+        SELECT CAST(user_id AS VARCHAR) AS rowkey, unnest(['event_type', 'props']) AS qualifier, unnest([event_type, props]) AS value
+        FROM r WHERE n = 1""",
     "widecolumn_range": f"SELECT * FROM ({STANDING_CELLS}) WHERE rowkey >= '2' AND rowkey < '4'",
     "tsv_import_last_wins": """
         SELECT CAST(user_id AS VARCHAR) AS rowkey, arg_max(event_type, event_id) AS event_type,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions.sampling import uniform_from_digest
 from millrace.operators import aggregates as agg
-from millrace.operators.joins import inner_join, join_count
+from millrace.operators.joins import inner_join, join_bucketed, join_count, store_bucketed
 from millrace.operators.ordering import head, peek, top_groups
 from millrace.operators.projection import as_factor, derive, filter_date, filter_eq, project
 from millrace.session import scratch_dir
@@ -63,6 +63,16 @@ def inner_join_large(spark: SparkSession, folder: str) -> DataFrame:
     return inner_join(lines, orders, ("l_orderkey", "o_orderkey"))
 
 
+def inner_join_bucketed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same join of tables stored in buckets: the join itself moves no row."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    left = store_bucketed(lines, scratch_dir(spark, "lines-bucketed"), "l_orderkey", buckets)
+    right = store_bucketed(orders, scratch_dir(spark, "orders-bucketed"), "o_orderkey", buckets)
+    return join_bucketed(spark, left, right, ("l_orderkey", "o_orderkey"))
+
+
 def join_count_orders(spark: SparkSession, folder: str) -> DataFrame:
     return join_count(table(spark, folder, "orders"), table(spark, folder, "lineitem"), ("o_orderkey", "l_orderkey"))
 
@@ -194,6 +204,7 @@ QUERIES = {
     "null_skipping_counts": null_skipping_counts,
     "factor_counts": factor_counts,
     "inner_join": inner_join_small,
+    "inner_join_bucketed": inner_join_bucketed,
     "inner_join_large": inner_join_large,
     "join_count": join_count_orders,
     "join_count_hot_keys": join_count_hot_keys,
@@ -233,6 +244,9 @@ ORACLES = {
     "inner_join_large": """
         SELECT l_orderkey, l_linenumber, l_quantity, o_orderkey, o_custkey, o_totalprice
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "inner_join_bucketed": """
+        SELECT l_orderkey, l_linenumber, l_quantity, o_orderkey, o_custkey, o_totalprice
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "join_count": "SELECT count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
     "join_count_hot_keys": """
         SELECT count(*) AS n FROM events a JOIN events b ON a.event_type = b.event_type""",

@@ -11,7 +11,7 @@ from millrace.sources.catalog import table
 from millrace.sources.topic import read_topic
 from millrace.streaming.aggregates import metric_rollup, stream_word_count
 from millrace.streaming.joblogs import jobs_per_day, read_event_logs, stage_statistics
-from millrace.streaming.runs import drain_totals, incremental_ingest, replay
+from millrace.streaming.runs import drain_updates, incremental_ingest, merge_updates, newest_values, replay, state_rows
 
 WINDOW_TEXT = "yyyy-MM-dd HH:mm:ss"
 
@@ -56,12 +56,28 @@ def ingest_increments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def streamed_words(spark: SparkSession, folder: str) -> DataFrame:
-    """Running word counts over messages published to a topic."""
+    """Running word counts over messages published to a topic in three parts; each run stores what it changes."""
+    base, counts = _count_words(spark, folder)
+    return newest_values(counts, f"{base}/counts", ["word"])
+
+
+def streamed_word_state(spark: SparkSession, folder: str) -> DataFrame:
+    """The same counts, read from the state of the stopped query."""
+    base, _ = _count_words(spark, folder)
+    return state_rows(spark, f"{base}/state").toDF("word", "n")
+
+
+def _count_words(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
     base = scratch_dir(spark, "words")
     conversations = table(spark, folder, "conversations")
-    write_topic(conversations, f"{base}/topic", F.col("text"), F.col("conv_id"))
-    lines = read_topic(spark, f"{base}/topic")
-    return drain_totals(stream_word_count(lines), f"{base}/counts", f"{base}/state")
+    counts = None
+    user, assistant = F.col("role").eqNullSafe("user"), F.col("role").eqNullSafe("assistant")
+    for part in (conversations.where(user), conversations.where(assistant), conversations.where(~user & ~assistant)):
+        write_topic(part, f"{base}/topic", F.col("text"), F.col("conv_id"))
+        counts = stream_word_count(read_topic(spark, f"{base}/topic"))
+        drain_updates(counts, f"{base}/counts", f"{base}/state", ["word"])
+        merge_updates(counts, f"{base}/counts", ["word"])
+    return base, counts
 
 
 def _rollup_columns(rolled: DataFrame) -> DataFrame:
@@ -79,13 +95,22 @@ def rollup_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rollup_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Ten-second roll-up of the events read as a stream."""
+    """Ten-second roll-up of the events, delivered in three periods; windows older than a day are closed.
+
+    Each run stores the windows it changes, and its state holds the windows of the last day only.
+    """
     base = scratch_dir(spark, "rollup")
-    events = table(spark, folder, "events")
-    # A glob is accepted for a table kept in one file as well as for a folder of part files.
-    stream = spark.readStream.schema(events.schema).parquet(f"{folder}/event[s].parquet")
-    rolled = metric_rollup(stream, "10 seconds", ["event_type"])
-    return _rollup_columns(drain_totals(rolled, f"{base}/rolled", f"{base}/state"))
+    events = table(spark, folder, "events").select("ts", "event_type", "value")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [first + (last - first) * third / 3 for third in (1, 2)]
+    before, after = F.col("ts") < F.lit(cuts[0]), F.col("ts") >= F.lit(cuts[1])
+    rolled = None
+    for period in (before | F.col("ts").isNull(), ~before & ~after, after):
+        events.where(period).write.mode("append").parquet(f"{base}/landing")
+        stream = spark.readStream.schema(events.schema).parquet(f"{base}/landing")
+        rolled = metric_rollup(stream, "10 seconds", ["event_type"], lateness="1 day")
+        drain_updates(rolled, f"{base}/rolled", f"{base}/state", ["window_start", "event_type"])
+    return _rollup_columns(newest_values(rolled, f"{base}/rolled", ["window_start", "event_type"]))
 
 
 def _write_logs(rows: DataFrame) -> str:
@@ -127,6 +152,7 @@ QUERIES = {
     "topic_resume": topic_resume,
     "incremental_ingest": ingest_increments,
     "stream_word_count": streamed_words,
+    "stream_word_state": streamed_word_state,
     "metric_rollup": rollup_batch,
     "metric_rollup_stream": rollup_stream,
     "event_log_jobs": event_log_jobs,
@@ -141,6 +167,10 @@ def _rollup_sql(interval: str) -> str:
         FROM events GROUP BY 1, 2"""
 
 
+_WORDS = r"""
+        SELECT word, count(*) AS n
+        FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}]+')) AS word FROM conversations) GROUP BY word"""
+
 ORACLES = {
     "topic_replay": """
         SELECT 1 AS consumer, count(*) AS messages FROM events UNION ALL SELECT 2, 2 * count(*) FROM events""",
@@ -148,9 +178,8 @@ ORACLES = {
         SELECT 1 AS step, count(*) AS stored FROM events
         UNION ALL SELECT 2, count(*) FROM events UNION ALL SELECT 3, 2 * count(*) FROM events""",
     "incremental_ingest": "SELECT event_id, user_id, event_type, value FROM events",
-    "stream_word_count": r"""
-        SELECT word, count(*) AS n
-        FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}]+')) AS word FROM conversations) GROUP BY word""",
+    "stream_word_count": _WORDS,
+    "stream_word_state": _WORDS,
     "metric_rollup": _rollup_sql("10 SECOND"),
     "metric_rollup_stream": _rollup_sql("10 SECOND"),
     "event_log_jobs": """

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from millrace.sources.topic import BROKERS, MESSAGE_SCHEMA, connector_error
+from millrace.sinks.versions import Versions
+from millrace.sources.topic import BROKERS, connector_error
+
+
+# Offsets of one publish: its number in the upper bits, the row of the task in the lower ones.
+EPOCH_BITS = 34
 
 
 def next_offset(spark: SparkSession, target: str) -> int:
-    """The offset after the largest one in a folder of messages."""
-    try:
-        stored = spark.read.schema(MESSAGE_SCHEMA).parquet(target)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return 0
-    last = stored.agg(F.max("offset")).first()[0]
-    return 0 if last is None else last + 1
+    """The first offset of a new publish to a folder of messages, taken for good.
+
+    Publishes are numbered in a small file beside the messages, so no message is read. A publish that
+    fails leaves a gap.
+    """
+    versions = Versions(spark, target)
+    number, _ = versions.current()
+    return (versions.publish(number, []) - 1) << EPOCH_BITS
 
 
 def write_topic(
@@ -26,7 +29,7 @@ def write_topic(
     """Append one record per row to a broker topic or a folder of files.
 
     In a folder, records are numbered by the task that writes them: its number is the partition,
-    and offsets go on after the largest one stored. One writer at a time.
+    and offsets go on after those of all earlier publishes. Of two writers at the same time one fails.
     """
     key = (F.lit(None) if key is None else key).cast("string")
     messages = df.select(key.alias("key"), value.cast("string").alias("value"))

@@ -42,6 +42,15 @@ def put(cells: DataFrame, store: str) -> int:
     return versions.publish(number, [*runs, _store_run(_latest(cells), store)])
 
 
+def bulk_load(rows: DataFrame, store: str, seq: int) -> int:
+    """Load keyed rows ``(rowkey, cf MAP)`` as one run, all written at ``seq``.
+
+    Split points are sampled from the keys, and each file of the run holds a range of them in total order.
+    """
+    cells = rows.select("rowkey", F.explode("cf").alias("qualifier", "value"), F.lit(seq).cast("bigint").alias("seq"))
+    return put(cells, store)
+
+
 def delete_rows(keys: DataFrame, store: str) -> int:
     """Delete the rows ``(rowkey, seq)`` as written up to ``seq``."""
     none = F.lit(None).cast("string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.sources.files import MissingConnector
 
@@ -43,3 +43,15 @@ def read_topic(
     if max_files:
         stream = stream.option("maxFilesPerTrigger", max_files)
     return stream.parquet(source)
+
+
+def read_offsets(spark: SparkSession, source: str, partition: int, first: int = 0, before: int | None = None) -> DataFrame:
+    """Records of one partition of a topic kept in files, from an offset on and below another, in their order.
+
+    Both conditions reach the statistics of the files.
+    """
+    records = spark.read.schema(MESSAGE_SCHEMA).parquet(source)
+    records = records.where((F.col("partition") == partition) & (F.col("offset") >= first))
+    if before is not None:
+        records = records.where(F.col("offset") < before)
+    return records.orderBy("offset")

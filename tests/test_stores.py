@@ -6,7 +6,9 @@ import pytest
 from helpers import physical, row_set, rows
 from pyspark.sql import functions as F
 
-from millrace.operators import search_index
+from millrace.operators import chunks, search_index
+from millrace.operators.joins import inner_join, join_bucketed, store_bucketed
+from millrace.session import scratch_dir
 from millrace.sinks import updates, widestore
 from millrace.sinks.versions import VersionConflict, Versions
 
@@ -198,3 +200,41 @@ def test_a_term_reads_one_stretch_of_the_index(spark, tmp_path, many_files):
     # The term of all documents is spread over files, and one shuffle makes the segment.
     assert index.where("term = 'hot'").select("_metadata.file_name").distinct().count() > 1
     assert physical(search_index.postings(words, "id", ["body"])).count("Exchange") == 1
+
+
+def test_bulk_load_is_in_total_order(spark, tmp_path, many_files):
+    store = str(tmp_path / "store")
+    keyed = spark.range(3000).select(
+        F.format_string("k%05d", F.col("id") * 7919 % 3000).alias("rowkey"), F.map_from_arrays(F.array(F.lit("f")), F.array(F.col("id").cast("string"))).alias("cf")
+    )
+    widestore.bulk_load(keyed, store, 1)
+    widestore.bulk_load(spark.createDataFrame([("k00007", {"f": "new", "g": "more"})], "rowkey string, cf map<string,string>"), store, 2)
+    _, runs = Versions(spark, store).current()
+    files = spark.read.parquet(runs[0]).groupBy("_metadata.file_name").agg(F.min("rowkey").alias("low"), F.max("rowkey").alias("high"))
+    ranges = files.orderBy("low").collect()
+    assert len(ranges) > 1 and all(a["high"] < b["low"] for a, b in zip(ranges, ranges[1:]))
+    assert sum(a["low"] <= "k00007" <= a["high"] for a in ranges) == 1
+    assert standing(widestore.get_row(spark, store, "k00007")) == [("k00007", "f", "new"), ("k00007", "g", "more")]
+    assert widestore.scan(spark, store).count() == 3001
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    left = spark.range(2000).select("id", (F.col("id") % 3).alias("a"))
+    right = spark.range(0, 4000, 2).select("id", F.lit("x").alias("b"))
+    names = [store_bucketed(df, scratch_dir(spark, "bucketed"), "id", 4) for df in (left, right)]
+    joined = join_bucketed(spark, *names, "id")
+    assert "SortMergeJoin" in physical(joined) and "Exchange" not in physical(joined)
+    assert row_set(joined) == row_set(inner_join(left, right, "id")) and joined.count() == 1000
+
+
+@pytest.mark.parametrize(("rows_", "cols", "sides"), [(130, 70, (64, 48)), (10, 33, (7, 16)), (64, 64, (64, 64)), (5, 5, (2, 9))])
+def test_chunks_of_another_side_hold_the_same_array(spark, rows_, cols, sides):
+    side, other = sides
+    blocks = chunks.random_chunks(spark, rows_, cols, side).cache()
+    cells = row_set(chunks.cells_of(blocks, side))
+    again = chunks.rechunk(blocks, side, other)
+    assert len(cells) == rows_ * cols and row_set(chunks.cells_of(again, other)) == cells
+    back = chunks.rechunk(again, other, side)
+    key = lambda r: (r["bi"], r["bj"])
+    assert [bytes(r["data"]) for r in sorted(back.collect(), key=key)] == [bytes(r["data"]) for r in sorted(blocks.collect(), key=key)]
+    blocks.unpersist()

@@ -1,16 +1,26 @@
 """Replay, restart and roll-ups on small topics."""
 
 import pytest
-from helpers import row_set, rows
+from helpers import physical, row_set, rows
 from pyspark.sql import functions as F
 
 from millrace.operators.aggregates import word_count
 from millrace.session import scratch_dir
 from millrace.sinks.topic import write_topic
 from millrace.sources.files import MissingConnector
-from millrace.sources.topic import read_topic
+from millrace.sources.topic import read_offsets, read_topic
 from millrace.streaming.aggregates import metric_rollup, stream_word_count
-from millrace.streaming.runs import drain, drain_totals, incremental_ingest, newest_totals, replay
+from millrace.streaming.runs import (
+    drain,
+    drain_totals,
+    drain_updates,
+    incremental_ingest,
+    merge_updates,
+    newest_totals,
+    newest_values,
+    replay,
+    state_rows,
+)
 
 
 def publish(spark, topic, lines):
@@ -139,3 +149,79 @@ def test_broker_topics_need_their_connector(spark):
         read_topic(spark, "t", brokers="localhost:1")
     with pytest.raises(MissingConnector):
         write_topic(spark.range(1), "t", F.col("id"), brokers="localhost:1")
+
+
+def written(spark, out, batch):
+    return row_set(spark.read.parquet(f"{out}/batch={batch}"))
+
+
+def test_update_batches_hold_changed_words_only(spark):
+    base = scratch_dir(spark, "updates")
+    out, state = f"{base}/counts", f"{base}/state"
+    counts = None
+    for number, lines in enumerate((["a b", "b c"], ["c"], ["d d", "a"])):
+        publish(spark, f"{base}/topic", lines)
+        counts = stream_word_count(read_topic(spark, f"{base}/topic"))
+        progress = drain_updates(counts, out, state, ["word"])
+        assert progress.late_rows == 0 and progress.state_rows == [3, 3, 4][number]
+    assert written(spark, out, 1) == [("c", 2)] and written(spark, out, 2) == [("a", 2), ("d", 2)]
+    want = [("a", 2), ("b", 2), ("c", 2), ("d", 2)]
+    assert row_set(newest_values(counts, out, ["word"])) == want
+    # The state of the stopped query is the same, and a restart without news changes nothing.
+    assert row_set(state_rows(spark, state)) == want
+    drain_updates(counts, out, state, ["word"])
+    assert merge_updates(counts, out, ["word"]) == 1 and merge_updates(counts, out, ["word"]) == 1
+    assert row_set(newest_values(counts, out, ["word"])) == want
+    publish(spark, f"{base}/topic", ["b"])
+    drain_updates(counts, out, state, ["word"])
+    assert merge_updates(counts, out, ["word"]) == 2
+    assert row_set(newest_values(counts, out, ["word"])) == [("a", 2), ("b", 3), ("c", 2), ("d", 2)]
+
+
+def test_a_repeated_batch_replaces_itself(spark):
+    base = scratch_dir(spark, "again")
+    publish(spark, f"{base}/topic", ["a a", "b"])
+    counts = stream_word_count(read_topic(spark, f"{base}/topic"))
+    drain_updates(counts, f"{base}/counts", f"{base}/state", ["word"])
+    first = row_set(newest_values(counts, f"{base}/counts", ["word"]))
+    drain_updates(counts, f"{base}/counts", f"{base}/state2", ["word"])
+    assert row_set(newest_values(counts, f"{base}/counts", ["word"])) == first == [("a", 2), ("b", 1)]
+
+
+def test_rollup_updates_close_windows_and_count_late_rows(spark):
+    base = scratch_dir(spark, "closing")
+    keys, schema = ["window_start", "gpu_type"], "ts timestamp_ntz, gpu_type string, value double"
+    days = [
+        [("2024-01-01 00:00:01", 1.0), ("2024-01-01 00:00:02", 3.0), ("2024-01-01 00:00:11", 5.0)],
+        [("2024-01-03 00:00:00", 7.0), ("2024-01-01 00:00:03", 9.0)],
+        [("2024-01-01 00:00:04", 100.0), ("2024-01-03 00:00:01", 9.0)],
+    ]
+    late, state, rolled = [], [], None
+    for day in days:
+        rows_of = spark.createDataFrame([(t, "a100", v) for t, v in day], "ts string, gpu_type string, value double")
+        rows_of.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(f"{base}/landing")
+        stream = spark.readStream.schema(schema).parquet(f"{base}/landing")
+        rolled = metric_rollup(stream, "10 seconds", ["gpu_type"], lateness="1 day")
+        progress = drain_updates(rolled, f"{base}/out", f"{base}/state", keys)
+        late.append(progress.late_rows)
+        state.append(progress.state_rows)
+    got = newest_values(rolled, f"{base}/out", keys).withColumn("window_start", F.col("window_start").cast("string"))
+    assert row_set(got) == [
+        ("2024-01-01 00:00:00", "a100", 3, pytest.approx(13 / 3), 9.0),
+        ("2024-01-01 00:00:10", "a100", 1, 5.0, 5.0),
+        ("2024-01-03 00:00:00", "a100", 2, 8.0, 9.0),
+    ]
+    assert sum(late) == 1 and state[-1] == 1
+
+
+def test_records_are_read_by_offset(spark):
+    base = scratch_dir(spark, "seek")
+    for text in ("x", "y"):
+        publish(spark, f"{base}/topic", [f"{text}{i}" for i in range(20)])
+    whole = read_offsets(spark, f"{base}/topic", 0).collect()
+    offsets = [r.offset for r in whole]
+    assert offsets == sorted(set(offsets)) and {r.value[0] for r in whole} == {"x", "y"}
+    middle = offsets[len(offsets) // 2]
+    assert [r.offset for r in read_offsets(spark, f"{base}/topic", 0, middle, offsets[-1]).collect()] == offsets[len(offsets) // 2 : -1]
+    plan = physical(read_offsets(spark, f"{base}/topic", 0, middle))
+    assert "GreaterThanOrEqual(offset," in plan and "IsNotNull(offset)" in plan

@@ -10,7 +10,11 @@ pass several of them before their sets are compared:
 2. Rarest first: over the sets that remain, tokens are ordered by how many sets hold them.
    ``rare_index`` keeps the prefix under this order; widespread lines and passages come last
    and hardly ever enter it.
-3. The smallest and the largest hashes: two more orders, checked on a pair's own prefixes.
+3. The smallest and the largest hashes: two more orders. A pair that has met under the second one goes on only
+   if its prefixes under these two overlap as well; whole sets are fetched for what all orders let through.
+
+Pairs meet only if two bounds allow a link: the numbers of tokens that any other set holds, and the parity
+bits of both sets (``BITS`` bits, one flipped by every token): sets differ in at least as many tokens as bits.
 
 Pairs are never listed within a group of copies. Equal sets are one class from the start. In each round
 every token picks a few pivots, those with the fewest tokens of their own. The other sets under the token
@@ -38,11 +42,15 @@ PERCENT = 85
 MORE_PERCENT = 5
 
 # Every round has so many times the pivots of the round before.
-PIVOT_GROWTH = 4
+PIVOT_GROWTH = 16
 
 # Fixed value: runs of these characters are words.
 WORD = r"[^\x20\x09-\x0D]+"
 
+# Parity bits of a set, in longs of 64.
+BITS = 1024
+LONGS = BITS // 64
+
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -116,31 +124,54 @@ def rare_index(sets: DataFrame, percent: int) -> DataFrame:
     return kept.select("cls", "n", "common", F.col("t.token").alias("token"))
 
 
+def parity(sets: DataFrame) -> DataFrame:
+    """``cls, bits``: every token flips one of the bits of its set."""
+    rows = sets.select("cls", F.explode("tokens").alias("token"))
+    place = F.pmod(F.xxhash64("token"), F.lit(BITS))
+    rows = rows.select("cls", F.floor(place / 64).alias("at"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(token), {BITS}) % 64 AS int))").alias("bit"))
+    flips = [F.bit_xor(F.when(F.col("at") == i, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"b{i}") for i in range(LONGS)]
+    return rows.groupBy("cls").agg(*flips).select("cls", F.struct(*[f"b{i}" for i in range(LONGS)]).alias("bits"))
+
+
 def _may_link(percent: int) -> Column:
-    """Whether two sets can link by the numbers of their tokens and of those that other sets hold at all."""
+    """Whether two sets can link, by the numbers of their tokens that other sets hold at all, and by their bits.
+
+    Sets of a and b tokens link if at most ``(a + b) * (100 - percent) / (100 + percent)`` tokens are in one of them only.
+    """
     most = F.least("common", "pivot_common")
-    return most * 100 >= (F.col("n") + F.col("pivot_n") - most) * percent
-
-
-def _linked(a: Column, b: Column, percent: int) -> Column:
-    """Both sets link: by size, by the prefixes under two orders of hashes, then by their tokens."""
-    less, more = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
-    head = [F.slice(x, F.lit(1), _may_miss(F.size(x), percent) + 1) for x in (a, b)]
-    tail = [F.slice(x, F.size(x) - _may_miss(F.size(x), percent), _may_miss(F.size(x), percent) + 1) for x in (a, b)]
-    both = F.size(F.array_intersect(a, b))
-    return (
-        (less * 100 >= more * percent)
-        & F.arrays_overlap(*head)
-        & F.arrays_overlap(*tail)
-        & (both * 100 >= (less + more - both) * percent)
-    )
+    size = F.col("n") + F.col("pivot_n")
+    differ = F.lit(0)
+    for i in range(LONGS):
+        differ = differ + F.bit_count(F.col("bits")[f"b{i}"].bitwiseXOR(F.col("pivot_bits")[f"b{i}"]))
+    return (most * 100 >= (size - most) * percent) & (differ * (100 + percent) <= size * (100 - percent))
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """``cls, n, head, tail``: the size and the prefixes under the orders of smallest and of largest hashes."""
+    n = F.size("tokens")
+    length = _may_miss(n, percent) + 1
+    head, tail = F.slice("tokens", F.lit(1), length), F.slice("tokens", n - length + 1, length)
+    return sets.where(n > 0).select("cls", n.alias("n"), head.alias("head"), tail.alias("tail"))
+
+
+def _both(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """The pairs with the columns of both classes; those of the pivot are called ``pivot_...``."""
+    other = of.withColumnsRenamed({c: "pivot" if c == "cls" else f"pivot_{c}" for c in of.columns})
+    return pairs.select("cls", "pivot").join(of, "cls").join(other, "pivot")
+
+
+def intersected(pairs: DataFrame, orders: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``cls, pivot`` whose sizes allow a link and whose prefixes overlap under both orders of hashes."""
+    less, more = F.least("n", "pivot_n"), F.greatest("n", "pivot_n")
+    share = F.arrays_overlap("head", "pivot_head") & F.arrays_overlap("tail", "pivot_tail")
+    return _both(pairs, orders).where((less * 100 >= more * percent) & share).select("cls", "pivot")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``cls, pivot`` that link, by their whole sets."""
-    left, right = sets.select("cls", F.col("tokens").alias("a")), sets.select(F.col("cls").alias("pivot"), F.col("tokens").alias("b"))
-    both = pairs.select("cls", "pivot").join(left, "cls").join(right, "pivot")
-    return both.where(_linked(F.col("a"), F.col("b"), percent)).select("cls", "pivot")
+    both = F.size(F.array_intersect("tokens", "pivot_tokens"))
+    size = F.size("tokens") + F.size("pivot_tokens")
+    return _both(pairs, sets.select("cls", "tokens")).where(both * 100 >= (size - both) * percent).select("cls", "pivot")
 
 
 class Rounds:
@@ -219,7 +250,8 @@ def components(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``cls, root`` of every indexed class that is linked to a smaller one."""
     # `at` is the component that a class belongs to so far.
     rounds = Rounds(sets.sparkSession)
-    index = rounds.cut(index.withColumn("at", F.col("cls")))
+    index = rounds.cut(index.join(parity(sets), "cls").withColumn("at", F.col("cls")))
+    orders = cut_lineage(prefixes(sets, percent))
     whole: DataFrame | None = None
     pivots_each = 1
     while True:
@@ -229,24 +261,25 @@ def components(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             break
         part = F.pmod(F.xxhash64("cls", F.lit(pivots_each)), F.lit(pivots_each))
         # The set with the fewest tokens of its own is nearest to all others.
-        central = F.struct((F.col("n") - F.col("common")).alias("own"), "n", "cls", "at", "common")
+        central = F.struct((F.col("n") - F.col("common")).alias("own"), "n", "cls", "at", "common", "bits")
         pivots = live.groupBy("token", part.alias("part")).agg(F.min(central).alias("p")).select(
             "token",
             F.col("p.cls").alias("pivot"),
             F.col("p.at").alias("pivot_at"),
             F.col("p.n").alias("pivot_n"),
             F.col("p.common").alias("pivot_common"),
+            F.col("p.bits").alias("pivot_bits"),
         )
         met = live.join(pivots, "token").where((F.col("at") != F.col("pivot_at")) & _may_link(percent))
         pairs = rounds.cut(met.groupBy("cls", "at", "pivot", "pivot_at").agg(F.count(F.lit(1)).alias("shared")))
         # First each class with the pivot it shares most with, then what is still apart.
         best = pairs.groupBy("cls").agg(F.max(F.struct("shared", "pivot", "at", "pivot_at")).alias("p"))
         first = best.select("cls", "p.pivot", "p.at", "p.pivot_at")
-        moves = _joined(first, sets, percent, rounds)
+        moves = _joined(first, orders, sets, percent, rounds)
         rest = pairs.join(first.select("cls", "pivot"), ["cls", "pivot"], "left_anti").drop("shared")
         rest = rounds.cut(_moved(_moved(rest, "at", moves), "pivot_at", moves).where("at != pivot_at"))
         if not rest.isEmpty():
-            more = _joined(rest, sets, percent, rounds)
+            more = _joined(rest, orders, sets, percent, rounds)
             moves = _composed(moves, more, rounds)
         whole = _composed(whole, moves, rounds)
         gone = pivots.select("token", F.col("pivot").alias("cls"))
@@ -257,9 +290,10 @@ def components(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return whole.select(F.col("node").alias("cls"), "root")
 
 
-def _joined(pairs: DataFrame, sets: DataFrame, percent: int, rounds: Rounds) -> DataFrame | None:
+def _joined(pairs: DataFrame, orders: DataFrame, sets: DataFrame, percent: int, rounds: Rounds) -> DataFrame | None:
     """Moves of components after the pairs ``cls, at, pivot, pivot_at`` have been compared."""
-    links = verified(pairs, sets, percent).join(pairs, ["cls", "pivot"])
+    left = rounds.cut(intersected(pairs, orders, percent))
+    links = verified(left, sets, percent).join(pairs, ["cls", "pivot"])
     return contract(rounds.cut(links.select(F.col("at").alias("x"), F.col("pivot_at").alias("y")).distinct()), rounds)
 
 
@@ -276,12 +310,26 @@ def _composed(first: DataFrame | None, then: DataFrame | None, rounds: Rounds) -
 def jaccard_components(
     docs: DataFrame, key: str = "doc_id", column: str = "text", percent: int = PERCENT, size: int = WORDS
 ) -> DataFrame:
-    """``doc, text_hash, n_shingles, cls, component_id`` for every row of ``docs``.
+    """``doc, text_hash, n_shingles, cls, root, component_id`` for every row of ``docs``.
 
-    ``text_hash`` tells rows with one id apart, ``cls`` is the class of equal sets.
+    ``text_hash`` tells rows with one id apart, ``cls`` is the class of equal sets and ``root`` the class that
+    stands for the component: with repeated ids two components can have the same smallest id.
     """
     spark = docs.sparkSession
     before = _clean_shuffles(spark)
+    try:
+        rows, by_class = _classes(docs, key, column, percent, size)
+    finally:
+        _restore(spark, before)
+    result = rows.drop("prefix", "check").join(by_class, "cls", "left")
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc"))
+    return result.select(
+        "doc", "text_hash", F.col("n").cast("bigint").alias("n_shingles"), "cls", "root", own.alias("component_id")
+    )
+
+
+def _classes(docs: DataFrame, key: str, column: str, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """The stored sketches of all rows, and ``cls, root, component_id`` of every class with words."""
     rows = cut_lineage(sketches(docs, key, column, percent, size))
     classes = cut_lineage(
         rows.where("n > 0")
@@ -305,11 +353,7 @@ def jaccard_components(
     roots = components(index, indexed, percent)
     placed = classes.select("cls", "doc").join(roots, "cls", "left").select("cls", "doc", F.coalesce("root", "cls").alias("root"))
     named = placed.groupBy("root").agg(F.min("doc").alias("component_id"))
-    by_class = cut_lineage(placed.join(named, "root").select("cls", "component_id"))
-    _restore(spark, before)
-    result = rows.drop("prefix", "check").join(by_class, "cls", "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc"))
-    return result.select("doc", "text_hash", F.col("n").cast("bigint").alias("n_shingles"), "cls", own.alias("component_id"))
+    return rows, cut_lineage(placed.join(named, "root").select("cls", "root", "component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -320,8 +364,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", column: str = "text") -> Data
     """
     found = cut_lineage(jaccard_components(docs, key, column))
     words = found.where("n_shingles > 0")
-    group = F.when(F.col("component_id").isNull(), F.col("cls"))
-    first = words.where(F.col("doc").eqNullSafe(F.col("component_id"))).groupBy("component_id", group.alias("unnamed"))
+    first = words.where(F.col("doc").eqNullSafe(F.col("component_id"))).groupBy("root")
     stays = cut_lineage(first.agg(F.min(F.struct("doc", "text_hash")).alias("f")).select("f.doc", "f.text_hash"))
     text = text_or_empty(column)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

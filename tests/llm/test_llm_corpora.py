@@ -6,6 +6,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import decontaminate, learning, ngram_join, queries, toxicity
@@ -147,6 +148,29 @@ def test_jaccard_keeps_one_of_each_group(ready):
     assert ngram_join.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_jaccard_keeps_unlinked_texts_under_one_id(ready):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    df = ready.createDataFrame([(1, a, "x"), (1, b, "y"), (2, b, "z"), (2, a + " a41", "w"), (3, None, "v")], "doc_id bigint, text string, root string")
+    got = sorted((r["doc_id"], r["text"]) for r in ngram_join.keep_one(df).collect() if r["text"])
+    assert got == [(1, a), (1, b)]
+    # The session is as it was, after an error too.
+    before = ready.conf.get(ngram_join.CLEAN_SHUFFLES, None)
+    with pytest.raises(Exception):
+        ngram_join.jaccard_components(df.withColumn("text", F.raise_error(F.lit("broken"))))
+    assert ready.conf.get(ngram_join.CLEAN_SHUFFLES, None) == before
+
+
+def test_parity_bits_bound_the_difference(ready):
+    rng = random.Random(8)
+    rows = [(i, sorted(rng.sample(range(3000), rng.randrange(1, 900)))) for i in range(60)]
+    sets = ready.createDataFrame(rows, "cls bigint, tokens array<bigint>")
+    bits = {r["cls"]: list(r["bits"]) for r in ngram_join.parity(sets).collect()}
+    for i, a in rows:
+        for j, b in rows:
+            differ = sum((x ^ y).bit_count() if (x ^ y) >= 0 else ((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(bits[i], bits[j]))
+            assert differ <= len(set(a) ^ set(b)) and (i != j or differ == 0)
+
+
 def edits_between(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -1,10 +1,12 @@
 """Models on small tables, and gang-scheduled functions."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from helpers import row_set, rows
 from pyspark.sql import functions as F
 
+from millrace.ml import trees
 from millrace.ml.boosted import area_under_roc, evaluate_binary, fit_boosted
 from millrace.ml.indexing import index_round_trip, label_dictionary
 from millrace.ml.network import fit_mlp, predict_mlp
@@ -110,3 +112,60 @@ def test_ranks_follow_the_slots(spark):
 
     got = run_ranks(spark.range(1000), size, None, "rows LONG, size INT").collect()
     assert len(got) == got[0]["size"] == spark.sparkContext.defaultParallelism and sum(r["rows"] for r in got) == 1000
+
+
+def noisy_rings(n, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 3))
+    y = ((x[:, 0] ** 2 + x[:, 1] ** 2 > 1.5) ^ (rng.random(n) < 0.05)).astype(int)
+    return [(*map(float, row), int(label)) for row, label in zip(x, y)]
+
+
+def test_trees_on_a_label_named_1(spark):
+    df = two_features(spark)
+    scored, auc = evaluate_binary(trees.fit_trees(df, ["c0", "c1"], "1", rounds=5, depth=2, least=0.01), df, "1")
+    assert auc == 1.0
+    assert {(r["1"], r.prediction) for r in scored.collect()} == {(0, 0.0), (1, 1.0)}
+
+
+def test_trees_rank_unseen_rows_as_well_as_the_library(spark):
+    df = spark.createDataFrame(noisy_rings(3000, 1), "a double, b double, c double, y int")
+    held = spark.createDataFrame(noisy_rings(2000, 2), "a double, b double, c double, y int")
+    ours = evaluate_binary(trees.fit_trees(df, ["a", "b", "c"], "y", rounds=30, depth=4), held, "y")[1]
+    library = evaluate_binary(fit_boosted(df, ["a", "b", "c"], "y", rounds=30, depth=4), held, "y")[1]
+    assert ours > 0.9 and ours >= library - 0.005
+
+
+def test_jobs_over_many_blocks_grow_the_trees_of_one_task(spark, monkeypatch):
+    df = spark.createDataFrame(noisy_rings(900, 3), "a double, b double, c double, y int").repartition(3)
+    one = trees.fit_trees(df, ["a", "b", "c"], "y", rounds=4, depth=3)
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 200)
+    many = trees.fit_trees(df, ["a", "b", "c"], "y", rounds=4, depth=3)
+    assert len(one.trees) == len(many.trees) == 4 and one.base == many.base
+    for a, b in zip(one.trees, many.trees):
+        assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and (a.left == b.left).all()
+        assert np.abs(a.value - b.value).max() < 1e-9
+
+
+def test_a_single_split_is_the_best_by_second_order_gain(spark):
+    rows_ = [(float(x), int(x > 6 or x == 2)) for x in range(12)]
+    model = trees.fit_trees(spark.createDataFrame(rows_, "x double, y int"), ["x"], "y", rounds=1, depth=1, rate=1.0, smooth=1.0, least=0.0)
+    share = sum(y for _, y in rows_) / 12
+    best = None
+    for cut in range(11):
+        sides = [[share - y for x, y in rows_ if (x <= cut) == left] for left in (True, False)]
+        gain = sum(sum(g) ** 2 / (len(g) * share * (1 - share) + 1) for g in sides)
+        values = [-sum(g) / (len(g) * share * (1 - share) + 1) for g in sides]
+        best = max(best or (-1, 0, 0), (gain, cut, values), key=lambda b: b[0])
+    got = model.margins(np.array([[float(x)] for x in range(12)])) - model.base
+    assert got == pytest.approx([best[2][0] if x <= best[1] else best[2][1] for x in range(12)])
+
+
+def test_trees_take_missing_values_and_empty_tables(spark):
+    rows_ = [(None if i % 4 == 0 else float(i % 5), float(i), int(i % 4 == 0)) for i in range(200)] + [(1.0, 2.0, None)]
+    df = spark.createDataFrame(rows_, "x double, rawer double, y int")
+    model = trees.fit_trees(df, ["x"], "y", rounds=5, depth=2)
+    scored = model.transform(df.where("y IS NOT NULL"))
+    assert area_under_roc(scored, "y") == 1.0 and scored.columns[:3] == ["x", "rawer", "y"]
+    empty = trees.fit_trees(df.limit(0), ["x"], "y")
+    assert empty.trees == [] and {r.probability for r in empty.transform(df).collect()} == {0.5}

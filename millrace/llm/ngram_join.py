@@ -250,8 +250,10 @@ def components(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``cls, root`` of every indexed class that is linked to a smaller one."""
     # `at` is the component that a class belongs to so far.
     rounds = Rounds(sets.sparkSession)
-    index = rounds.cut(index.join(parity(sets), "cls").withColumn("at", F.col("cls")))
-    orders = cut_lineage(prefixes(sets, percent))
+    # The bits of a class meet its rows in the joins of a round and are stored once.
+    bits = cut_lineage(parity(sets.join(index.select("cls").distinct(), "cls", "left_semi")))
+    index = rounds.cut(index.withColumn("at", F.col("cls")))
+    orders = prefixes(sets, percent)
     whole: DataFrame | None = None
     pivots_each = 1
     while True:
@@ -259,10 +261,11 @@ def components(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         live = rounds.cut(index.join(_open_tokens(index), "token"))
         if live.isEmpty():
             break
+        marked = live.join(bits, "cls")
         part = F.pmod(F.xxhash64("cls", F.lit(pivots_each)), F.lit(pivots_each))
         # The set with the fewest tokens of its own is nearest to all others.
         central = F.struct((F.col("n") - F.col("common")).alias("own"), "n", "cls", "at", "common", "bits")
-        pivots = live.groupBy("token", part.alias("part")).agg(F.min(central).alias("p")).select(
+        pivots = marked.groupBy("token", part.alias("part")).agg(F.min(central).alias("p")).select(
             "token",
             F.col("p.cls").alias("pivot"),
             F.col("p.at").alias("pivot_at"),
@@ -270,7 +273,7 @@ def components(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             F.col("p.common").alias("pivot_common"),
             F.col("p.bits").alias("pivot_bits"),
         )
-        met = live.join(pivots, "token").where((F.col("at") != F.col("pivot_at")) & _may_link(percent))
+        met = marked.join(pivots, "token").where((F.col("at") != F.col("pivot_at")) & _may_link(percent))
         pairs = rounds.cut(met.groupBy("cls", "at", "pivot", "pivot_at").agg(F.count(F.lit(1)).alias("shared")))
         # First each class with the pivot it shares most with, then what is still apart.
         best = pairs.groupBy("cls").agg(F.max(F.struct("shared", "pivot", "at", "pivot_at")).alias("p"))
@@ -349,8 +352,7 @@ def _classes(docs: DataFrame, key: str, column: str, percent: int, size: int) ->
     found = texts.join(wanted, ["doc", "text_hash"]).dropDuplicates(["doc", "text_hash"])
     sets = cut_lineage(found.select("cls", token_set(F.col("text"), size).alias("tokens")))
     index = cut_lineage(rare_index(sets, percent))
-    indexed = cut_lineage(sets.join(index.select("cls").distinct(), "cls", "left_semi"))
-    roots = components(index, indexed, percent)
+    roots = components(index, sets, percent)
     placed = classes.select("cls", "doc").join(roots, "cls", "left").select("cls", "doc", F.coalesce("root", "cls").alias("root"))
     named = placed.groupBy("root").agg(F.min("doc").alias("component_id"))
     return rows, cut_lineage(placed.join(named, "root").select("cls", "root", "component_id"))

@@ -3,9 +3,11 @@
 The lexicon is learned from labelled texts: words and stems (beginnings of words) that occur in
 far more toxic than clean texts. Its trie is intersected with a Levenshtein automaton, so every
 term within the allowed edits is found in one walk over a word; the states of the product are built when
-they are first reached. Each hit is weighed by how well its term tells the classes apart, a misspelling by
-that and by its edits, and split into quoted and unquoted by its context window. A logistic model over
-these sums gives the score.
+they are first reached. Words joined by hyphens, apostrophes or underscores are looked up whole and in
+parts, and with digits and signs read as the letters that they are written for. Each hit is weighed by how well its term tells the classes apart, a misspelling by
+that and by its edits, and split into quoted and unquoted by its context window: between quotation marks
+of any kind, after a reporting verb and a colon, or on a line that begins with ``>``. A logistic model over
+these sums gives the score; quoted hits count for nothing unless the labels show that they do.
 
 Cases: a null or empty text has no hits and gets the score of such texts. With no labels, or
 labels of one class only, the lexicon is empty and all scores are the same. Texts are read
@@ -29,8 +31,7 @@ from millrace.session import cut_lineage
 
 NAMES = ["toxicity_hits", "toxicity_quoted", "toxicity_score"]
 
-# The most terms of a lexicon, and texts that must hold a term.
-MAX_TERMS = 400
+# Texts that must hold a term.
 MIN_TEXTS = 5
 # Chance of any one term in the lexicon by accident, over all candidate terms.
 SIGNIFICANCE = 0.05
@@ -43,8 +44,15 @@ CONTEXT = 8
 # Distinct words that a worker remembers.
 CACHE_WORDS = 200_000
 
-WORD = re.compile(r"\w+(?:[@$*!'’-]\w+)*")
-QUOTES = re.compile("[\"“”„«»]")
+# Signs that stand for letters may begin a word or stand in it; hyphens and apostrophes join words.
+WORD = re.compile(r"[@$!]*\w+(?:[@$*!'’-]+\w+)*")
+JOINTS = re.compile(r"[-'’_]+")
+# Digits and signs that are written for letters.
+SWAPS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
+QUOTES = re.compile(r"[\"“”„«»‘]|(?<!\w)'|['’](?!\w)")
+# Verbs that announce another's words, if a colon follows them.
+REPORTS = re.compile(r"\b(?:said|says|wrote|writes|quoted|quotes|dit|écrit|sagte|schrieb|dijo|escribió)\b[^.!?]{0,40}:[^.!?]*$")
+QUOTED_LINE = re.compile(r"\s*>")
 STEM = "*"
 Hit = tuple[int, int, int, bool, str]
 
@@ -152,6 +160,18 @@ class Finder:
         self.trie = FuzzyTrie(terms)
         self.known: dict[str, tuple[int, int] | None] = {}
 
+    def nearest(self, word: str) -> tuple[int, int] | None:
+        """Edits and number of the nearest term of a word, its parts, or these with swapped signs read as letters.
+
+        A form with swapped signs is a misspelling, so it has one edit at least.
+        """
+        parts = [part for part in JOINTS.split(word) if part]
+        forms = dict.fromkeys([word, *parts])
+        found = [hit for form in forms if (hit := self.trie.find(form))]
+        swapped = dict.fromkeys(form.translate(SWAPS) for form in forms if not form.isalpha() and not form.isdigit())
+        found += [(max(1, hit[0]), hit[1]) for form in swapped if form not in forms and (hit := self.trie.find(form))]
+        return min(found, default=None)
+
     def hits(self, text: str) -> tuple[list[tuple[int, int, int, bool]], int]:
         """``place, edits, term, quoted, word`` of every hit, and the number of words."""
         low = text.lower()
@@ -159,16 +179,20 @@ class Finder:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         for word in set(words).difference(self.known):
-            self.known[word] = self.trie.find(word)
+            self.known[word] = self.nearest(word)
         found = [(i, hit) for i, hit in enumerate(map(self.known.__getitem__, words)) if hit]
         if not found:
             return [], len(words)
         spans = [match.span() for match in WORD.finditer(low)]
         out = []
         for place, (edits, term) in found:
-            before = low[spans[max(0, place - CONTEXT)][0] : spans[place][0]].rpartition("\n")[2]
-            after = low[spans[place][1] : spans[min(len(spans) - 1, place + CONTEXT)][1]].partition("\n")[0]
+            start, end = spans[place]
+            before = low[spans[max(0, place - CONTEXT)][0] : start]
+            # Marks right before the first or after the last word of the window belong to it.
+            before = (low[max(0, spans[max(0, place - CONTEXT)][0] - 1) : spans[max(0, place - CONTEXT)][0]] + before).rpartition("\n")[2]
+            after = low[end : spans[min(len(spans) - 1, place + CONTEXT)][1] + 1].partition("\n")[0]
             quoted = len(QUOTES.findall(before)) % 2 == 1 and bool(QUOTES.search(after))
+            quoted = quoted or bool(REPORTS.search(before)) or bool(QUOTED_LINE.match(low, low.rfind("\n", 0, start) + 1))
             out.append((place, edits, term, quoted, words[place]))
         return out, len(words)
 
@@ -245,8 +269,7 @@ def chosen_terms(ordered: list[tuple[str, float]], least: float) -> tuple[str, .
             needed = term[:-1] not in longer or ratio >= longer[term[:-1]] + least
             if covered or not needed:
                 continue
-        if len(kept) < MAX_TERMS:
-            kept.append(term)
+        kept.append(term)
     return tuple(kept)
 
 

@@ -292,3 +292,20 @@ def test_pipeline_stages(ready, small):
     last = corpus_pipeline.run(ready, small)
     assert 0 < last.count() < docs.count()
     assert all(hashlib.sha256(r["ids"].encode()).hexdigest() == r["ids_sha256"] for r in last.collect())
+
+
+def test_toxicity_of_joined_swapped_and_quoted_words(ready):
+    folder = "/root/testdata/sf0.01"
+    model = queries.toxicity_model(ready, folder)
+    assert {"idiot", "moron", "scum"} <= set(model.terms)
+    joined = ["idiot's", "idiot-like", "total-idiot", "you_idiot", "morons-of", "$cum", "1d1ot", "m0ron", "!diot", "id!ot", "IDIOT’S"]
+    clean = ["the house is there", "well-known o'clock semi_final", "12:30 $100 4@5", "", None]
+    quoted = ['he called them "idiot" there', "they were ‘idiot’ then", "the 'idiot' there", "> you idiot", "she wrote to them: you idiot", "„idiot“ stand da"]
+    plain = ["you idiot moron", "what's an idiot you're a moron", "he said you idiot moron"]
+    texts = [*(f"then you {word} went on" for word in joined), *clean, *quoted, *plain]
+    df = ready.createDataFrame([(i, t, 1, 2.0) for i, t in enumerate(texts)], "doc_id bigint, text string, toxicity_hits int, toxicity_score double")
+    rows = {r["text"]: r for r in toxicity.score(df, model).collect()}
+    assert all(rows[f"then you {word} went on"]["toxicity_hits"] >= 1 for word in joined)
+    assert all(rows[text]["toxicity_hits"] == 0 and rows[text]["toxicity_score"] < 0.5 for text in clean)
+    assert all(rows[text]["toxicity_quoted"] >= 1 and rows[text]["toxicity_score"] < 0.5 for text in quoted)
+    assert all(rows[text]["toxicity_quoted"] == 0 and rows[text]["toxicity_score"] >= 0.5 for text in plain)

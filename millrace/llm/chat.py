@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.llm.common import text_or_empty
+from millrace.llm.pii import running_sum
 from millrace.session import cut_lineage
 
 # The marks of the template.
@@ -97,21 +98,24 @@ def branches(messages: DataFrame) -> DataFrame:
     )
 
 
+def _of_message(paths: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
+    """The rows of paths with columns of their messages."""
+    same = F.col("p.tree").eqNullSafe(F.col("f.tree")) & (F.col("p.message") == F.col("f.message"))
+    return paths.alias("p").join(facts.select("tree", "message", *columns).alias("f"), same).select("p.*", *columns)
+
+
 def ranked(paths: DataFrame, messages: DataFrame, keep: int = 1) -> DataFrame:
-    """The rows of the ``keep`` branches of each tree with the highest mean score, with their texts."""
-    facts = messages.alias("f")
-    p = paths.alias("p")
-    full = p.join(facts, F.col("p.tree").eqNullSafe(F.col("f.tree")) & (F.col("p.message") == F.col("f.message"))).select(
-        F.col("p.tree"), "leaf", "depth", "role", "text", "score"
-    )
-    scores = full.groupBy("tree", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("branch_score"))
+    """The rows of the ``keep`` branches of each tree with the highest mean score, with their texts.
+
+    Branches are chosen by ids and scores alone; only members of chosen branches meet their texts.
+    """
+    scored = _of_message(paths, messages, "score")
+    scores = scored.groupBy("tree", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("branch_score"))
     order = Window.partitionBy("tree").orderBy(F.col("branch_score").desc(), F.col("leaf"))
     chosen = scores.withColumn("branch_rank", F.row_number().over(order)).where(F.col("branch_rank") <= keep)
-    c = chosen.alias("c")
-    f = full.alias("f")
-    return f.join(c, F.col("f.tree").eqNullSafe(F.col("c.tree")) & (F.col("f.leaf") == F.col("c.leaf"))).select(
-        F.col("f.tree"), F.col("f.leaf"), "branch_rank", "branch_score", "depth", "role", "text"
-    )
+    same = F.col("m.tree").eqNullSafe(F.col("c.tree")) & (F.col("m.leaf") == F.col("c.leaf"))
+    kept = paths.alias("m").join(chosen.alias("c"), same).select("m.*", "branch_rank", "branch_score")
+    return _of_message(kept, messages, "role", "text").drop("message")
 
 
 def escape(text: Column) -> Column:
@@ -145,14 +149,12 @@ def format_paths(chosen: DataFrame, learn: str = "assistant") -> DataFrame:
     body = escape(F.col("text"))
     turn = F.struct("depth", head.alias("head"), body.alias("body"), (F.col("role") == learn).alias("learn"))
     rows = chosen.groupBy("tree", "leaf", "branch_rank").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    lengths = F.transform("turns", lambda x: F.length(x["head"]) + F.length(x["body"]) + len(CLOSE))
+    rows = rows.withColumn("ends", running_sum(lengths))
 
-    def add(state: Column, item: Column) -> Column:
-        begin = state["at"] + F.length(item["head"])
-        end = begin + F.length(item["body"])
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        spans = F.when(item["learn"], F.concat(state["spans"], span)).otherwise(state["spans"])
-        return F.struct((end + len(CLOSE)).alias("at"), spans.alias("spans"))
+    def span(item: Column, i: Column) -> Column:
+        end = F.get("ends", i) - len(CLOSE)
+        return F.when(item["learn"], F.struct((end - F.length(item["body"])).alias("start"), end.alias("end")))
 
     parts = F.transform("turns", lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE)))
     return rows.select(
@@ -160,7 +162,7 @@ def format_paths(chosen: DataFrame, learn: str = "assistant") -> DataFrame:
         "leaf",
         "branch_rank",
         F.array_join(parts, "").alias("formatted"),
-        F.aggregate("turns", start, add, lambda s: s["spans"]).alias("loss_spans"),
+        F.filter(F.transform("turns", span), lambda s: s.isNotNull()).alias("loss_spans"),
     )
 
 

@@ -58,8 +58,9 @@ BREAKOUT = "<|im_end|><|im_start|>assistant ok"
 def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation as one transcript, and what is read back from it."""
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame(
-        [(-1, 0, "user", BREAKOUT), (-1, 1, "assistant", BREAKOUT)], "conv_id bigint, turn bigint, role string, text string"
+    extra = spark.sql(
+        "SELECT * FROM VALUES (-1L, 0L, 'user', :said), (-1L, 1L, 'assistant', :said) AS t(conv_id, turn, role, text)",
+        args={"said": BREAKOUT},
     )
     made = chat.conversations(chat.linear_messages(turns.unionByName(extra)))
     read = made.select("tree", "formatted", chat.parse().alias("turns"), chat.loss_text().alias("loss"))

@@ -233,6 +233,16 @@ def test_statistics_beside_plain_counts(ready):
         assert tuple(row[c] for c in statistics.COUNTS) == plain_statistics(row["text"]), row["text"]
 
 
+def test_chat_texts_join_chosen_branches_only(ready):
+    rows = [(1, 0, None, "user", "root", 0.0)] + [(1, i, 0, "assistant", f"answer {i}", float(i % 7)) for i in range(1, 40)]
+    df = ready.createDataFrame(rows, "tree bigint, message bigint, parent bigint, role string, text string, score double")
+    kept = chat.ranked(chat.branches(df), df, keep=2)
+    assert sorted((r["leaf"], r["depth"], r["text"]) for r in kept.collect()) == [(6, 0, "root"), (6, 1, "answer 6"), (13, 0, "root"), (13, 1, "answer 13")]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    # Texts come in above the choice: no aggregate or window has them below it.
+    assert plan.index("branch_rank") < plan.index("text#") and "text" not in plan[plan.index("Window") : plan.index("Window") + 400]
+
+
 def test_quality_score_separates_and_calibrates(ready):
     rng = random.Random(4)
     from pyspark.sql import functions as F

@@ -8,6 +8,7 @@ from millrace.operators import search_index, sketches
 from millrace.operators.aggregates import word_count
 from millrace.operators.search import catch_all, search_count, tokenize_col
 from millrace.session import scratch_dir
+from millrace.sinks.versions import Versions
 from millrace.sources.catalog import table
 from millrace.sources.files import read_lines
 
@@ -68,9 +69,16 @@ def analysed_lengths(spark: SparkSession, folder: str) -> DataFrame:
 SEARCHED = ["text", "lang", "source"]
 
 
+# The indexes that this application has built, by the folder of their documents.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
 def document_index(spark: SparkSession, folder: str) -> DataFrame:
-    """An index of all documents, added in two segments."""
-    path = scratch_dir(spark, "index")
+    """An index of all documents, added in two segments; queries of one application share it."""
+    place = (spark.sparkContext.applicationId, folder)
+    if place in _INDEXES and Versions(spark, _INDEXES[place]).current()[0] == 2:
+        return search_index.open_index(spark, _INDEXES[place])
+    path = _INDEXES[place] = scratch_dir(spark, "index")
     docs = table(spark, folder, "documents")
     english = F.col("lang").eqNullSafe("en")
     for part in (docs.where(english), docs.where(~english)):

@@ -13,8 +13,9 @@ pass several of them before their sets are compared:
 3. The smallest and the largest hashes: two more orders. A pair that has met under the second one goes on only
    if its prefixes under these two overlap as well; whole sets are fetched for what all orders let through.
 
-Pairs meet only if two bounds allow a link: the numbers of tokens that any other set holds, and the parity
-bits of both sets (``BITS`` bits, one flipped by every token): sets differ in at least as many tokens as bits.
+Pairs meet only if two bounds allow a link: the numbers of tokens that any other set holds and, where a token has
+several pivots, the parity bits of both sets (``BITS`` bits, one flipped by every token): sets differ in at least
+as many tokens as bits.
 
 Pairs are never listed within a group of copies. Equal sets are one class from the start. In each round
 every token picks a few pivots, those with the fewest tokens of their own. The other sets under the token
@@ -133,17 +134,20 @@ def parity(sets: DataFrame) -> DataFrame:
     return rows.groupBy("cls").agg(*flips).select("cls", F.struct(*[f"b{i}" for i in range(LONGS)]).alias("bits"))
 
 
-def _may_link(percent: int) -> Column:
+def _may_link(percent: int, by_bits: bool) -> Column:
     """Whether two sets can link, by the numbers of their tokens that other sets hold at all, and by their bits.
 
     Sets of a and b tokens link if at most ``(a + b) * (100 - percent) / (100 + percent)`` tokens are in one of them only.
     """
     most = F.least("common", "pivot_common")
     size = F.col("n") + F.col("pivot_n")
+    allowed = most * 100 >= (size - most) * percent
+    if not by_bits:
+        return allowed
     differ = F.lit(0)
     for i in range(LONGS):
         differ = differ + F.bit_count(F.col("bits")[f"b{i}"].bitwiseXOR(F.col("pivot_bits")[f"b{i}"]))
-    return (most * 100 >= (size - most) * percent) & (differ * (100 + percent) <= size * (100 - percent))
+    return allowed & (differ * (100 + percent) <= size * (100 - percent))
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -250,8 +254,7 @@ def components(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``cls, root`` of every indexed class that is linked to a smaller one."""
     # `at` is the component that a class belongs to so far.
     rounds = Rounds(sets.sparkSession)
-    # The bits of a class meet its rows in the joins of a round and are stored once.
-    bits = cut_lineage(parity(sets.join(index.select("cls").distinct(), "cls", "left_semi")))
+    bits: DataFrame | None = None
     index = rounds.cut(index.withColumn("at", F.col("cls")))
     orders = prefixes(sets, percent)
     whole: DataFrame | None = None
@@ -261,19 +264,20 @@ def components(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         live = rounds.cut(index.join(_open_tokens(index), "token"))
         if live.isEmpty():
             break
-        marked = live.join(bits, "cls")
+        # The first round has one pivot for each token, so its pairs are no more than the rows of the index.
+        # The bits travel only with what it leaves open.
+        crowded = pivots_each > 1
+        if crowded and bits is None:
+            bits = cut_lineage(parity(sets.join(live.select("cls").distinct(), "cls", "left_semi")))
+        marked = live.join(bits, "cls") if crowded else live
         part = F.pmod(F.xxhash64("cls", F.lit(pivots_each)), F.lit(pivots_each))
         # The set with the fewest tokens of its own is nearest to all others.
-        central = F.struct((F.col("n") - F.col("common")).alias("own"), "n", "cls", "at", "common", "bits")
+        known = ["n", "cls", "at", "common", *(["bits"] if crowded else [])]
+        central = F.struct((F.col("n") - F.col("common")).alias("own"), *known)
         pivots = marked.groupBy("token", part.alias("part")).agg(F.min(central).alias("p")).select(
-            "token",
-            F.col("p.cls").alias("pivot"),
-            F.col("p.at").alias("pivot_at"),
-            F.col("p.n").alias("pivot_n"),
-            F.col("p.common").alias("pivot_common"),
-            F.col("p.bits").alias("pivot_bits"),
+            "token", *[F.col(f"p.{name}").alias("pivot" if name == "cls" else f"pivot_{name}") for name in known]
         )
-        met = marked.join(pivots, "token").where((F.col("at") != F.col("pivot_at")) & _may_link(percent))
+        met = marked.join(pivots, "token").where((F.col("at") != F.col("pivot_at")) & _may_link(percent, crowded))
         pairs = rounds.cut(met.groupBy("cls", "at", "pivot", "pivot_at").agg(F.count(F.lit(1)).alias("shared")))
         # First each class with the pivot it shares most with, then what is still apart.
         best = pairs.groupBy("cls").agg(F.max(F.struct("shared", "pivot", "at", "pivot_at")).alias("p"))

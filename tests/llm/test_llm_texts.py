@@ -337,7 +337,9 @@ def test_secret_candidates_are_all_runs_beside_the_base(ready, monkeypatch):
     for stretch in secrets.stretches(texts, base):
         for i, start, end, at, length, number in zip(stretch.text, stretch.start, stretch.end, stretch.at, stretch.length, stretch.hashes()):
             got.append((int(i), int(start), int(end)))
-            window = np.where(np.arange(secrets.LENGTH) < secrets.BEFORE + length + secrets.AFTER, stretch.codes[np.minimum(at - secrets.BEFORE + np.arange(secrets.LENGTH), len(stretch.codes) - 1)], secrets.PAD)
+            place = np.arange(secrets.LENGTH + 2 * secrets.EDGE)
+            window = stretch.codes[np.minimum(at - secrets.BEFORE - secrets.EDGE + place, len(stretch.codes) - 1)]
+            window = np.where(place < secrets.BEFORE + length + secrets.AFTER + 2 * secrets.EDGE, window, secrets.PAD)
             before, value, after = secrets._around(texts[i], int(start), int(end))
             if length <= secrets.INSIDE:
                 assert (window == secrets.pieces(before, value, after)[0][0]).all()
@@ -378,10 +380,11 @@ def test_secret_network_gradients_and_fast_scores():
             down = loss()
             param.flat[at] = old
             assert (up - down) / 2e-6 == pytest.approx(grad.flat[at], abs=1e-5)
-    assert net.fast_scores(codes, lengths) == pytest.approx(net.raw_score(codes, lengths), abs=1e-4)
-    short = lengths <= secrets.SHORT
-    row = secrets.BEFORE + secrets.SHORT + secrets.AFTER
-    assert net.fast_scores(codes[short][:, :row], lengths[short]) == pytest.approx(net.raw_score(codes[short], lengths[short]), abs=1e-4)
+    texts = ["", "x" * 300, "key hunter2abc Zq9-XyR4_mm;p@ssw0rd!2024", "é" + "aB3" * 40 + "日", "QmVzdF9rZXkrMTIzNDU2Nzg="]
+    for stretch in secrets.stretches(texts, [[] for _ in texts]):
+        around = [secrets._around(texts[i], int(a), int(b)) for i, a, b in zip(stretch.text, stretch.start, stretch.end)]
+        assert stretch.length.max() > 3 * secrets.INSIDE
+        assert net.stretch_scores(stretch) == pytest.approx(net.best_scores(around), abs=1e-4)
 
 
 def test_secret_threshold_keeps_the_recall(ready):

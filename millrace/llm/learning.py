@@ -74,5 +74,25 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     return weights
 
 
+def fit_logistic_rows(rows: DataFrame, ridge: float = 1.0, steps: int = 30) -> tuple[float, float]:
+    """``fit_logistic`` for one column ``x`` and the class ``y`` of all rows; a job adds up each step."""
+    n, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    slope, shift = 0.0, float(np.log((ones + 0.5) / (n - ones + 0.5)))
+    if not 0 < ones < n:
+        return slope, shift
+    for _ in range(steps):
+        raw = F.col("x") * slope + shift
+        chances = rows.select("x", "y", (1 / (1 + F.exp(-F.greatest(F.least(raw, F.lit(30.0)), F.lit(-30.0))))).alias("p"))
+        parts = chances.select("x", (F.col("p") - F.col("y")).alias("d"), (F.col("p") * (1 - F.col("p")) + 1e-9).alias("c"))
+        sums = parts.agg(*[F.sum(part) for part in (F.col("d") * F.col("x"), F.col("d"), F.col("c") * F.col("x") ** 2, F.col("c") * F.col("x"), F.col("c"))])
+        down, flat, both, cross, own = sums.first()
+        curve = np.array([[both + ridge, cross], [cross, own + 1e-6]])
+        move = np.linalg.solve(curve, np.array([down + ridge * slope, flat + 1e-6 * shift]))
+        slope, shift = (float(old - step) for old, step in zip((slope, shift), np.clip(move, -5, 5), strict=True))
+        if np.abs(move).max() < 1e-6:
+            break
+    return slope, shift
+
+
 def logistic(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))

@@ -13,8 +13,9 @@ import public_tokenizers
 import pytest
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, pii, quality, rules, secrets, statistics, warc
+from millrace.llm import bpe, chat, learning, pii, quality, rules, secrets, statistics, warc
 from millrace.llm.common import prepare_workers
 from millrace.session import scratch_dir
 
@@ -402,6 +403,40 @@ def test_secret_threshold_keeps_the_recall(ready):
     assert all(len(side) == 1 for side in sides.values())
 
 
+def test_secret_network_learns_from_every_labelled_value(ready):
+    letters = "abcdefghijklmnop"
+    words = ["".join(letters[(i * 7919 >> 4 * k) % 16] for k in range(6)) + letters[i % 16] for i in range(9000)]
+    keys = [hashlib.md5(str(i).encode()).hexdigest() for i in range(40)]
+    # Two values that are equal in their first 32 signs.
+    keys += ["0123456789abcdef" * 2 + "1", "0123456789abcdef" * 2 + "2"]
+    texts = [" ".join(words[i : i + 300]) for i in range(0, 9000, 300)] + [f"the token: {key} is here" for key in keys]
+    rows, blocks, groups, _ = secrets.dealt(secrets.examples(documents(ready, texts)))
+    assert blocks > 1
+    held = rows.select("label", "value").distinct().collect()
+    assert {r["value"] for r in held if r["label"] == 0} == set(words)
+    assert {r["value"] for r in held if r["label"] == 1} == set(keys)
+    # Every block holds both labels, and every block has a turn.
+    assert rows.groupBy("block").agg(F.count_distinct("label").alias("n")).where("n = 2").count() == blocks
+    assert rows.select("turn").distinct().count() == groups <= secrets.EPOCHS
+    net = secrets.fit(secrets.examples(documents(ready, texts)))
+    assert net.recall >= secrets.RECALL and net.false_share < 0.02
+
+
+def test_secret_values_are_coded_as_their_pieces():
+    values = [("", "abcdef", ""), ("x" * 40, "Zq9-é" * 2, "y" * 40), ("a ", "b" * 64, "\0"), (" ", "c7" * 90, "日")]
+    codes, lengths, owner = secrets.coded(values)
+    plain = sorted((i, n, tuple(part)) for i, value in enumerate(values) for part, n in secrets.pieces(*value))
+    assert sorted(zip(owner.tolist(), lengths.tolist(), map(tuple, codes.tolist()))) == plain
+
+
+def test_logistic_fit_over_rows_is_that_over_arrays(ready):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, 400)
+    y = (x + rng.normal(0, 1, 400) > 0.3).astype(float)
+    rows = ready.createDataFrame(list(zip(x.tolist(), y.astype(int).tolist())), "x double, y int")
+    assert learning.fit_logistic_rows(rows) == pytest.approx(learning.fit_logistic(x[:, None], y), abs=1e-5)
+
+
 def test_secret_scan_with_clashing_columns(ready):
     df = ready.createDataFrame([(1, "token = abcdef12", "x", 2), (1, "token = abcdef12", "x", 2)], "doc_id bigint, text string, spans string, n_hex int")
     found = secrets.secret_scan(df).collect()

@@ -1,12 +1,13 @@
 """An inverted index over text fields, stored as segments of sorted postings.
 
-A posting is ``(term, doc, positions)``. A segment is written in one shuffle: postings are cut into
+A posting is ``(term, doc, positions)``. Tasks make the postings of their documents, so texts are
+analysed once and only postings travel. A segment is written in one shuffle: postings are cut into
 files by ranges of (term, doc) and sorted by them, so a term is one stretch of one file, or of a few
 files if a large share of all documents holds it. Queries name their terms, the condition reaches
 the Parquet statistics, and no text is read. New documents become one more segment; ``merge_segments`` makes
 one of all.
 
-A document is known by its key, which has to be unique. Terms are lower-case runs of letters
+A document is known by its key, which has to be unique; positions of rows under one key are put together. Terms are lower-case runs of letters
 and digits, positions count them from 0 over all fields together. A null field has no terms.
 """
 
@@ -14,30 +15,81 @@ from __future__ import annotations
 
 import unicodedata
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from millrace.functions.text import terms
 from millrace.operators.search import CATCH_ALL, catch_all
+from millrace.session import scratch_dir
 from millrace.sinks.versions import Versions
 
 
+def _of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """``term, doc, positions`` of the rows ``doc, terms``."""
+    docs, lists = batch.columns
+    lengths = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, dtype=np.int64)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    words = lists.flatten().dictionary_encode()
+    entry = row * max(1, len(words.dictionary)) + words.indices.to_numpy()
+    order = np.argsort(entry, kind="stable")
+    entry = entry[order]
+    first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(entry) else order
+    offsets = pa.array(np.append(first, len(entry)).astype(np.int32))
+    positions = pa.ListArray.from_arrays(offsets, pa.array(at[order].astype(np.int32)))
+    held = order[first]
+    return pa.RecordBatch.from_arrays(
+        [words.dictionary.take(words.indices.take(pa.array(held))), docs.take(pa.array(row[held])), positions], ["term", "doc", "positions"]
+    )
+
+
+def row_postings(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``term, doc, positions`` of every row, by itself."""
+    texts = catch_all(docs.select(F.col(key).alias("doc"), *columns), columns)
+    cut = texts.select("doc", terms(F.col(CATCH_ALL)).alias("terms"))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _of_batch(batch)
+
+    fields = [StructField("term", StringType()), cut.schema["doc"], StructField("positions", ArrayType(IntegerType()))]
+    return cut.mapInArrow(found, StructType(fields))
+
+
+def _keys_repeat(docs: DataFrame, key: str) -> bool:
+    return not docs.groupBy(F.col(key)).count().where("count > 1").isEmpty()
+
+
+def _placed(found: DataFrame, repeated: bool) -> DataFrame:
+    """Postings cut and sorted by term and document; ``repeated`` tells that several rows can be under one key."""
+    ranged = found.repartitionByRange("term", "doc")
+    if repeated:
+        # The grouping needs no further shuffle: a range of (term, doc) holds its groups whole.
+        ranged = ranged.groupBy("term", "doc").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return ranged.sortWithinPartitions("term", "doc")
+
+
 def postings(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``term, doc, positions`` of all documents, cut and sorted by term and document."""
-    texts = catch_all(docs.select(F.col(key).alias("doc"), *columns), columns)
-    places = texts.select("doc", F.posexplode(terms(F.col(CATCH_ALL))).alias("at", "term"))
-    # The grouping needs no further shuffle: a range of (term, doc) holds its groups whole.
-    ranged = places.repartitionByRange("term", "doc")
-    grouped = ranged.groupBy("term", "doc").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-    return grouped.sortWithinPartitions("term", "doc")
+    return _placed(row_postings(docs, key, columns), _keys_repeat(docs, key))
 
 
 def add_documents(docs: DataFrame, index: str, key: str, columns: list[str]) -> int:
     """Add documents as a segment of a new or existing index; returns the new version."""
-    versions = Versions(docs.sparkSession, index)
+    spark = docs.sparkSession
+    versions = Versions(spark, index)
     number, segments = versions.current()
     path = f"{index.rstrip('/')}/segment-{uuid.uuid4().hex}"
-    postings(docs, key, columns).write.parquet(path)
+    # Ranges are chosen in a pass of their own, so postings are stored before they are dealt.
+    staged = scratch_dir(spark, "postings")
+    row_postings(docs, key, columns).write.parquet(staged)
+    _placed(spark.read.parquet(staged), _keys_repeat(docs, key)).write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
     return versions.publish(number, [*segments, path])
 
 

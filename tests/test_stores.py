@@ -3,6 +3,7 @@
 import random
 
 import pytest
+import regex
 from helpers import physical, row_set, rows
 from pyspark.sql import functions as F
 
@@ -202,6 +203,27 @@ def test_a_term_reads_one_stretch_of_the_index(spark, tmp_path, many_files):
     assert physical(search_index.postings(words, "id", ["body"])).count("Exchange") == 1
 
 
+def test_postings_are_made_before_the_shuffle(spark, tmp_path):
+    rows_ = [(1, "the cat the cat the"), (2, None), (3, "  "), (None, "cat x"), (None, "x x"), (4, "École é-the " * 50)]
+    rows_ += [(10 + i, f"w{i} the") for i in range(700)]
+    for repeat in (False, True):
+        entries = rows_ + [(1, "a the"), (1, "a the")] if repeat else [row for row in rows_ if row != (None, "x x")]
+        df = spark.createDataFrame(entries, "id int, body string")
+        wanted = {}
+        for id_, body in entries:
+            for at, term in enumerate(regex.findall(r"[\p{L}\p{M}\p{N}]+", (body or "").lower())):
+                wanted.setdefault((term, id_), []).append(at)
+        path = str(tmp_path / f"index{repeat}")
+        search_index.add_documents(df, path, "id", ["body"])
+        found = {(r["term"], r["doc"]): r["positions"] for r in search_index.open_index(spark, path).collect()}
+        assert found == {pair: sorted(at) for pair, at in wanted.items()}
+        # No row for each place of a term travels.
+        assert "Generate" not in physical(search_index.postings(df, "id", ["body"]))
+    empty = str(tmp_path / "empty")
+    search_index.add_documents(df.limit(0), empty, "id", ["body"])
+    assert search_index.open_index(spark, empty).count() == 0
+
+
 def test_bulk_load_is_in_total_order(spark, tmp_path, many_files):
     store = str(tmp_path / "store")
     keyed = spark.range(3000).select(

@@ -1,9 +1,8 @@
 """Second-order boosted trees on quantile bins, trained level by level on cached blocks of rows.
 
 Features become bin numbers of one byte once. In a round every level costs one Spark job: each task adds up the
-gradients and curvatures of its rows for every open node, feature and bin, the tables are summed
-in a tree of tasks, and the driver picks the best split of each node from sums whose size does not
-depend on the rows. Rows never move after binning. Tasks keep the margins of their rows between jobs where
+gradients and curvatures of its rows for every open node, feature and bin, the tables of each node meet
+in one task, which adds them up and picks the best split, and the driver gets only the splits. Rows never move after binning. Tasks keep the margins of their rows between jobs where
 they can, and compute them again from the finished trees where they cannot (another worker, a lost
 executor), so nothing has to be written between rounds.
 """
@@ -13,6 +12,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,6 @@ from millrace.session import cut_lineage
 # Bins of a feature; one more holds missing values.
 BINS = 64
 BLOCK_ROWS = 1 << 16
-# Partitions whose tables the driver adds up itself; beyond, tasks add them first.
-DIRECT = 64
 
 
 @dataclass
@@ -114,7 +113,7 @@ def _level_sums(fit: str, base: float, finished: list, tree: Tree, open_nodes: n
 
 
 def _best_splits(sums: np.ndarray, features: int, smooth: float, least: float) -> tuple[np.ndarray, ...]:
-    """Gain, feature and cut of the best split of every open node, and the node's own sums."""
+    """Gain, feature and cut of the best split of every open node, its own sums and those of its left child."""
     g, h = sums.reshape(2, -1, features, BINS + 1)
     whole_g, whole_h = g[:, 0].sum(axis=1), h[:, 0].sum(axis=1)
     left_g, left_h = g.cumsum(axis=2)[..., :-1], h.cumsum(axis=2)[..., :-1]
@@ -122,7 +121,8 @@ def _best_splits(sums: np.ndarray, features: int, smooth: float, least: float) -
     gain = left_g**2 / (left_h + smooth) + right_g**2 / (right_h + smooth) - (whole_g**2 / (whole_h + smooth))[:, None, None]
     gain = np.where((left_h >= least) & (right_h >= least), gain, -np.inf).reshape(len(whole_g), -1)
     best = gain.argmax(axis=1)
-    return gain[np.arange(len(best)), best], best // BINS, best % BINS, whole_g, whole_h
+    nodes, feature, cut = np.arange(len(best)), best // BINS, best % BINS
+    return gain[nodes, best], feature, cut, whole_g, whole_h, left_g[nodes, feature, cut], left_h[nodes, feature, cut]
 
 
 class BoostedTrees:
@@ -221,15 +221,33 @@ class Settings:
 def _rounds_of_jobs(blocks, settings: Settings) -> list[Tree]:
     """All rounds, with a job over the cached blocks for each level."""
 
-    def total(task) -> np.ndarray:
-        sums = blocks.mapPartitionsWithIndex(task)
-        return sums.reduce(np.add) if blocks.getNumPartitions() <= DIRECT else sums.treeReduce(np.add)
+    parts, width = blocks.getNumPartitions(), settings.width
+
+    def by_node(task, nodes: int):
+        def cut(part: int, own: Iterator) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+            for table in task(part, own):
+                for slot, sums in enumerate(np.split(table, nodes, axis=1)):
+                    yield (slot, part), sums
+
+        return cut
+
+    def splits_of(tables: Iterator[tuple[tuple[int, int], np.ndarray]]) -> Iterator[tuple[int, list[float]]]:
+        """Tables come by node and then by part, so sums do not depend on which part is ready first."""
+        for slot, group in groupby(tables, key=lambda entry: entry[0][0]):
+            total = reduce(np.add, (table for _, table in group))
+            yield slot, [float(x[0]) for x in _best_splits(total, width, settings.smooth, settings.least)]
+
+    def splits(task, nodes: int) -> tuple[np.ndarray, ...]:
+        tables = blocks.mapPartitionsWithIndex(by_node(task, nodes))
+        met = tables.repartitionAndSortWithinPartitions(min(nodes, parts), lambda key: key[0])
+        found = np.array([split for _, split in sorted(met.mapPartitions(splits_of).collect())]).T
+        return found[0], found[1].astype(np.int64), found[2].astype(np.int64), *found[3:]
 
     finished = []
     try:
         fit = uuid.uuid4().hex
         for _ in range(settings.rounds):
-            finished.append(blocks.context.broadcast(_grow(total, fit, finished, settings)))
+            finished.append(blocks.context.broadcast(_grow(splits, fit, finished, settings)))
         return [tree.value for tree in finished]
     finally:
         for tree in finished:
@@ -247,21 +265,25 @@ class Plain:
 def _rounds_of_one_task(settings: Settings):
     def run(blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[Tree]:
         own, fit, finished = list(blocks), uuid.uuid4().hex, []
+
+        def splits(task, _: int) -> tuple[np.ndarray, ...]:
+            return _best_splits(next(task(0, iter(own))), settings.width, settings.smooth, settings.least)
+
         for _ in range(settings.rounds):
-            finished.append(Plain(_grow(lambda task: next(task(0, iter(own))), fit, finished, settings)))
+            finished.append(Plain(_grow(splits, fit, finished, settings)))
         yield from (tree.value for tree in finished)
 
     return run
 
 
-def _grow(total_of, fit: str, finished: list, settings: Settings) -> Tree:
-    """One tree; ``total_of`` gives the sum of what a task function yields over all blocks."""
+def _grow(splits_of, fit: str, finished: list, settings: Settings) -> Tree:
+    """One tree; ``splits_of`` gives the best splits of the open nodes from what a task function yields over all blocks."""
     width, rate, smooth, least = settings.width, settings.rate, settings.smooth, settings.least
     tree = Tree(np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1))
     open_nodes = np.zeros(1, dtype=np.int64)
     for _ in range(settings.depth):
-        total = total_of(_level_sums(fit, settings.base, finished, tree, open_nodes, width))
-        gain, feature, cut, g, h = _best_splits(total, width, smooth, least)
+        task = _level_sums(fit, settings.base, finished, tree, open_nodes, width)
+        gain, feature, cut, g, h, left_g, left_h = splits_of(task, len(open_nodes))
         tree.value[open_nodes] = -rate * g / (h + smooth)
         splits = gain > 1e-9
         parents = open_nodes[splits]
@@ -270,9 +292,8 @@ def _grow(total_of, fit: str, finished: list, settings: Settings) -> Tree:
         children = len(tree.left) + np.arange(2 * parents.size)
         tree.feature[parents], tree.cut[parents], tree.left[parents] = feature[splits], cut[splits], children[::2]
         # A child's value comes from the split, so the last level needs no sums of its own.
-        left_g, left_h = _left_sums(total, width, np.flatnonzero(splits), feature[splits], cut[splits])
-        child_g = np.stack([left_g, g[splits] - left_g], axis=1).ravel()
-        child_h = np.stack([left_h, h[splits] - left_h], axis=1).ravel()
+        child_g = np.stack([left_g[splits], (g - left_g)[splits]], axis=1).ravel()
+        child_h = np.stack([left_h[splits], (h - left_h)[splits]], axis=1).ravel()
         none = np.zeros(children.size, np.int64)
         tree.feature, tree.cut, tree.left = (np.append(old, none) for old in (tree.feature, tree.cut, tree.left))
         tree.value = np.append(tree.value, -rate * child_g / (child_h + smooth))
@@ -281,8 +302,3 @@ def _grow(total_of, fit: str, finished: list, settings: Settings) -> Tree:
         if not open_nodes.size:
             break
     return tree
-
-
-def _left_sums(sums: np.ndarray, width: int, slots: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    upto = np.cumsum(sums.reshape(2, -1, width, BINS + 1), axis=3)
-    return upto[:, slots, feature, cut]

@@ -1,9 +1,12 @@
 """Models on small tables, and gang-scheduled functions."""
 
+import pickle
+
 import numpy as np
 import pandas as pd
 import pytest
 from helpers import row_set, rows
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from millrace.ml import trees
@@ -147,6 +150,16 @@ def test_jobs_over_many_blocks_grow_the_trees_of_one_task(spark, monkeypatch):
         assert np.abs(a.value - b.value).max() < 1e-9
 
 
+def test_the_driver_gets_splits_not_tables(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i % 31), float(i % 7), int(i % 31 > 11)) for i in range(2000)], "a double, b double, y int")
+    got, collect = [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda self: got.append(collect(self)) or got[-1])
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 100)
+    trees.fit_trees(df, ["a", "b"], "y", rounds=3, depth=4)
+    # A job gives a few numbers for each of at most 8 nodes, not sums of 2 x 65 bins from each task.
+    assert len(got) >= 3 and max(len(pickle.dumps(found)) for found in got) < 2000
+
+
 def test_a_single_split_is_the_best_by_second_order_gain(spark):
     rows_ = [(float(x), int(x > 6 or x == 2)) for x in range(12)]
     model = trees.fit_trees(spark.createDataFrame(rows_, "x double, y int"), ["x"], "y", rounds=1, depth=1, rate=1.0, smooth=1.0, least=0.0)

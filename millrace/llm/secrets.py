@@ -571,13 +571,11 @@ def fit(labelled: DataFrame) -> Net | None:
         return None
 
     def held_out(block: pd.DataFrame) -> pd.DataFrame:
-        # A secret is judged once; its other copies are of use in training only.
-        block = block[(block["label"] == 0) | (block["copy"] == 0)]
-        forms = labelled_forms(in_order(block), draws, only=True)
+        # A value is judged once; its other copies are of use in training only.
+        forms = labelled_forms(in_order(block[block["copy"] == 0]), draws, only=True)
         scores = net.best_scores([value for _, _, value in forms])
         return pd.DataFrame({"label": [label for label, _, _ in forms], "score": scores})
 
-    # Plain values that were dealt to several blocks are judged once, too, but lend their surroundings in each.
     return calibrate(net, cut_lineage(rows.groupBy("block").applyInPandas(held_out, "label int, score double")))
 
 

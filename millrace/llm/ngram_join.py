@@ -256,7 +256,6 @@ def components(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rounds = Rounds(sets.sparkSession)
     bits: DataFrame | None = None
     index = rounds.cut(index.withColumn("at", F.col("cls")))
-    orders = prefixes(sets, percent)
     whole: DataFrame | None = None
     pivots_each = 1
     while True:
@@ -264,11 +263,13 @@ def components(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         live = rounds.cut(index.join(_open_tokens(index), "token"))
         if live.isEmpty():
             break
+        # Later rounds read the sets of the classes that are left, not those of all.
+        sets = _sets_of(live.select("cls"), sets, rounds)
         # The first round has one pivot for each token, so its pairs are no more than the rows of the index.
         # The bits travel only with what it leaves open.
         crowded = pivots_each > 1
         if crowded and bits is None:
-            bits = cut_lineage(parity(sets.join(live.select("cls").distinct(), "cls", "left_semi")))
+            bits = cut_lineage(parity(sets))
         marked = live.join(bits, "cls") if crowded else live
         part = F.pmod(F.xxhash64("cls", F.lit(pivots_each)), F.lit(pivots_each))
         # The set with the fewest tokens of its own is nearest to all others.
@@ -282,25 +283,31 @@ def components(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         # First each class with the pivot it shares most with, then what is still apart.
         best = pairs.groupBy("cls").agg(F.max(F.struct("shared", "pivot", "at", "pivot_at")).alias("p"))
         first = best.select("cls", "p.pivot", "p.at", "p.pivot_at")
-        moves = _joined(first, orders, sets, percent, rounds)
+        moves = _joined(first, sets, percent, rounds)
         rest = pairs.join(first.select("cls", "pivot"), ["cls", "pivot"], "left_anti").drop("shared")
         rest = rounds.cut(_moved(_moved(rest, "at", moves), "pivot_at", moves).where("at != pivot_at"))
         if not rest.isEmpty():
-            more = _joined(rest, orders, sets, percent, rounds)
+            more = _joined(rest, sets, percent, rounds)
             moves = _composed(moves, more, rounds)
         whole = _composed(whole, moves, rounds)
         gone = pivots.select("token", F.col("pivot").alias("cls"))
         index = rounds.cut(_moved(live.join(gone, ["token", "cls"], "left_anti"), "at", moves))
         pivots_each *= PIVOT_GROWTH
     if whole is None:
-        return sets.select("cls", F.col("cls").alias("root")).limit(0)
+        return index.select("cls", F.col("cls").alias("root")).limit(0)
     return whole.select(F.col("node").alias("cls"), "root")
 
 
-def _joined(pairs: DataFrame, orders: DataFrame, sets: DataFrame, percent: int, rounds: Rounds) -> DataFrame | None:
+def _sets_of(classes: DataFrame, sets: DataFrame, rounds: Rounds) -> DataFrame:
+    """The sets of some classes, stored in this round. Joins with few classes move few sets, however many there are."""
+    return rounds.cut(sets.join(rounds.cut(classes.distinct()), "cls", "left_semi"))
+
+
+def _joined(pairs: DataFrame, sets: DataFrame, percent: int, rounds: Rounds) -> DataFrame | None:
     """Moves of components after the pairs ``cls, at, pivot, pivot_at`` have been compared."""
-    left = rounds.cut(intersected(pairs, orders, percent))
-    links = verified(left, sets, percent).join(pairs, ["cls", "pivot"])
+    met = _sets_of(pairs.select("cls").unionByName(pairs.select(F.col("pivot").alias("cls"))), sets, rounds)
+    left = rounds.cut(intersected(pairs, prefixes(met, percent), percent))
+    links = verified(left, met, percent).join(pairs, ["cls", "pivot"])
     return contract(rounds.cut(links.select(F.col("at").alias("x"), F.col("pivot_at").alias("y")).distinct()), rounds)
 
 

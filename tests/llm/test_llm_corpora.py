@@ -136,6 +136,22 @@ def test_jaccard_components_beside_brute_force(ready, seed):
     assert len({c for _, n, c in got if n}) < len(got) - 40
 
 
+def test_jaccard_rounds_move_only_sets_of_pairs(ready, monkeypatch):
+    docs = corpus(3)
+    calls = []
+    plain = ngram_join.intersected
+
+    def watched(pairs, orders, percent):
+        classes = pairs.select("cls").union(pairs.select("pivot")).distinct()
+        calls.append((classes.count(), orders.count()))
+        return plain(pairs, orders, percent)
+
+    monkeypatch.setattr(ngram_join, "intersected", watched)
+    found = ngram_join.jaccard_components(ready.createDataFrame(docs, "doc_id bigint, text string"))
+    assert sorted((r["doc"], r["n_shingles"], r["component_id"]) for r in found.collect()) == sorted(plain_components(docs))
+    assert calls and all(moved == met for met, moved in calls)
+
+
 def test_jaccard_keeps_one_of_each_group(ready):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(5, text), (5, text), (3, text + " "), (9, None), (9, ""), (None, text), (None, "alone in the id less world"), (None, "alone in the id less world"), (4, "x")]

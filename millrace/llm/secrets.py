@@ -51,12 +51,14 @@ ENDLESS = ".@!$%^&*~#"
 RUN_SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-" + ENDLESS
 NOT_RUN = re.compile("[^" + re.escape(RUN_SIGNS) + "]")
 LEAST, LEAST_ALNUM = 6, 4
+# The signs of a value that its hash is made of.
+HASHED = 32
 
 # Characters before and after a candidate, and of one piece of it.
 BEFORE, INSIDE, AFTER = 20, 64, 8
 LENGTH = BEFORE + INSIDE + AFTER
-# Code points that are looked at together.
-SLICE = 1 << 18
+# Code points that are looked at together: what the filters make of them fits the cache of a core.
+SLICE = 1 << 14
 # Width and number of filters, turns of training.
 WIDTH, FILTERS, EPOCHS = 5, 16, 14
 # Labelled values of a block, blocks that are trained on at once (if there are enough for all turns), and
@@ -83,6 +85,10 @@ for _number, _group in enumerate(_GROUPS):
         _TABLE[ord(_sign)] = _number
 WIDE, PAD = len(_GROUPS) + 1, len(_GROUPS) + 2
 
+# Bytes of UTF-8, with the digits of hexadecimal numbers made one sign.
+_HEX_SIGNS = bytes(ord("0") if chr(b) in "0123456789abcdef" else 0 for b in range(256))
+
+
 def base_findings(text: str) -> list[tuple[int, int, int]]:
     """``kind, start, end`` of every base finding, by start and then by kind."""
     found = []
@@ -91,18 +97,20 @@ def base_findings(text: str) -> list[tuple[int, int, int]]:
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= MIN_ASSIGN]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= MIN_ACCESS]
-    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    if b"0" * 24 in text.encode("utf-8", "surrogatepass").translate(_HEX_SIGNS):
+        found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     return [(kind, start, end) for start, kind, end in sorted(found)]
 
 
-def _flags(signs: str) -> np.ndarray:
-    table = np.zeros(129, dtype=bool)
-    table[[ord(sign) for sign in signs]] = True
-    return table
+def _signs(signs: str) -> bytes:
+    """For ``bytes.translate``: 1 for some of the code points under 128."""
+    return bytes(b < 128 and chr(b) in signs for b in range(256))
 
 
-_RUN, _ENDLESS = _flags(RUN_SIGNS), _flags(ENDLESS)
-_DIGIT, _LOWER, _UPPER = _flags("0123456789"), _flags("abcdefghijklmnopqrstuvwxyz"), _flags("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_RUN, _CORE = _signs(RUN_SIGNS), _signs("".join(sign for sign in RUN_SIGNS if sign not in ENDLESS))
+_KINDS = {"digit": _signs("0123456789"), "lower": _signs("abcdefghijklmnopqrstuvwxyz"), "upper": _signs("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "@": _signs("@"), ".": _signs(".")}
+_ALNUM = bytes(map(max, _KINDS["digit"], _KINDS["lower"], _KINDS["upper"]))
+_CODES = bytes(_TABLE.tolist()) + bytes([WIDE]) * 128
 
 
 class Stretch:
@@ -116,28 +124,33 @@ class Stretch:
         strings = [texts[i][a : high + AFTER + EDGE] for a, (i, _, high) in zip(left, parts, strict=True)]
         gap = "\0" * (BEFORE + EDGE)
         raw = (gap + gap.join(strings) + gap).encode("utf-32-le", "surrogatepass")
-        self.points = np.minimum(np.frombuffer(raw, dtype=np.uint32), 128)
+        self.points = np.minimum(np.frombuffer(raw, dtype=np.uint32), 128).astype(np.uint8)
+        self.bytes = self.points.tobytes()
         sizes = np.array([len(x) for x in strings], dtype=np.int64)
         first = len(gap) + np.cumsum(sizes + len(gap)) - (sizes + len(gap))
-        inside, own = np.zeros(len(self.points), dtype=bool), np.zeros(len(self.points), dtype=bool)
-        for (i, low, high), a, size, place in zip(parts, left, sizes, first, strict=True):
-            inside[place : place + size] = True
-            own[place + low - a : place + high - a] = True
+        self.codes = np.array(self._flags(_CODES, np.int8))
+        run = np.array(self._flags(_RUN))
+        self.codes[: len(gap)] = PAD
+        for (i, low, high), a, size, place in zip(parts, left, sizes.tolist(), first.tolist(), strict=True):
+            self.codes[place + size : place + size + len(gap)] = PAD
+            run[place : place + low - a] = run[place + high - a : place + size] = False
             for _, start, end in base[i]:
                 if start < high and end > low:
-                    own[place + max(start, low) - a : place + min(end, high) - a] = False
-        self.codes = np.where(inside, np.where(self.points < 128, _TABLE[np.minimum(self.points, 127)], WIDE), PAD).astype(np.int8)
-        run = own & _RUN[self.points]
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], run.view(np.int8), [0]])))
-        begin, stop = edges[::2], edges[1::2]
-        core = run & ~_ENDLESS[self.points]
-        place = np.arange(len(core))
-        before = np.maximum.accumulate(np.where(core, place, -1))
-        after = np.minimum.accumulate(np.where(core, place, len(core))[::-1])[::-1]
-        begin, stop = after[begin], before[stop - 1] + 1
-        self.counts = {name: np.concatenate([[0], np.cumsum(flags[self.points])]) for name, flags in (("digit", _DIGIT), ("lower", _LOWER), ("upper", _UPPER))}
-        alnum = sum(c[np.maximum(stop, begin)] - c[begin] for c in self.counts.values())
-        good = (stop - begin >= LEAST) & (alnum >= LEAST_ALNUM)
+                    run[place + max(start, low) - a : place + min(end, high) - a] = False
+        edges = np.flatnonzero(run[1:] != run[:-1]) + 1
+        long = edges[1::2] - edges[::2] >= LEAST
+        begin, stop = edges[::2][long], edges[1::2][long]
+        core = self._flags(_CORE)
+        cores = np.flatnonzero(core)
+        if len(cores):
+            late, early = np.flatnonzero(~core[begin]), np.flatnonzero(~core[stop - 1])
+            begin[late] = np.append(cores, len(core))[np.searchsorted(cores, begin[late])]
+            stop[early] = np.append(-1, cores)[np.searchsorted(cores, stop[early])] + 1
+            # A run without any other sign has a begin after its stop now.
+            long = stop - begin >= LEAST
+            begin, stop = begin[long], stop[long]
+        self.at, self.length = begin, stop - begin
+        good = self._counted(_ALNUM) >= LEAST_ALNUM
         self.at, self.length = begin[good], (stop - begin)[good]
         part = np.searchsorted(first, self.at, side="right") - 1
         shift = np.array(left, dtype=np.int64) - first
@@ -145,23 +158,28 @@ class Stretch:
         self.start = self.at + shift[part] if len(parts) else self.at
         self.end = self.start + self.length
 
+    def _flags(self, signs: bytes, kind: type = bool) -> np.ndarray:
+        return np.frombuffer(self.bytes.translate(signs), dtype=kind)
+
+    def _counted(self, signs: bytes) -> np.ndarray:
+        """How many of some signs each candidate has."""
+        total = np.cumsum(self._flags(signs), dtype=np.int32)
+        return total[self.at + self.length - 1] - total[self.at - 1]
+
     def count(self, name: str) -> np.ndarray:
-        return self.counts[name][self.at + self.length] - self.counts[name][self.at]
+        return self._counted(_KINDS[name])
 
     def ordinary(self) -> np.ndarray:
         """Candidates that are words, numbers or addresses by their form."""
         digits, lower, upper = (self.count(name) for name in ("digit", "lower", "upper"))
-        capital = (upper == 1) & _UPPER[self.points[self.at]]
+        capital = (upper == 1) & self._flags(_KINDS["upper"])[self.at]
         word = (digits == 0) & ((upper == 0) | capital | ((lower == 0) & (upper <= 12)))
-        signs = np.concatenate([[0], np.cumsum(self.points == ord("@"))])
-        dots = np.concatenate([[0], np.cumsum(self.points == ord("."))])
-        ends = self.at + self.length
-        address = (signs[ends] - signs[self.at] == 1) & (dots[ends] - dots[self.at] >= 1)
+        address = (self.count("@") == 1) & (self.count(".") >= 1)
         return word | (lower + upper == 0) | address
 
     def hashes(self) -> np.ndarray:
         """A hash of the first signs of each candidate."""
-        place = np.arange(32)
+        place = np.arange(min(HASHED, self.length.max(initial=0)))
         held = place < self.length[:, None]
         points = self.points[np.minimum(self.at[:, None] + place, len(self.points) - 1)]
         return mixed(np.where(held, points + np.uint64(1), np.uint64(0)))
@@ -169,16 +187,17 @@ class Stretch:
 
 def mixed(points: np.ndarray) -> np.ndarray:
     """A 62-bit hash of each row of numbers."""
-    weights = np.random.default_rng(SEED).integers(1, 2**62, 32).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    total = (points.astype(np.uint64) * weights).sum(axis=1)
+    weights = np.random.default_rng(SEED).integers(1, 2**62, HASHED).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    # Rows may be cut where only zeros follow.
+    total = (points.astype(np.uint64) * weights[: points.shape[1]]).sum(axis=1, dtype=np.uint64)
     total ^= total >> np.uint64(29)
     total *= np.uint64(0xBF58476D1CE4E5B9)
     return ((total ^ (total >> np.uint64(32))) >> np.uint64(2)).astype(np.int64)
 
 
 def hash_of(value: str) -> int:
-    points = np.zeros((1, 32), dtype=np.uint64)
-    points[0, : min(32, len(value))] = [min(ord(sign), 128) + 1 for sign in value[:32]]
+    points = np.zeros((1, HASHED), dtype=np.uint64)
+    points[0, : min(HASHED, len(value))] = [min(ord(sign), 128) + 1 for sign in value[:HASHED]]
     return int(mixed(points)[0])
 
 
@@ -214,7 +233,8 @@ def examples(docs: DataFrame, column: str = "text") -> DataFrame:
     """``label, number, before, value, after``: all labelled findings; a task hands on most values once."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, str], tuple] = {}
+        # A short ordinary value is told by its hash, which is of all of its signs.
+        held: dict[int | tuple[int, str], tuple] = {}
         for batch in batches:
             texts = batch["text"].tolist()
             base = [base_findings(text) for text in texts]
@@ -223,21 +243,22 @@ def examples(docs: DataFrame, column: str = "text") -> DataFrame:
                     value = ASSIGN.match(text, start)[1] if kind == 0 else text[start:end]
                     if (1, value) not in held:
                         where = text.rindex(value, start, end)
-                        held[1, value] = (hash_of(value), *_around(text, where, where + len(value)))
+                        held[1, value] = (1, hash_of(value), *_around(text, where, where + len(value)))
             for stretch in stretches(texts, base):
-                ordinary = np.flatnonzero(stretch.ordinary())
+                ordinary, numbers = np.flatnonzero(stretch.ordinary()), stretch.hashes()
                 places = zip(stretch.text[ordinary].tolist(), stretch.start[ordinary].tolist(), stretch.end[ordinary].tolist(), strict=True)
-                for (i, start, end), number in zip(places, stretch.hashes()[ordinary].tolist(), strict=True):
-                    value = texts[i][start:end]
-                    if (0, value) not in held:
-                        held[0, value] = (number, *_around(texts[i], start, end))
+                for (i, start, end), number in zip(places, numbers[ordinary].tolist(), strict=True):
+                    key = number if end - start <= HASHED else (0, texts[i][start:end])
+                    if key not in held:
+                        held[key] = (0, number, *_around(texts[i], start, end))
             if len(held) >= HELD:
                 yield rows_of(held)
                 held = {}
         yield rows_of(held)
 
-    def rows_of(held: dict[tuple[int, str], tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(label, *entry) for (label, _), entry in held.items()], columns=["label", "number", "before", "value", "after"])
+    def rows_of(held: dict[int | tuple[int, str], tuple]) -> pd.DataFrame:
+        names = ["label", "number", "before", "value", "after"]
+        return pd.DataFrame(dict(zip(names, map(list, zip(*held.values())), strict=True))) if held else pd.DataFrame([], columns=names)
 
     return docs.select(text_or_empty(column).alias("text")).mapInPandas(found, EXAMPLE)
 
@@ -420,20 +441,32 @@ class Net:
         middle = active[EDGE : len(codes) - EDGE]
         np.take(three, pairs[: len(middle)] * CLASSES + codes[2 : len(middle) + 2], axis=0, out=middle, mode="clip")
         middle += two.take(pairs[3 : len(middle) + 3], axis=0)
-        # One row for each filter, so that a run of characters is a run of memory.
-        by_filter = np.maximum(active.T, 0, order="C")
-
-        def over(what: np.ufunc, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-            return what.reduceat(by_filter, np.stack([start, end], axis=1).ravel(), axis=1)[:, ::2]
+        np.maximum(middle, 0, out=middle)
+        # The maxima over the next 4, 8 and 16 signs; two of them that overlap cover any other width.
+        most = {1: active}
+        for width in (2, 4, 8, 16):
+            half = most[width // 2]
+            most[width] = np.maximum(half[: -(width // 2)], half[width // 2 :])
+        # The mean is only needed under its weights, so the weighted sums of signs are added up.
+        total = np.concatenate([[0], np.cumsum(active @ self.out[FILTERS : 2 * FILTERS].astype(np.float32), dtype=float)])
 
         n_pieces = np.maximum(1, -(-(stretch.length - INSIDE // 2) // (INSIDE // 2)))
         owner = np.repeat(np.arange(len(n_pieces)), n_pieces)
         step = np.arange(len(owner)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
         at = stretch.at[owner] + step * (INSIDE // 2)
         end = np.minimum(at + INSIDE, stretch.at[owner] + stretch.length[owner])
-        beside = np.maximum(over(np.maximum, at - BEFORE, at), over(np.maximum, end, end + AFTER))
-        mean = over(np.add, at, end) / (end - at)
-        scores = self.out @ np.vstack([over(np.maximum, at, end), mean, beside]) + self.shift[0]
+        inside = np.empty((len(at), FILTERS), dtype=np.float32)
+        for width, (low, high) in {4: (LEAST, 8), 8: (8, 16), 16: (16, INSIDE + 1)}.items():
+            some = np.flatnonzero((end - at >= low) & (end - at < high))
+            inside[some] = np.maximum(most[width][at[some]], most[width][end[some] - width])
+        # A piece of over 32 signs has a middle that the first and the last 16 leave out.
+        some = np.flatnonzero(end - at > 32)
+        for place in (at[some] + 16, end[some] - 32):
+            inside[some] = np.maximum(inside[some], most[16][place])
+        beside = np.maximum(most[16][at - BEFORE], most[16][at - 16])
+        beside = np.maximum(beside, most[8][end])
+        mean = (total[end] - total[at]) / (end - at)
+        scores = inside @ self.out[:FILTERS] + mean + beside @ self.out[2 * FILTERS :] + self.shift[0]
         best = np.full(len(n_pieces), -np.inf)
         np.maximum.at(best, owner, scores)
         return best

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -388,6 +389,31 @@ def test_secret_network_gradients_and_fast_scores():
         assert net.stretch_scores(stretch) == pytest.approx(net.best_scores(around), abs=1e-4)
 
 
+def test_secret_fast_scores_of_every_length():
+    net = secrets.Net(5)
+    net.bias[:] = np.random.default_rng(4).normal(0, 0.1, secrets.FILTERS)
+    rng = random.Random(7)
+    signs = "abcXYZ019+/_"
+    texts = [" ".join("".join(rng.choice(signs) for _ in range(n)) for n in range(6, 140)), "a1" * 3, "b2" * 16 + " " + "c3" * 32]
+    for stretch in secrets.stretches(texts, [[] for _ in texts]):
+        around = [secrets._around(texts[i], int(a), int(b)) for i, a, b in zip(stretch.text, stretch.start, stretch.end)]
+        assert net.stretch_scores(stretch) == pytest.approx(net.best_scores(around), abs=1e-4)
+
+
+def test_secret_scores_stay_within_the_cache():
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randrange(3, 12))) for _ in range(60_000))
+    net = secrets.Net()
+    net.stretch_scores(next(secrets.stretches([text[:1000]], [[]])))
+    tracemalloc.start()
+    try:
+        scored = sum(len(net.stretch_scores(stretch)) for stretch in secrets.stretches([text], [[]]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert scored > 20_000 and peak < 20e6
+
+
 def test_secret_threshold_keeps_the_recall(ready):
     rng = random.Random(13)
     word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))

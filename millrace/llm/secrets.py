@@ -64,8 +64,8 @@ WIDTH, FILTERS, EPOCHS = 5, 16, 14
 # Labelled values of a block, blocks that are trained on at once (if there are enough for all turns), and
 # the values of each label that a block holds, if there are so many.
 BLOCK, AT_ONCE, LEAST_VALUES = 1 << 13, 2, 300
-# Values that a task holds before it hands them on.
-HELD = 1 << 15
+# Values that a task holds before it hands them on, and hashes of values that it knows as handed on.
+HELD, KNOWN = 1 << 15, 1 << 19
 # The mean of the blocks adds up whole multiples of this, so that it does not depend on their order.
 GRAIN = 2.0**-40
 # Characters beyond a window that its outermost filters still see.
@@ -233,32 +233,38 @@ def examples(docs: DataFrame, column: str = "text") -> DataFrame:
     """``label, number, before, value, after``: all labelled findings; a task hands on most values once."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # A short ordinary value is told by its hash, which is of all of its signs.
-        held: dict[int | tuple[int, str], tuple] = {}
+        # Values are told by hashes; that of a short ordinary one is there already.
+        known: set[int] = set()
+        held: list[tuple] = []
         for batch in batches:
             texts = batch["text"].tolist()
             base = [base_findings(text) for text in texts]
             for text, own in zip(texts, base, strict=True):
                 for kind, start, end in own:
                     value = ASSIGN.match(text, start)[1] if kind == 0 else text[start:end]
-                    if (1, value) not in held:
+                    key = hash((1, value))
+                    if key not in known:
+                        known.add(key)
                         where = text.rindex(value, start, end)
-                        held[1, value] = (1, hash_of(value), *_around(text, where, where + len(value)))
+                        held.append((1, hash_of(value), *_around(text, where, where + len(value))))
             for stretch in stretches(texts, base):
                 ordinary, numbers = np.flatnonzero(stretch.ordinary()), stretch.hashes()
                 places = zip(stretch.text[ordinary].tolist(), stretch.start[ordinary].tolist(), stretch.end[ordinary].tolist(), strict=True)
                 for (i, start, end), number in zip(places, numbers[ordinary].tolist(), strict=True):
-                    key = number if end - start <= HASHED else (0, texts[i][start:end])
-                    if key not in held:
-                        held[key] = (0, number, *_around(texts[i], start, end))
+                    key = number if end - start <= HASHED else hash((0, texts[i][start:end]))
+                    if key not in known:
+                        known.add(key)
+                        held.append((0, number, *_around(texts[i], start, end)))
             if len(held) >= HELD:
                 yield rows_of(held)
-                held = {}
+                held = []
+            if len(known) >= KNOWN:
+                known = set()
         yield rows_of(held)
 
-    def rows_of(held: dict[int | tuple[int, str], tuple]) -> pd.DataFrame:
+    def rows_of(held: list[tuple]) -> pd.DataFrame:
         names = ["label", "number", "before", "value", "after"]
-        return pd.DataFrame(dict(zip(names, map(list, zip(*held.values())), strict=True))) if held else pd.DataFrame([], columns=names)
+        return pd.DataFrame(dict(zip(names, map(list, zip(*held)), strict=True))) if held else pd.DataFrame([], columns=names)
 
     return docs.select(text_or_empty(column).alias("text")).mapInPandas(found, EXAMPLE)
 
